@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows in one Arrow batch; at the longest texts seen (about 100 KB) a batch stays near 50 MB.
 BATCH_ROWS = 512
@@ -80,10 +79,12 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(each, schema)
 
 
-def to_arrow(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
 
-    return to_arrow_schema(T._parse_datatype_string(schema))
+def to_arrow(schema: str) -> pa.Schema:
+    """The Arrow schema of "name type, name type, ..."; usable where no session is, as in tasks."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (field.split() for field in schema.split(","))])
 
 
 def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
