@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, sentencepiece_codec, sharding, simhash, substring_dedup, toxicity
+from . import decontamination, langid, quality, sentencepiece_codec, sharding, simhash, substring_dedup, toxicity
 from .common import read
 
 
@@ -22,6 +22,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("virtual_slot")
 
@@ -63,6 +72,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op3_quality": op3_quality,
+        "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
         "op6_simhash": op6_simhash,
         "op7_language_id": op7_language_id,
