@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, quality, sentencepiece_codec, sharding, simhash, substring_dedup, toxicity
+from . import decontamination, langid, nearest, quality, sentencepiece_codec, sharding, simhash, substring_dedup, toxicity
 from .common import read
 
 
@@ -69,6 +69,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": op7_language_id,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_nearest": op10_nearest,
     }
 
 
