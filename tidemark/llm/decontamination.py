@@ -138,3 +138,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
     found = overlaps(rows, benchmark).groupBy("row", "item_id")
     return found.agg(F.countDistinct("pos").alias("n_windows"), F.min("pos").alias("first_token"), F.max(F.col("pos") + F.col("n") - 1).alias("last_token")).withColumnRenamed("row", "doc_id")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that overlap no benchmark item; a null doc_id shields no row."""
+    row = F.xxhash64(F.col("doc_id"), F.col("text"))
+    found = overlaps(docs.select(row.alias("row"), F.col("text").cast("string").alias("text")), benchmark).select(F.col("row").alias("_row")).distinct()
+    return docs.join(found, row == F.col("_row"), "left_anti")

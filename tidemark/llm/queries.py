@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, nearest, quality, sentencepiece_codec, sharding, simhash, substring_dedup, toxicity
+from . import decontamination, langid, nearest, quality, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import read
 
 
@@ -22,6 +22,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -62,11 +67,14 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of the packed ids and of the decoded text."""
+    tokens = (F.octet_length("ids") / 4).cast("long")
+    return encoded.select("doc_id", tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = sentencepiece_codec.encode(read(spark, sf_dir, "documents"), model_path())
-    return encoded.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    )
+    return digests(sentencepiece_codec.encode(read(spark, sf_dir, "documents"), model_path()))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +84,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,

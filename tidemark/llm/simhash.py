@@ -154,3 +154,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE)
     names = of.groupBy("part").agg(F.min("least").alias("component_id"))
     named = of.join(names, "part").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
+    """docs without near copies: of each component the row of its smallest doc_id, with all its columns; of several such rows, one."""
+    found = near_duplicates(docs, radius, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    wanted = found.withColumnRenamed("doc_id", "_wanted")
+    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").dropDuplicates(["doc_id"])

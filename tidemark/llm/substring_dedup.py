@@ -16,117 +16,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import record, small_batches, stored, texts, to_arrow
+from .countmin import estimated_repeated, repeated_cells
 from .windows import WordHashes, anchors, mix, run_hashes
 
 WINDOW, GRAM = 13, 5
-#: The sketch: rows of 2^BITS cells, each of them seen never, once or more often.
-ROWS, BITS, BLOCK_BITS = 3, 26, 20
-#: Anchors that a task gathers before it hands on its sketch.
-GATHERED = 3_000_000
 NO_ID = (1 << 63) - 1
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-def cells(anchor: np.ndarray, row: int) -> np.ndarray:
-    return (mix(anchor * _MULTIPLIERS[row]) >> np.uint64(64 - BITS)).astype(np.uint32)
-
-
 def windowed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of word hashes: the hash of each five-word run, and for each window the position of its anchor among them."""
     grams = run_hashes(words, GRAM)
     return grams, anchors(grams, WINDOW - GRAM + 1)
 
 
-def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=x.dtype.type(0)).tobytes())
-
-
-def unpack(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32), dtype=np.uint32)
-
-
-def sketched(parts: list[np.ndarray]) -> Iterator[dict]:
-    """The sketch of anchors, one of each document's: by row and block, the cells seen and those seen more than once."""
-    value, count = np.unique(np.concatenate(parts), return_counts=True)
-    for row in range(ROWS):
-        cell = cells(value, row)
-        order = np.argsort(cell, kind="stable")
-        cell = cell[order]
-        edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        total = np.add.reduceat(count[order], edge)
-        cell = cell[edge]
-        block = cell >> BLOCK_BITS
-        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            within = cell[a:b] & np.uint32((1 << BLOCK_BITS) - 1)
-            yield {"row": row, "block": int(block[a]), "seen": pack(within), "more": pack(within[total[a:b] > 1])}
-
-
-def repeated_cells(docs: DataFrame) -> list[np.ndarray]:
-    """The merged sketch's cells seen more than once, a bitmap for each row: 2^BITS * ROWS / 8 bytes, whatever the input."""
-    arrow, merged = to_arrow("row int, block int, seen binary, more binary"), to_arrow("row int, block int, more binary")
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, n = WordHashes(), [], 0
-
-        def handed() -> pa.RecordBatch:
-            rows = list(sketched(parts))
-            return record({k: [r[k] for r in rows] for k in arrow.names}, arrow)
-
-        for batch in batches:
-            for t in texts(batch):
-                grams, at = windowed(hashes.of(t.split()))
-                if len(at):
-                    parts.append(np.unique(grams[at]))
-                    n += len(parts[-1])
-            if n > GATHERED:
-                yield handed()
-                parts, n = [], 0
-        if parts:
-            yield handed()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen, more = None, np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
-
-        def done() -> pa.RecordBatch:
-            return record({"row": [now[0]], "block": [now[1]], "more": [np.packbits(more).tobytes()]}, merged)
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if now != (r["row"], r["block"]):
-                    if now is not None:
-                        yield done()
-                    now = (r["row"], r["block"])
-                    seen[:], more[:] = False, False
-                s, m = unpack(r["seen"]), unpack(r["more"])
-                more[s[seen[s]]] = True
-                more[m] = True
-                seen[s] = True
-        if now is not None:
-            yield done()
-
-    small_batches(docs.sparkSession)
-    parts = docs.select("text").mapInArrow(partial, "row int, block int, seen binary, more binary")
-    whole = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, "row int, block int, more binary")
-    bitmap = [np.zeros(1 << (BITS - 3), np.uint8) for _ in range(ROWS)]
-    size = 1 << (BLOCK_BITS - 3)
-    for r in whole.toLocalIterator():  # ROWS * 2^(BITS - BLOCK_BITS) rows at most
-        bitmap[r.row][r.block * size : (r.block + 1) * size] = np.frombuffer(r.more, np.uint8)
-    return bitmap
+def counted():  # noqa: ANN201
+    """For the sketch: the anchors of each text's windows, each once a text."""
+    hashes = WordHashes()
 
+    def each(whole: list[bytes]) -> np.ndarray:
+        found = [np.zeros(0, np.uint64)]
+        for text in whole:
+            grams, at = windowed(hashes.of(text.split()))
+            found.append(np.unique(grams[at]))
+        return np.concatenate(found)
 
-def estimated_repeated(anchor: np.ndarray, bitmap: list[np.ndarray]) -> np.ndarray:
-    kept = np.ones(len(anchor), bool)
-    for row in range(ROWS):
-        at = np.flatnonzero(kept)
-        cell = cells(anchor[at], row)
-        kept[at] = (bitmap[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-    return kept
+    return each
 
 
 RUNS = "kind int, doc_id long, key long, anchor long, sig long, start int, n int, off int, lo long, hi long, windows binary"
@@ -230,7 +147,7 @@ def least_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def removals(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, key) -> doc_id, key, runs: where a window also stands in a document of smaller id."""
     spark = docs.sparkSession
-    runs = stored(repeated_runs(docs, repeated_cells(docs)), "runs")
+    runs = stored(repeated_runs(docs, repeated_cells(docs, counted)), "runs")
     distinct = runs.where("kind = 1").select("anchor", "sig", "off", "lo", "hi", "n", "windows")
     least = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(least_holders, LEAST)
     small_batches(spark)
@@ -242,16 +159,17 @@ def removals(docs: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "least", "mins")).alias("runs"))  # the runs of one document
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row.
+def dedup(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row, with the further columns asked for.
 
     Words are runs of bytes other than space and 0x09-0x0D; null text has none, and texts of under 13 words keep all. A row is
     judged against rows of smaller doc_id only: repeated rows leave each other alone, and a null id counts as larger than any."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{c}") for c in more])
     rows = rows.withColumn("key", F.xxhash64("text"))
-    joined = rows.join(removals(rows), ["doc_id", "key"], "left").select("doc_id", "text", "runs")
-    schema = "doc_id long, n_words long, n_removed long, kept string"
-    arrow = to_arrow(schema)
+    joined = rows.join(removals(rows.select("doc_id", "text", "key")), ["doc_id", "key"], "left").select("doc_id", "text", "runs", *[f"_{c}" for c in more])
+    own = "doc_id long, n_words long, n_removed long, kept string"
+    schema = T.StructType([*T.StructType.fromDDL(own).fields, *[T.StructField(c, docs.schema[c].dataType) for c in more]])
+    arrow = to_arrow(own)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +192,9 @@ def dedup(docs: DataFrame) -> DataFrame:
                 stay = np.cumsum(change[:-1]) == 0
                 n_removed.append(int((~stay).sum()))
                 kept.append(b" ".join([words[k] for k in np.flatnonzero(stay).tolist()]).decode("utf-8", "replace"))
-            yield record({"doc_id": [None if i == NO_ID else i for i in ids], "n_words": n_words, "n_removed": n_removed, "kept": kept}, arrow)
+            out = record({"doc_id": [None if i == NO_ID else i for i in ids], "n_words": n_words, "n_removed": n_removed, "kept": kept}, arrow)
+            rest = [batch.column(3 + i) for i in range(len(more))]
+            yield pa.RecordBatch.from_arrays([*out.columns, *rest], names=[*out.schema.names, *more])
 
     small_batches(docs.sparkSession)
     return joined.mapInArrow(each, schema)
