@@ -32,13 +32,14 @@ class ChunkTable:
         for i in range(self.sp.get_piece_size()):
             if MARK in self.sp.id_to_piece(i).lstrip(MARK):
                 raise ValueError("a piece crosses a whitespace marker: words can't be segmented apart")
-        if self.sp.encode("a  b ", out_type=str)[0][:1] != MARK or self.sp.decode(self.sp.encode("a  b ")) != "a  b ":
+        if self.sp.piece_to_id(MARK) == self.sp.unk_id() or self.sp.encode("a  b ", out_type=str)[0][:1] != MARK or self.sp.decode(self.sp.encode("a  b ")) != "a  b ":
             raise ValueError("the model folds whitespace or adds no marker in front")
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.starts, self.lengths, self.flat, self.size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")], 0
+        # a marker alone, as at the end of a text, is a piece; the library would put no marker before an empty text
+        self.at: dict[str, int] = {"": 0}
+        self.starts, self.lengths, self.flat, self.size = [np.zeros(1, np.int64)], [np.ones(1, np.int64)], [np.array([self.sp.piece_to_id(MARK)], "<u4")], 1
 
     def add(self, words: list[str]) -> None:
         ids = self.sp.encode(words, num_threads=1)
