@@ -198,15 +198,17 @@ FAMILIES: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
 }
 
 
-def _family(columns: dict[str, tuple[Callable[[], Column], str]]) -> Query:
-    return lambda spark, d: shown(operands(spark, d).select("event_id", *[c().alias(k) for k, (c, _) in columns.items()]), digits=5)
+def _family(columns: dict[str, tuple[Callable[[], Column], str]], digits: int) -> Query:
+    return lambda spark, d: shown(operands(spark, d).select("event_id", *[c().alias(k) for k, (c, _) in columns.items()]), digits=digits)
 
 
 TEXTS = ("lead", "tail", "inner_", "glued", "swapped", "trimmed", "money", "day_", "clock", "stamp", "later", "month_on", "span_on")
+LONG = ("elapsed", "working")
 WHOLE = ("eq", "ne", "lt", "gt", "le", "ge", "not_", "xor_", "yes", "no", "size_", "y", "m", "dom", "dow", "iso", "locale_week", "serial", "elapsed", "working", "place")
 for _name, _columns in FAMILIES.items():
-    QUERIES[_name] = _family(_columns)
-    _sql = [f"{s} AS {k}" if k in TEXTS else f"CAST({s} AS BIGINT) AS {k}" if k in WHOLE or (_name, k) == ("text_functions", "size") else f"round(CAST({s} AS DOUBLE), 5) + 0.0 AS {k}" for k, (_, s) in _columns.items()]
+    _digits = 5 if _name == "date_parts" else 9  # hours are exact decimals that end in 5
+    QUERIES[_name] = _family(_columns, _digits)
+    _sql = [f"{s} AS {k}" if k in TEXTS else f"CAST({s} AS {'BIGINT' if k in LONG else 'INT'}) AS {k}" if k in WHOLE or (_name, k) == ("text_functions", "size") else f"round(CAST({s} AS DOUBLE), {_digits}) + 0.0 AS {k}" for k, (_, s) in _columns.items()]
     SQL[_name] = f"WITH {OPERANDS} SELECT event_id, {', '.join(_sql)} FROM o"
 
 
