@@ -70,8 +70,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model | None:
-    """views: the two views of labelled rows, in an order that says nothing; y: 0/1. None unless both classes have rows."""
+def fit(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, share: float | None = None) -> Model | None:
+    """views: the two views of labelled rows, in an order that says nothing; y: 0/1; share: of good rows among all
+    labelled ones, where y has the classes sampled apart (the score is then that of the whole). None unless both classes have rows."""
     if len(set(y.tolist())) < 2:
         return None
     part = np.arange(len(y)) % 3 == 0
@@ -100,6 +101,9 @@ def fit(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndar
     z = [views[v][use] @ weights[v] + bias[v] for v in (0, 1)]
     cal = np.array([[*np.ravel(w), b] for w, b in (logistic(s[:, None], y[use]) for s in z)])
     w, b = logistic(np.c_[z[0] * cal[0, 0] + cal[0, 1], z[1] * cal[1, 0] + cal[1, 1]], y[use])
+    if share is not None and 0 < share < 1:
+        own_share = y[use].mean()
+        b += math.log(share / (1 - share)) - math.log(own_share / (1 - own_share))
     return Model(weights, bias, cal, np.array([*w, b]))
 
 
@@ -116,11 +120,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, pool: int =
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_o")).where("quality = _o").drop("_o")
     rows = documents(docs, *COLUMNS).where("text is not null")
-    known = rows.join(F.broadcast(sampled(marked.where(learnable(F.col("doc_id"))), "quality", most)), "doc_id")  # 1.2 * most a class
+    fair = marked.where(learnable(F.col("doc_id")))
+    share = fair.agg(F.avg("quality")).first()[0]
+    known = rows.join(F.broadcast(sampled(fair, "quality", most)), "doc_id")  # 1.2 * most a class
     known = known.orderBy(F.xxhash64("doc_id"), "text").collect()
     few = sampled(rows.where(learnable(F.col("doc_id"))).select("doc_id", F.lit(0).alias("all")), "all", pool, seed=11).select("doc_id").distinct()
     free = rows.join(F.broadcast(few), "doc_id").join(marked, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "text").collect()  # 1.2 * pool
-    return fit(views(known), np.array([r.quality for r in known], float), views(free)) if known else None
+    return fit(views(known), np.array([r.quality for r in known], float), views(free), share=share) if known else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
