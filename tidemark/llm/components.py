@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -17,12 +17,14 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = stored(ends.select("src", "dst").unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("id")).alias("component")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
+        near = both.join(labels.select("id", "component").withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         least = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         least = stored(least, "least")
         jump = least.select(F.col("id").alias("component"), F.col("component").alias("next"))
         new = stored(least.join(jump, "component", "left").select("id", "was", F.least("component", "next").alias("component")), "labels")
-        labels = new.select("id", "component")
+        discard(least, labels)
         if not new.where("was <> component").limit(1).count():
-            return labels
+            discard(both)
+            return new.select("id", "component")
+        labels = new
     raise RuntimeError(f"the components have not settled in {most_rounds} rounds")

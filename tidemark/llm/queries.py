@@ -27,6 +27,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+h AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 400)) AS m FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS p FROM d WHERE length(x) >= 400)),
+r AS (SELECT doc_id, p FROM h SEMI JOIN (SELECT m FROM h GROUP BY m HAVING count(*) > 1) USING (m)),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER w <= 200 THEN 0 ELSE 1 END AS starts FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT doc_id, min(p) AS lo, max(p) + 200 AS hi FROM (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g) GROUP BY doc_id, k),
+e AS (SELECT doc_id, lo, hi, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS next FROM s),
+k AS (SELECT doc_id, min(lo) AS first, sum(hi - lo) AS n, count(*) AS spans, string_agg(substr(x, 2 * hi + 1, 2 * (coalesce(next, length(x) // 2) - hi)), '' ORDER BY lo) AS rest FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN x ELSE substr(x, 1, 2 * first) || rest END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -36,6 +50,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+OP4_SQL = r"""
+WITH t AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', ' ', 'g'), '[^\x20\x09-\x0D]+') AS w FROM t WHERE text IS NOT NULL),
+b AS (SELECT id AS item_id, w, least(13, len(w)) AS n FROM w WHERE side = 1 AND len(w) >= 5),
+bw AS (SELECT item_id, n, w[i:i + n - 1] AS a FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+vocabulary AS (SELECT DISTINCT unnest(w) AS word FROM b),
+known AS (SELECT id, p, word, v.word IS NOT NULL AS k FROM (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w WHERE side = 0) LEFT JOIN vocabulary v USING (word)),
+runs AS (SELECT k.id, k.p, s.n, sum(CAST(k.k AS INT)) OVER (PARTITION BY k.id, s.n ORDER BY k.p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS upto FROM known k, (SELECT DISTINCT n FROM bw) s),
+dw AS (SELECT r.id AS doc_id, r.n, r.p - r.n AS pos, w.w[r.p - r.n + 1:r.p] AS a FROM runs r JOIN w ON w.side = 0 AND w.id = r.id WHERE r.p >= r.n AND r.upto >= ceil(0.8 * r.n)),
+m AS (SELECT doc_id, item_id, pos, n FROM (SELECT DISTINCT d.doc_id, b.item_id, d.pos, d.n, len(list_filter(range(1, d.n + 1), lambda i: d.a[i] = b.a[i])) AS same
+  FROM dw d JOIN bw b ON d.n = b.n) WHERE same >= ceil(0.8 * n))
+SELECT doc_id, item_id, CAST(count(DISTINCT pos) AS BIGINT) AS n_windows, CAST(min(pos) AS INT) AS first_token, CAST(max(pos + n - 1) AS INT) AS last_token FROM m GROUP BY doc_id, item_id
+"""
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("virtual_slot")
 
@@ -97,4 +126,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": OP8_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op8_substring_dedup": OP8_SQL}
