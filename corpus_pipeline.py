@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component, that of the smallest doc_id; of repeated rows one, of rows without an id none
-    where the component has an id."""
+    """Keeps one document of each SimHash component, that of the smallest doc_id; of repeated rows one, and of rows without an
+    id none where the component has an id."""
     return simhash.keep_one(docs.select(*COLUMNS))
 
 

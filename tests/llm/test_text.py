@@ -154,6 +154,8 @@ def test_simhash(docs):
     assert sorted(got, key=str) == sorted(want, key=str)
     kept = simhash.keep_one(docs)
     assert kept.count() == len({c for _, _, c in want}) and kept.columns == docs.columns
+    nameless = make(docs.sparkSession, [(None, "one text that has no id at all", "en", "s"), (None, "quite another one without an id", "en", "s"), (None, "quite another one without an id", "en", "s")])
+    assert simhash.keep_one(nameless).count() == 2
 
 
 def test_covering_masks_lose_no_pair_and_large_buckets_are_split(spark):

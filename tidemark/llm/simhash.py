@@ -157,7 +157,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE)
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
-    """docs without near copies: of each component the row of its smallest doc_id, with all its columns; of several such rows, one."""
-    found = near_duplicates(docs, radius, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    wanted = found.withColumnRenamed("doc_id", "_wanted")
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").dropDuplicates(["doc_id"])
+    """docs without near copies: of each component the row of its smallest doc_id, with all its columns; of several such rows, one.
+    A row without an id goes by its text and stays only where its component has no id."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+    keyed = docs.withColumn("_own", own)
+    found = near_duplicates(keyed.select(F.col("_own").alias("doc_id"), "text"), radius, words).where("doc_id = component_id")
+    return keyed.join(found.select(F.col("doc_id").alias("_own")).distinct(), "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
