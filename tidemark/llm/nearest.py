@@ -150,7 +150,8 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         return pd.DataFrame([{"shard": int(group["shard"].iloc[0]), "n": len(x), "dim": x.shape[1], "start": start, "ids": group["vec_id"].to_numpy(np.int64).tobytes(), "vectors": x.tobytes(), "extra": extra.tobytes(), "graph": g.astype(np.int32).tobytes()}])
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(graph, schema)  # about shard_rows rows a group, whatever the input
+    # one partition a shard: a shard is few bytes and much work, so partitions are not to be merged by their bytes
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(graph, schema)  # about shard_rows rows a group, whatever the input
 
 
 def search(queries: DataFrame, indexed: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
@@ -186,7 +187,8 @@ def search(queries: DataFrame, indexed: DataFrame, k: int = 20, beam: int = BEAM
                     top = order[np.arange(len(order)) - first < k]
                     yield record({"query_id": who[ok][top], "vec_id": out_id[top], "score": score[top]}, arrow)
 
-    joined = sent.join(indexed, "shard").select("n", "dim", "start", "ids", "vectors", "extra", "graph", "asked")
+    parts = int(shards or 0) + 1
+    joined = sent.repartition(parts, "shard").join(indexed.repartition(parts, "shard"), "shard").select("n", "dim", "start", "ids", "vectors", "extra", "graph", "asked")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a row holds a shard
     hits = stored(joined.mapInArrow(answer, schema), "hits")
     small_batches(spark)
