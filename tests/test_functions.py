@@ -139,3 +139,21 @@ def test_obv_uses_adjusted_prices(spark):
     df = series(spark, closes, open=closes, high=closes, low=closes, volume=[5, 6, 7], adj_close=[10.0, 10.0, 11.0])
     # adjusted closes are 10, 10, 11: only the last bar counts, 3 * 7 * 2 / (3 * 2)
     assert ind.with_obv(df, "x", 1, W1()).orderBy(F.desc("ending")).first().x == pytest.approx(7.0)
+
+
+def test_calendar_properties(spark):
+    from tidemark.functions import calendar as cal
+
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=f * 7, minutes=f),) for f in (0, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987)]
+    df, t = spark.createDataFrame(rows, "t timestamp"), F.col("t")
+    for interval in ("m5", "m30", "m240", "day", "week", "month", "quarter", "year"):
+        n = 5
+        out = df.select(
+            cal.floor(cal.floor(t, interval), interval) == cal.floor(t, interval), cal.ceil(cal.ceil(t, interval), interval) == cal.ceil(t, interval),
+            cal.inc(cal.dec(t, interval, 2 * n), interval, n) == cal.dec(t, interval, n), cal.diff(cal.inc(t, interval, n), t, interval) == n,
+            cal.diff(t, cal.inc(t, interval, n), interval) == -n, cal.floor(t, interval) <= t,
+        )
+        assert all(all(r) for r in out.collect()), interval
+    s, e = cal.session(t, "17:00:00", "16:00:00")
+    r = spark.createDataFrame([(dt.datetime(2024, 3, 8, 16, 30),), (dt.datetime(2024, 3, 6, 15, 0),)], "t timestamp").select(s, e).collect()
+    assert tuple(r[0]) == (dt.datetime(2024, 3, 10, 17), dt.datetime(2024, 3, 11, 16)) and tuple(r[1]) == (dt.datetime(2024, 3, 5, 17), dt.datetime(2024, 3, 6, 16))

@@ -100,3 +100,10 @@ def combined_legs(legs: DataFrame, group: str = "order_ref") -> DataFrame:
     per = legs.join(q.select(group, unit.alias("unit")), group)
     side = F.when(F.col("action") == "BUY", 1).otherwise(-1)
     return per.groupBy(group).agg(F.first("unit").alias("quant"), F.sum(side * F.col("limit") * F.col("quant") / F.col("unit")).alias("limit"))
+
+
+def allocation(balances_: DataFrame, allocation_pct: float = 100.0, peak_pct: float = 0.0, reserve: float = 0.0, least: float | None = None, most: float | None = None) -> DataFrame:
+    """What may be invested at each time: a share of the net worth plus a share of its peak, less a reserve, within bounds."""
+    a = F.col("net") * (allocation_pct / 100) + F.col("peak") * (peak_pct / 100) - reserve
+    a = F.greatest(a, F.lit(0.0 if least is None else float(least)))
+    return balances_.withColumn("net_allocation", a if most is None else F.least(a, F.lit(float(most))))

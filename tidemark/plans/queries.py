@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import calendar as cal
 from ..functions import common as fn
 from ..functions import indicators as ind
 from ..functions import lookback as lb
 from ..functions.rolling import Retained
 from ..operators import asof, bars, collect, corporate, models, orders, search
+from ..sources import catalog
 from ..streaming import bars as streaming
 from .quote import Quote, islands
 from .tables import SHOW, STAMP, D, H, event_bars, order_bars, read, rolled, rounded, shown
@@ -713,3 +715,101 @@ def stream_bars_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """The definition of the stream, run over the finished table (tests hold the running stream against it)."""
     ticks = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return shown(streaming.tumbling(ticks, "1 hour", "1 hour", F.col("event_type"), F.col("value")))
+
+# periods, dimensions, balances and the other stream windows
+
+
+@query("calendar_periods", """SELECT event_id, strftime(date_trunc('hour', ts) + INTERVAL 1 MINUTE * CAST(floor(minute(ts) / 15) * 15 AS INT), '%Y-%m-%d %H:%M:%S') AS quarter_hour,
+  strftime(date_trunc('month', ts) + INTERVAL 2 MONTH, '%Y-%m-%d %H:%M:%S') AS two_months_on, strftime(date_trunc('week', ts), '%Y-%m-%d %H:%M:%S') AS week,
+  CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS INT) AS weeks FROM events""")
+def calendar_periods(spark: SparkSession, d: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    e = read(spark, d, "events")
+    return shown(e.select("event_id", cal.floor(ts, "m15").alias("quarter_hour"), cal.inc(ts, "month", 2).alias("two_months_on"), cal.floor(ts, "week").alias("week"), cal.diff(ts, F.lit("2024-01-01").cast("timestamp"), "week").alias("weeks")))
+
+
+@query("bars_period_end", f"WITH {D}, {rolled('d', 'month')} SELECT symbol, market, {STAMP()}, strftime(f - INTERVAL 1 DAY * greatest(isodow(f) - 5, 0), '%Y-%m-%d %H:%M:%S') AS stamped FROM (SELECT *, date_trunc('month', ending) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS f FROM r)")
+def bars_period_end(spark: SparkSession, d: str) -> DataFrame:
+    m = bars.roll_up(order_bars(spark, d), "month")
+    return shown(m.select("symbol", "market", "ending", bars.last_weekday(F.col("ending"), "month").alias("stamped")))
+
+
+@query("merge_first_sources", "SELECT c_custkey AS k, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, 'other ' || c_mktsegment) AS name, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END, CAST(c_nationkey AS DOUBLE)) AS balance FROM customer")
+def merge_first_sources(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer")
+    a = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal")).alias("balance"), F.lit(0).alias("_source"))
+    b = c.select(F.col("c_custkey").alias("k"), F.concat(F.lit("other "), "c_mktsegment").alias("name"), F.col("c_nationkey").cast("double").alias("balance"), F.lit(1).alias("_source"))
+    return catalog.merge_first(a.unionByName(b), ["k"])
+
+
+@query("lookup_top", "SELECT p_name AS symbol, p_brand AS market, p_type AS name FROM (SELECT DISTINCT p_name, p_brand, min(p_type) OVER (PARTITION BY p_name, p_brand) AS p_type FROM part WHERE p_name ILIKE '%red%') ORDER BY CASE WHEN lower(p_name) = 'red' THEN 0 WHEN lower(p_name) LIKE 'red%' THEN 1 ELSE 2 END, length(p_name), p_name, p_brand LIMIT 12")
+def lookup_top(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").groupBy(F.col("p_name").alias("symbol"), F.col("p_brand").alias("market")).agg(F.min("p_type").alias("name"))
+    return catalog.lookup([p.where(F.lower("symbol").contains("red"))], "red")
+
+
+@query("commission_first_match", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 0.5 WHEN p_retailprice > 1500 THEN 0.3 ELSE 0.1 END AS fee FROM part")
+def commission_first_match(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.sql("SELECT * FROM VALUES (1, 41, 0D, 0.5D), (2, 0, 1500D, 0.3D), (3, 0, 0D, 0.1D) AS t(place, least_size, above, fee)")
+    part = read(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    on = (F.col("p_size") >= F.col("least_size")) & ((F.col("p_retailprice") > F.col("above")) | (F.col("above") == 0))
+    return asof.first_match(part, rules, on, ["p_partkey"], "place").select("p_partkey", "fee")
+
+
+@query("fx_rate_asof", f"WITH {H}, c AS (SELECT * FROM h WHERE symbol = 'view') SELECT o_orderkey, round(o_totalprice * coalesce(c.close, 1), 4) + 0.0 AS value FROM (SELECT *, TIMESTAMP '2024-01-10' + INTERVAL 1 HOUR * CAST(o_orderkey % 200 AS INT) AS at FROM orders) o ASOF LEFT JOIN c ON o.at > c.ending")
+def fx_rate_asof(spark: SparkSession, d: str) -> DataFrame:
+    rates = event_bars(spark, d).where("symbol = 'view'").select(F.lit("USD").alias("currency"), F.col("ending").alias("at"), "close")
+    at = F.lit("2024-01-10").cast("timestamp") + F.make_dt_interval(hours=(F.col("o_orderkey") % 200).cast("int"))
+    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit("USD").alias("currency"), at.alias("at"))
+    j = asof.asof_join(o, rates, ["currency"], "at", "r", strict=True)
+    return shown(j.select("o_orderkey", (F.col("o_totalprice") * F.coalesce("r.close", F.lit(1.0))).alias("value")), digits=4)
+
+
+@query("balances_allocation", f"WITH {H}, f AS (SELECT ending, 'USD' AS currency, sum(close - open) AS x FROM h GROUP BY 1), n AS (SELECT *, 1000 + sum(x) OVER (ORDER BY ending) AS net FROM f), p AS (SELECT *, max(net) OVER (ORDER BY ending) AS peak FROM n) SELECT {STAMP()}, currency, {rounded('net', 'peak', digits=4)}, round(least(greatest(net * 0.5 + peak * 0.1 - 50, 0), 900), 4) + 0.0 AS net_allocation FROM p")
+def balances_allocation(spark: SparkSession, d: str) -> DataFrame:
+    h = event_bars(spark, d).select("ending", F.lit("USD").alias("currency"), (C() - F.col("open")).alias("mtm"))
+    first = h.groupBy("currency").agg(F.min("ending").alias("ending"), F.lit(1000.0).alias("amount"))
+    return shown(orders.allocation(orders.balances(h, first.select("ending", "currency", "amount")), 50, 10, 50, None, 900), digits=4)
+
+
+@query("stream_sliding", "SELECT symbol, strftime(e, '%Y-%m-%d %H:%M:%S') AS ending, round(avg(value), 6) + 0.0 AS mean, max(value) AS high, min(value) AS low FROM (SELECT event_type AS symbol, value, unnest([date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 2 HOUR]) AS e FROM events) GROUP BY 1, 2")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    ticks = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return shown(streaming.sliding(ticks, "2 hours", "1 hour", "1 hour", F.col("event_type"), F.col("value")))
+
+
+@query("stream_sessions", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM g) SELECT event_type AS symbol, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ending, max(value) AS high, min(value) AS low, count(*) AS volume FROM s GROUP BY event_type, k")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    ticks = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return shown(streaming.sessions(ticks, "1 hour", "1 hour", F.col("event_type"), F.col("value")))
+
+
+def _horner(coefficients: list[float], x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def cdf_sql(x: str) -> str:
+    """The same rational approximation, for |x| < 7."""
+    tail = f"exp(-({x}) * ({x}) / 2) * {_horner(fn._P, f'abs({x})')} / {_horner(fn._Q, f'abs({x})')}"
+    return f"CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+@query("norm_cdf_inv", f"WITH {OPERANDS} SELECT event_id, round({cdf_sql('b / 2')}, 9) + 0.0 AS cdf, round(b / 2, 6) + 0.0 AS back FROM o WHERE b IS NOT NULL")
+def norm_cdf_inv(spark: SparkSession, d: str) -> DataFrame:
+    o = operands(spark, d).where("b is not null").select("event_id", fn.normsdist(B() / 2).alias("cdf"))
+    return o.select("event_id", (F.round("cdf", 9) + 0.0).alias("cdf"), (F.round(fn.normsinv(F.col("cdf")), 6) + 0.0).alias("back"))
+
+
+_S = "CAST(100 AS DOUBLE)"
+_D1 = "(ln(100 / k) + (0.02 + v * v / 2) * t) / (v * sqrt(t))"
+
+
+@query("black_scholes", f"WITH {OPERANDS}, q AS (SELECT event_id, 100 + b * 5 AS k, (30 + event_id % 300) / 365.0 AS t, (20 + fmod(abs(a), 30)) / 100 AS v FROM o WHERE a IS NOT NULL AND b IS NOT NULL), g AS (SELECT *, CAST({_D1} AS DOUBLE) AS d1 FROM q), z AS (SELECT *, d1 - v * sqrt(t) AS d2 FROM g) SELECT event_id, round(100 * ({cdf_sql('d1')}) - k * exp(-0.02 * t) * ({cdf_sql('d2')}), 6) + 0.0 AS price FROM z")
+def black_scholes(spark: SparkSession, d: str) -> DataFrame:
+    o = operands(spark, d).where("a is not null and b is not null")
+    price = fn.black_scholes(100, F.col("k"), F.col("t"), F.col("v"), 2, "C")
+    staged = o.select("event_id", (100 + B() * 5).alias("k"), (30 + F.col("event_id") % 300).alias("t"), (20 + F.abs(A()) % 30).alias("v"))
+    return shown(staged.select("event_id", price.alias("price")))
