@@ -116,6 +116,9 @@ def test_substring_dedup(docs):
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(w[2] for w in want) > 300
+    for most in (0, 2):  # all anchors, or those of more than two runs, window by window
+        by_window = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(docs, anchor_runs=most).collect()]
+        assert sorted(by_window, key=str) == sorted(want, key=str)
     more = substring_dedup.dedup(docs, "source", "text")
     assert more.columns[-2:] == ["source", "text"] and more.where("text is null").count() == 1
 

@@ -5,7 +5,8 @@ each partition counts, document by document, the anchors of its windows in a ske
 saturating addition. A window occurs in no more documents than its anchor, and the sketch never underestimates, so every window
 that two documents hold is estimated repeated. Second pass: only windows so estimated are grouped exactly, by anchor and window
 hash, for the smallest document that holds them. Consecutive windows with one anchor travel as one run, and equal runs of a batch
-as one row, so copies by the thousand don't meet as thousands of rows.
+as one row, so copies by the thousand don't meet as thousands of rows. An anchor that very many different runs share, as a common
+phrase does, is not grouped in one task: the windows of its runs are grouped one by one, by aggregations that combine map-side.
 
 The sketch has the same size whatever the input: over far more windows than cells it passes more of them on, but loses none.
 """
@@ -26,6 +27,11 @@ from .windows import WordHashes, anchors, mix, run_hashes
 
 WINDOW, GRAM = 13, 5
 NO_ID = (1 << 63) - 1
+#: Runs of one anchor beyond which its windows are grouped one by one, and cells in which such anchors are marked. Other anchors of
+#: a marked cell go the same way, which is as exact.
+ANCHOR_RUNS, HOT_CELLS = 1000, 1 << 18
+
+
 def windowed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of word hashes: the hash of each five-word run, and for each window the position of its anchor among them."""
     grams = run_hashes(words, GRAM)
@@ -144,29 +150,68 @@ def least_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out
 
 
-def removals(docs: DataFrame) -> DataFrame:
+SINGLE = "anchor long, sig long, at int, win long, lo long, hi long"
+
+
+def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 1 -> one row for each window, with its place in the run."""
+    arrow = to_arrow(SINGLE)
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        anchor, sig, lo, hi, n = (t.column(c).to_numpy() for c in ("anchor", "sig", "lo", "hi", "n"))
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        win = np.frombuffer(b"".join(t.column("windows").to_pylist()), np.int64)
+        yield record({"anchor": anchor[row], "sig": sig[row], "at": at.astype(np.int32), "win": win, "lo": lo[row], "hi": hi[row]}, arrow)
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, sig, low, high, mins as array) -> LEAST."""
+    arrow = to_arrow(LEAST)
+    for batch in batches:
+        low, high = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        arrays = [None if a == b else np.array(m, np.int64).tobytes() for a, b, m in zip(low, high, batch.column(4).to_pylist(), strict=True)]
+        yield record({"anchor": batch.column(0), "sig": batch.column(1), "least": low, "mins": arrays}, arrow)
+
+
+def least_holders_by_window(runs: DataFrame) -> DataFrame:
+    """What least_holders finds, without a group of all runs of an anchor: runs (rows of kind 1) -> LEAST."""
+    single = runs.mapInArrow(single_windows, SINGLE).groupBy("anchor", "sig", "at", "win").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    single = stored(single, "single")
+    held = single.groupBy("anchor", "win").agg(F.min("lo").alias("least"), F.max("hi").alias("top"))
+    of = single.select("anchor", "sig", "at", "win").join(held, ["anchor", "win"]).groupBy("anchor", "sig")
+    mins = F.sort_array(F.collect_list(F.struct("at", "least")))  # a run has at most WINDOW - GRAM + 1 windows
+    found = of.agg(F.min("least").alias("low"), F.max("least").alias("high"), F.max("top").alias("top"), mins.alias("mins")).where("low < top")
+    return found.select("anchor", "sig", "low", "high", F.col("mins.least").alias("mins")).mapInArrow(packed, LEAST)
+
+
+def removals(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS) -> DataFrame:
     """docs (doc_id, text, key) -> doc_id, key, runs: where a window also stands in a document of smaller id."""
     spark = docs.sparkSession
     runs = stored(repeated_runs(docs, repeated_cells(docs, counted)), "runs")
     distinct = runs.where("kind = 1").select("anchor", "sig", "off", "lo", "hi", "n", "windows")
-    least = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(least_holders, LEAST)
-    small_batches(spark)
+    cell = F.pmod(F.xxhash64("anchor"), F.lit(HOT_CELLS)).alias("cell")
+    hot = stored(distinct.groupBy("anchor").count().where(F.col("count") > anchor_runs).select(cell).distinct(), "hot-cells")
+    hot = F.broadcast(hot)  # HOT_CELLS rows at most
+    dealt = distinct.select("*", cell)
+    few = dealt.join(hot, "cell", "left_anti").drop("cell").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(least_holders, LEAST)
+    many = least_holders_by_window(dealt.join(hot, "cell", "left_semi").drop("cell"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    least = stored(least, "least")
+    least = stored(few.unionByName(many), "least")
     small_batches(spark)
     stand = runs.where("kind = 0").select("doc_id", "key", "anchor", "sig", "start", "n")
     hit = stand.join(least, ["anchor", "sig"]).where("least < doc_id")
     return hit.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "least", "mins")).alias("runs"))  # the runs of one document
 
 
-def dedup(docs: DataFrame, *more: str) -> DataFrame:
+def dedup(docs: DataFrame, *more: str, anchor_runs: int = ANCHOR_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row, with the further columns asked for.
 
     Words are runs of bytes other than space and 0x09-0x0D; null text has none, and texts of under 13 words keep all. A row is
     judged against rows of smaller doc_id only: repeated rows leave each other alone, and a null id counts as larger than any."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{c}") for c in more])
     rows = rows.withColumn("key", F.xxhash64("text"))
-    joined = rows.join(removals(rows.select("doc_id", "text", "key")), ["doc_id", "key"], "left").select("doc_id", "text", "runs", *[f"_{c}" for c in more])
+    joined = rows.join(removals(rows.select("doc_id", "text", "key"), anchor_runs), ["doc_id", "key"], "left").select("doc_id", "text", "runs", *[f"_{c}" for c in more])
     own = "doc_id long, n_words long, n_removed long, kept string"
     schema = T.StructType([*T.StructType.fromDDL(own).fields, *[T.StructField(c, docs.schema[c].dataType) for c in more]])
     arrow = to_arrow(own)
