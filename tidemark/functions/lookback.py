@@ -156,13 +156,20 @@ def in_session(value: Column, ending: Column, opens: str, closes: str, w: Window
     return F.last(F.when(inside, value), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
 
 
-def since(ending: Column, x: Column, anchor: Column, most: int, reduce: Callable[[Column], Column], bars: int, w: WindowSpec) -> Column:
-    """reduce(array) over the values of the first `most` bars after an anchor, among the last `bars` bars."""
-    recent = F.collect_list(F.struct(ending.alias("t"), number(x).alias("x"))).over(last(bars, w))
+def since(keys: list[str], ending: Column, x: Column, anchor: Column, most: int, reduce: Callable[[Column], Column], days: int) -> Column:
+    """reduce(array) over the values of the first `most` bars of a series after an anchor, which lies no more than `days` times 24
+    hours back. The frame is of time, so that it reaches the anchor however many bars lie between."""
+    w = W.partitionBy(*keys).orderBy(F.unix_micros(ending)).rangeBetween(-positive(days, "since") * 86_400_000_000, 0)
+    recent = F.collect_list(F.struct(ending.alias("t"), number(x).alias("x"))).over(w)
     after = F.slice(F.filter(recent, lambda b: b["t"] > anchor), 1, most)
     return reduce(F.transform(after, lambda b: b["x"]))
 
 
+def workdays_span(days: int) -> int:
+    """The most days from the start of a day n weekdays ago to the end of today."""
+    return positive(days, "workdays_span") + 2 * (days // 5 + 1) + 1
+
+
 def days_ago(ending: Column, days: int) -> Column:
     """The anchor of the past n times 24 hours, two days more on Sundays and Mondays."""
     extra = F.when(F.dayofweek(ending) <= 2, positive(days, "days_ago") + 2).otherwise(days)

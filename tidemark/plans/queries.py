@@ -332,12 +332,12 @@ def lb_prior(spark: SparkSession, d: str) -> DataFrame:
     return shown(asof.asof_join(asked, values, ["symbol", "market"], "at", "p").select("symbol", "market", "ending", F.col("p.close").alias("x")), digits=5)
 
 
-for _name, _anchor, _sql_anchor in (
-    ("lb_since", lambda: F.date_trunc("day", fn.workday(F.col("ending"), F.lit(-1))), "date_trunc('day', ending) + INTERVAL 1 DAY * CAST(floor((least(isodow(ending) - 1, 4) - 1) / 5.0) * 7 + ((least(isodow(ending) - 1, 4) - 1) % 5 + 5) % 5 - (isodow(ending) - 1) AS INT)"),
-    ("lb_past", lambda: lb.days_ago(F.col("ending"), 2), "ending - INTERVAL 1 DAY * (CASE WHEN dayofweek(ending) <= 1 THEN 4 ELSE 2 END)"),
+for _name, _anchor, _days, _sql_anchor in (
+    ("lb_since", lambda: F.date_trunc("day", fn.workday(F.col("ending"), F.lit(-1))), lb.workdays_span(1), "date_trunc('day', ending) + INTERVAL 1 DAY * CAST(floor((least(isodow(ending) - 1, 4) - 1) / 5.0) * 7 + ((least(isodow(ending) - 1, 4) - 1) % 5 + 5) % 5 - (isodow(ending) - 1) AS INT)"),
+    ("lb_past", lambda: lb.days_ago(F.col("ending"), 2), 2 + 2, "ending - INTERVAL 1 DAY * (CASE WHEN dayofweek(ending) <= 1 THEN 4 ELSE 2 END)"),
 ):
-    def _anchored(spark: SparkSession, d: str, anchor: Callable[[], Column] = _anchor) -> DataFrame:
-        x = lb.since(F.col("ending"), C(), anchor(), 20, F.array_max, 60, SERIES())
+    def _anchored(spark: SparkSession, d: str, anchor: Callable[[], Column] = _anchor, days: int = _days) -> DataFrame:
+        x = lb.since(KEYS, F.col("ending"), C(), anchor(), 20, F.array_max, days)
         return shown(event_bars(spark, d).select("symbol", "market", "ending", x.alias("x")), digits=5)
 
     QUERIES[_name] = _anchored
