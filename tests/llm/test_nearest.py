@@ -53,3 +53,20 @@ def test_few_and_none(spark):
     assert [(r.query_id, r.rank) for r in sorted(got, key=lambda r: r.rank)] == [(0, k) for k in range(1, 5)]
     assert nearest.nearest(table(spark, [])).count() == 0
     assert nearest.nearest(table(spark, rows_of(1))).count() == 0
+
+
+def test_many_copies(spark):
+    """More copies than a beam holds, some of them queries: the smaller ids win, and no other vector is lost."""
+    rows = rows_of(600)
+    rows += [(1000 + i, rows[7][1], 0, 1, 2) for i in range(400)] + [(3000 + i, rows[11][1], 0, 1, 2) for i in range(30)]
+    want = brute(rows, 20, 20)
+    got = nearest.nearest(table(spark, rows)).toPandas()
+    assert set(got.query_id) == set(want)
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        g = g.sort_values("rank")
+        assert list(g["rank"]) == list(range(1, 21)) and q not in set(g.vec_id)
+        if 1000 <= q < 1400:
+            assert list(g.vec_id) == [i for i, _ in want[q]], q
+        hits += len(set(g.vec_id) & {i for i, _ in want[q]})
+    assert hits / (20 * len(want)) > 0.98

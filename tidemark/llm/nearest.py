@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph in every shard.
 
-Vectors are dealt into shards of a few thousand by a hash of their id. One more component makes all norms of the index equal, so the
+Equal vectors are one node, which keeps the smallest of their ids. Vectors are dealt into shards of a few thousand by their hash. One more component makes all norms of the index equal, so the
 largest inner product is the smallest distance. In each shard the graph is built in two passes: a greedy search from the middle
 proposes neighbours of each vector, and pruning keeps a neighbour only if no kept one is nearer to it by the factor alpha; edges
 back are added and pruned alike. Queries travel in blocks to every shard, a beam search answers there, and the best are merged.
@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import record, small_batches, stored, to_arrow
+from .common import ragged, record, small_batches, stored, to_arrow
 
 #: Vectors of a shard and queries of a block, about; edges of a node; beams when building and when searching.
 SHARD_ROWS, BLOCK_ROWS, DEGREE, BUILD_BEAM, BEAM, ALPHAS = 5000, 512, 32, 64, 128, (1.0, 1.2)
+#: Ids kept of equal vectors: as many as neighbours are asked for, and the query's own.
+COPIES = 21
 
 
 def distances(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -122,7 +124,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, batch: in
     return graph, start
 
 
-INDEX = "shard int, n int, dim int, start int, ids binary, vectors binary, extra binary, graph binary"
+INDEX = "shard int, n int, dim int, start int, ids binary, counts binary, vectors binary, extra binary, graph binary"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -135,27 +137,53 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.size("vector") == (lengths[0].n if lengths else -1)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
+def repeated(hashed: DataFrame) -> DataFrame:
+    """hashed (vec_id, a, b: two hashes of the vector): of each vector under several ids its COPIES smallest ids and their smallest,
+    first. A vector's ids are cut to the smallest in 64 parts, in 8 and then in all, so that no task reads all of a common vector."""
+    for parts in (64, 8, 1):
+        part = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(parts))
+        nth = F.row_number().over(W.partitionBy("a", "b", *([part] if parts > 1 else [])).orderBy("vec_id"))
+        hashed = hashed.withColumn("nth", nth).where(F.col("nth") <= COPIES).drop("nth")
+    ids = hashed.groupBy("a", "b").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most COPIES
+    return ids.where(F.size("ids") > 1).select("a", F.col("ids")[0].alias("first"), "ids")
+
+
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row a shard: its ids, vectors and graph."""
-    stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).first()
+    """One row a shard: its distinct vectors, the ids of each (at most COPIES, the smallest; counts: how many) and the graph."""
+    hashes = F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(7), "vector").alias("b")
+    stats = vectors.agg(F.approx_count_distinct(hashes[0]).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).first()
     shards = max(1, -(-stats.n // shard_rows))
     top = float(stats.most or 0.0)
     schema = INDEX
 
-    def graph(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
+    def graph(group: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("first")
         x = np.stack(group["vector"].to_numpy()).astype(np.float64)
         extra = np.sqrt(np.maximum(0.0, top - (x * x).sum(1)))
         g, start = build(np.c_[x, extra].astype(np.float32))
-        return pd.DataFrame([{"shard": int(group["shard"].iloc[0]), "n": len(x), "dim": x.shape[1], "start": start, "ids": group["vec_id"].to_numpy(np.int64).tobytes(), "vectors": x.tobytes(), "extra": extra.tobytes(), "graph": g.astype(np.int32).tobytes()}])
-
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+        known = dict(zip(more["first"], more["ids"], strict=True))
+        ids = [known.get(i, (i,)) for i in group["first"]]
+        counts = np.array([len(i) for i in ids], np.int32)
+        return pd.DataFrame([{"shard": int(group["shard"].iloc[0]), "n": len(x), "dim": x.shape[1], "start": start, "ids": np.concatenate(ids).astype(np.int64).tobytes(), "counts": counts.tobytes(), "vectors": x.tobytes(), "extra": extra.tobytes(), "graph": g.astype(np.int32).tobytes()}])
+
+    shard = F.pmod(F.col("a"), F.lit(shards)).cast("int").alias("shard")
+    distinct = vectors.groupBy("vector").agg(F.min("vec_id").alias("first")).select("first", "vector", hashes[0]).select("first", "vector", shard)
+    copies = repeated(vectors.select("vec_id", *hashes)).select("first", "ids", shard)
     # one partition a shard: a shard is few bytes and much work, so partitions are not to be merged by their bytes
-    return dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(graph, schema)  # about shard_rows rows a group, whatever the input
+    dealt = distinct.repartition(shards, "shard").groupBy("shard")  # about shard_rows rows a group, whatever the input
+    return dealt.cogroup(copies.repartition(shards, "shard").groupBy("shard")).applyInPandas(graph, schema)
+
+
+def best(ids: np.ndarray, score: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Where the k of largest score in each row are, ties to the smaller id."""
+    order = np.lexsort((ids, -score, row))
+    return order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
 
 
 def search(queries: DataFrame, indexed: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
     """queries (vec_id, vector) against every shard of the index: query_id, rank, vec_id, score (inner product in double precision)."""
+    if k >= COPIES:
+        raise ValueError(f"the index keeps {COPIES} ids of equal vectors, too few for {k} neighbours")
     spark = queries.sparkSession
     n = queries.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
@@ -172,28 +200,31 @@ def search(queries: DataFrame, indexed: DataFrame, k: int = 20, beam: int = BEAM
                 x = np.frombuffer(r["vectors"]).reshape(r["n"], r["dim"])
                 a = np.c_[x, np.frombuffer(r["extra"])].astype(np.float32)
                 graph, ids = np.frombuffer(r["graph"], np.int32).reshape(r["n"], -1).astype(np.int64), np.frombuffer(r["ids"], np.int64)
+                counts = np.frombuffer(r["counts"], np.int32).astype(np.int64)
+                starts = np.cumsum(counts) - counts
                 qid, q = np.array([y["vec_id"] for y in r["asked"]]), np.array([y["vector"] for y in r["asked"]])
                 for i in range(0, len(q), 128):
                     part = np.c_[q[i : i + 128], np.zeros(len(q[i : i + 128]))].astype(np.float32)
                     found, _ = beam_search(a, graph, r["start"], part, beam)
-                    who = np.repeat(qid[i : i + 128], found.shape[1])
                     at = found.ravel()
-                    ok = (at >= 0) & (ids[np.maximum(at, 0)] != who)
-                    row = np.repeat(np.arange(len(part)), found.shape[1])[ok]
-                    score = np.einsum("ij,ij->i", q[i : i + 128][row], x[at[ok]])
-                    out_id = ids[at[ok]]
-                    order = np.lexsort((out_id, -score, row))
-                    first = np.searchsorted(row[order], row[order])
-                    top = order[np.arange(len(order)) - first < k]
-                    yield record({"query_id": who[ok][top], "vec_id": out_id[top], "score": score[top]}, arrow)
+                    row = np.repeat(np.arange(len(part)), found.shape[1])[at >= 0]
+                    at = at[at >= 0]
+                    score = np.einsum("ij,ij->i", q[i : i + 128][row], x[at])
+                    near = best(ids[starts[at]], score, row, k + 1)  # one may be the query alone
+                    many = counts[at[near]]
+                    out_id, score, row = ids[ragged(starts[at[near]], many)], np.repeat(score[near], many), np.repeat(row[near], many)
+                    who = qid[i : i + 128][row]
+                    other = np.flatnonzero(out_id != who)
+                    top = other[best(out_id[other], score[other], row[other], k)]
+                    yield record({"query_id": who[top], "vec_id": out_id[top], "score": score[top]}, arrow)
 
     parts = int(shards or 0) + 1
-    joined = sent.repartition(parts, "shard").join(indexed.repartition(parts, "shard"), "shard").select("n", "dim", "start", "ids", "vectors", "extra", "graph", "asked")
+    joined = sent.repartition(parts, "shard").join(indexed.repartition(parts, "shard"), "shard").select("n", "dim", "start", "ids", "counts", "vectors", "extra", "graph", "asked")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a row holds a shard
     hits = stored(joined.mapInArrow(answer, schema), "hits")
     small_batches(spark)
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # k rows a shard for each query
-    return hits.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # k rows a shard for each query
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
