@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .asof import asof_join
+
 
 def _touched(o: Column, h: Column, lo: Column, c: Column) -> Column:
     """Whether an order trades in a bar, at which price: null if not."""
@@ -27,19 +29,22 @@ def fills(orders: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
 
     orders: order_ref, posted_at, action, quant, order_type, limit, stop, tif and the keys. Bars end after the order is posted; GTC
     orders wait for as many bars as it takes, DAY orders for those of the same day as the first, IOC orders for the first only. The
-    join is of times within a series; the first match is an aggregation, so no bar list of an order is kept."""
-    b = bars.select(*keys, F.col("ending").alias("_ending"), *[F.col(c).alias(f"_{c}") for c in ("open", "high", "low", "close")])
-    joined = orders.join(b, keys).where(F.col("_ending") > F.col("posted_at"))
-    first = F.min("_ending").over(W.partitionBy("order_ref"))
-    timed = joined.withColumn("_first", first).where(
-        (F.col("tif") == "GTC") | ((F.col("tif") == "DAY") & (F.to_date("_ending") == F.to_date("_first"))) | ((F.col("tif") == "IOC") & (F.col("_ending") == F.col("_first")))
-    )
-    price = _touched(F.col("_open"), F.col("_high"), F.col("_low"), F.col("_close"))
-    hit = timed.withColumn("_price", price).groupBy("order_ref").agg(F.min_by(F.struct("_ending", "_price"), F.when(F.col("_price").isNotNull(), F.col("_ending"))).alias("_f"), F.max(F.col("_price").isNotNull()).alias("_hit"))
-    out = orders.join(hit, "order_ref", "left")
-    filled = F.coalesce("_hit", F.lit(False))
-    status = F.when(filled, "filled").when((F.col("tif") != "GTC") & F.col("_hit").isNotNull(), "cancelled").otherwise("working")
-    return out.select(*orders.columns, F.when(filled, F.col("_f._ending")).alias("traded_at"), F.when(filled, F.col("_f._price")).alias("traded_price"), status.alias("status"))
+    first bar is found as of the order's time. Only orders that it leaves open meet later bars: DAY orders those of its day, GTC orders
+    all; the first match is an aggregation, so no bar list of an order is kept."""
+    prices = ("open", "high", "low", "close")
+    b = bars.select(*keys, F.col("ending").alias("_ending"), *[F.col(c).alias(f"_{c}") for c in prices])
+    asked = asof_join(orders, b.withColumn("posted_at", F.col("_ending")), keys, "posted_at", "_first", forward=True, strict=True)
+    asked = asked.withColumn("_at", F.col("_first._ending")).withColumn("_price", _touched(*[F.col(f"_first._{c}") for c in prices]))
+    left = asked.where("_at is not null and _price is null").drop("_first", "_price")
+    day, later = F.to_date("_ending").alias("_day"), F.col("_ending") > F.col("_at")
+    days = left.where("tif = 'DAY'").withColumn("_day", F.to_date("_at")).join(b.select("*", day), [*keys, "_day"]).where(later).drop("_day")
+    met = days.unionByName(left.where("tif = 'GTC'").join(b, keys).where(later))
+    hit = met.withColumn("_p", _touched(*[F.col(f"_{c}") for c in prices])).where("_p is not null").groupBy("order_ref").agg(F.min_by(F.struct("_ending", "_p"), "_ending").alias("_f"))
+    out = asked.join(hit, "order_ref", "left")
+    at_once = F.col("_price").isNotNull()
+    at, price = F.when(at_once, F.col("_at")).otherwise(F.col("_f._ending")), F.coalesce("_price", "_f._p")
+    status = F.when(price.isNotNull(), "filled").when((F.col("tif") != "GTC") & F.col("_at").isNotNull(), "cancelled").otherwise("working")
+    return out.select(*orders.columns, at.alias("traded_at"), price.alias("traded_price"), status.alias("status"))
 
 
 def combo_fills(legs: DataFrame, group: str = "combo_ref") -> DataFrame:

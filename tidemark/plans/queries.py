@@ -666,9 +666,9 @@ def strategize_climb(spark: SparkSession, d: str) -> DataFrame:
 
 
 def posted(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    """An order for every fortieth event, at a price near its value."""
-    e = read(spark, d, "events").where("event_id % 40 = 0")
-    buy = F.col("event_id") % 80 == 0
+    """An order for every event, at a price near its value."""
+    e = read(spark, d, "events")
+    buy = F.floor(F.col("event_id") / 40) % 2 == 0
     price = F.round(F.col("value") * F.when(buy, 0.8).otherwise(1.2), 2)
     return e.select(F.col("event_id").alias("order_ref"), F.col("ts").cast("timestamp").alias("posted_at"), F.col("event_type").alias("symbol"), F.lit("EVT").alias("market"), F.when(buy, "BUY").otherwise("SELL").alias("action"), F.lit(1.0).alias("quant"), F.lit(kind).alias("order_type"), price.alias("limit"), price.alias("stop"), F.when(F.col("event_id") % 3 == 0, "GTC").when(F.col("event_id") % 3 == 1, "DAY").otherwise("IOC").alias("tif"))
 
@@ -695,7 +695,7 @@ for _name, _kind, _price in (
 
 @query("positions_mtm", f"WITH {H}, t AS (SELECT event_type AS symbol, date_trunc('hour', ts) + INTERVAL 1 HOUR AS ending, sum(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE -1.0 END) AS q, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * value) AS spent, count(*) * 0.01 AS fee FROM events WHERE event_id % 10 < 3 GROUP BY 1, 2), b AS (SELECT h.symbol, h.market, h.ending, h.close, coalesce(q, 0) AS q, coalesce(spent, 0) AS spent, coalesce(fee, 0) AS fee FROM h LEFT JOIN t USING (symbol, ending)), p AS (SELECT *, sum(q) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS position FROM b) SELECT symbol, market, {STAMP()}, round(position, 6) + 0.0 AS position, round(position * close, 4) + 0.0 AS value, round(position * close - coalesce(lag(position * close) OVER ({OVER}), 0) - spent - fee, 4) + 0.0 AS mtm FROM p")
 def positions_mtm(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").where("event_id % 10 < 3")
+    e = read(spark, d, "events")
     trades = e.select(F.col("event_type").alias("symbol"), F.lit("EVT").alias("market"), bars.period_end(F.col("ts").cast("timestamp"), "m60").alias("ending"), F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(-1.0).alias("quant"), F.col("value").alias("price"))
     return shown(orders.positions(trades, event_bars(spark, d), KEYS, 0.01).select(*KEYS, "ending", "position", "value", "mtm"), digits=4)
 
