@@ -300,7 +300,7 @@ for _name, _x in (("lb_var", "-risk"), ("lb_cvar", "-coalesce(list_avg(list_filt
 def lb_regression(spark: SparkSession, d: str) -> DataFrame:
     b = event_bars(spark, d).withColumn("i", F.row_number().over(SERIES()))
     b = b.select("symbol", "market", "ending", "i", lb.regression_slope(10, C(), F.col("i"), SERIES()).alias("slope"), lb.r_squared(10, C(), F.col("i"), SERIES()).alias("r2"))
-    return shown(b.where("i > 2").drop("i"), digits=4)
+    return shown(b.drop("i"), digits=4)
 
 
 @query("lb_profit_factor", f"WITH {H}, c AS (SELECT *, close - lag(close) OVER ({OVER}) AS ch FROM h) SELECT symbol, market, {STAMP()}, round(sum(greatest(coalesce(ch, 0), 0)) {rows(8)} / nullif(sum(greatest(-coalesce(ch, 0), 0)) {rows(8)}, 0), 5) + 0.0 AS x FROM c")
@@ -456,7 +456,7 @@ def model_ratio(spark: SparkSession, d: str) -> DataFrame:
 def model_ols1(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("market").orderBy("ending")
     j = _pair(spark, d).select("market", "ending", F.col("a.close").alias("y"), F.col("b.close").alias("x")).where("x is not null and y is not null")
-    out = models.with_regression(j.withColumn("n", F.row_number().over(w)), F.col("y"), F.col("x"), 30, w).where("n >= 30")
+    out = models.with_regression(j, F.col("y"), F.col("x"), 30, w)
     return shown(out.select("ending", "slope", "intercept"), digits=4)
 
 
@@ -519,7 +519,7 @@ for _name, (_roll, _expr) in ROLLING.items():
 def correl_max(spark: SparkSession, d: str) -> DataFrame:
     r = retained(spark, d)
     out = corporate.max_correlation(r.df, "close", 20)
-    return shown(out.where("_time > 60").select("index", "temporal", "max_correl"), digits=4)
+    return shown(out.select("index", "temporal", "max_correl"), digits=4)
 
 
 # collect
