@@ -125,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, pool: int =
     known = rows.join(F.broadcast(sampled(fair, "quality", most)), "doc_id")  # 1.2 * most a class
     known = known.orderBy(F.xxhash64("doc_id"), "text").collect()
     few = sampled(rows.where(learnable(F.col("doc_id"))).select("doc_id", F.lit(0).alias("all")), "all", pool, seed=11).select("doc_id").distinct()
-    free = rows.join(F.broadcast(few), "doc_id").join(marked, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "text").collect()  # 1.2 * pool
+    few = few.join(marked, "doc_id", "left_anti")  # of ids alone: no text is to be dealt for it
+    free = rows.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "text").collect()  # 1.2 * pool
     return fit(views(known), np.array([r.quality for r in known], float), views(free), share=share) if known else None
 
 
