@@ -7,22 +7,24 @@ rehash. All work on rows is DataFrame expressions; only the slot table (one row
 
 from __future__ import annotations
 
-import heapq
 import uuid
+from bisect import bisect_left, insort
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
 
 SLOTS = 4096
 
 
 def with_slot(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Adds virtual_slot (hash of doc_id alone; a null id has a slot too) and size (UTF-8 bytes of the text, null as none, plus 1)."""
+    """Adds virtual_slot (hash of doc_id and text: rows that share an id, or have none, are spread too) and size (UTF-8 bytes of the text,
+    null as none, plus 1)."""
     return docs.withColumns({
-        "virtual_slot": F.pmod(F.xxhash64(F.col("doc_id")), F.lit(slots)).cast("int"),
+        "virtual_slot": F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(slots)).cast("int"),
         "size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"),
     })
 
@@ -32,21 +34,56 @@ def slot_bytes(slotted: DataFrame) -> DataFrame:
     return slotted.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
-def rebalance(current: list[int], loads: list[int], shards: int) -> list[int]:
-    """Edits a slot-to-shard map so that shards hold near equal bytes: the heaviest slots first, each to the lightest shard;
-    a slot stays where it is while its shard is no heavier than that shard would be by the slot's own bytes."""
-    heap, at = [(0, s) for s in range(shards)], [0] * shards
-    new = list(current)
-    heapq.heapify(heap)
-    for slot in sorted(range(len(loads)), key=lambda i: (-loads[i], i)):
-        while heap[0][0] != at[heap[0][1]]:
-            heapq.heapreplace(heap, (at[heap[0][1]], heap[0][1]))
-        lightest = heap[0][1]
-        home = current[slot]
-        if not (0 <= home < shards and at[home] == at[lightest]):
-            home = lightest
-        new[slot] = home
-        at[home] += loads[slot]
+def rebalance(current: list[int], loads: list[int], shards: int, slack: float = 0.001) -> list[int]:
+    """Edits a slot-to-shard map so that shards hold near equal bytes, and moves few slots.
+
+    Slots of shards that are gone go first, heaviest first, each to the lightest shard. Then, while the heaviest and the lightest shard
+    differ by more than `slack` of the mean, the slot whose move, or the two slots whose exchange, comes nearest to making the two
+    equal changes hands; all other slots stay where they are."""
+    new, at = list(current), [0] * shards
+    held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]  # (load, slot), sorted
+    homeless = []
+    for slot, home in enumerate(current):
+        if 0 <= home < shards:
+            held[home].append((loads[slot], slot))
+            at[home] += loads[slot]
+        else:
+            homeless.append((loads[slot], slot))
+    for h in held:
+        h.sort()
+
+    def put(load: int, slot: int, shard: int) -> None:
+        insort(held[shard], (load, slot))
+        at[shard] += load
+        new[slot] = shard
+
+    def take(load: int, slot: int, shard: int) -> None:
+        held[shard].remove((load, slot))
+        at[shard] -= load
+
+    for load, slot in sorted(homeless, key=lambda x: (-x[0], x[1])):
+        put(load, slot, min(range(shards), key=lambda k: (at[k], k)))
+    for _ in range(4 * len(loads)):
+        high, low = max(range(shards), key=lambda k: (at[k], -k)), min(range(shards), key=lambda k: (at[k], k))
+        gap = at[high] - at[low]
+        if gap <= slack * sum(at) / shards:
+            break
+        best, there = (gap, None, None), [x for x, _ in held[low]]
+        for a in held[high]:
+            options = [(a[0], None)]  # a move; then the exchanges that come nearest to half of the gap
+            i = bisect_left(there, a[0] - gap // 2)
+            options += [(a[0] - held[low][k][0], held[low][k]) for k in (i - 1, i) if 0 <= k < len(there)]
+            for moved, back in options:
+                if (left := abs(gap - 2 * moved) + (0.02 * gap if back else 0)) < best[0]:  # a move is preferred to a like exchange
+                    best = (left, a, back)
+        if best[1] is None:
+            break
+        _, a, back = best
+        take(*a, high)
+        if back:
+            take(*back, low)
+            put(*back, high)
+        put(*a, low)
     return new
 
 
@@ -57,13 +94,29 @@ def map_table(spark: SparkSession, shard_of: list[int]) -> DataFrame:
 
 
 class SlotMap:
-    """A versioned slot-to-shard map, kept as Parquet, one folder a version, in the shared folder or under `path`."""
+    """A versioned slot-to-shard map, kept as Parquet, one folder a version, in the shared folder or under `path`. A map that is there
+    already is taken up at its last version, so that an edit moves slots away from where they are."""
 
     def __init__(self, spark: SparkSession, shards: int, slots: int = SLOTS, path: str | None = None):
         self.spark, self.shards, self.slots, self.version = spark, shards, slots, 0
         self.path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
-        self.shard_of = [s % shards for s in range(slots)]
-        self._write()
+        stored = self._stored() if path else None
+        if stored is not None:
+            self.version, self.shard_of = stored
+            self.slots, self.shards = len(self.shard_of), max(self.shard_of) + 1
+        else:
+            self.shard_of = [s % shards for s in range(slots)]
+            self._write()
+
+    def _stored(self) -> tuple[int, list[int]] | None:
+        try:
+            found = self.spark.read.schema("virtual_slot int, shard int, version int").parquet(self.path)
+            last = found.agg(F.max("version")).first()[0]
+        except AnalysisException:  # no folder yet
+            return None
+        if last is None:
+            return None
+        return last, [r.shard for r in found.where(F.col("version") == last).orderBy("virtual_slot").collect()]  # `slots` rows
 
     def _write(self) -> None:
         map_table(self.spark, self.shard_of).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={self.version}")
@@ -83,18 +136,18 @@ class SlotMap:
         return self.spark.read.schema("virtual_slot int, shard int").parquet(f"{self.path}/version={self.version if version is None else version}")
 
 
-def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Puts every row into a shard so that the shards' sizes are near equal (law `bytes`), and numbers each shard's rows without gaps.
 
     Rows are numbered inside their virtual slot (thousands of small window partitions); the slots before it in the shard give the
     offset, from a table of one row a slot. Null and empty texts have size 1; repeated rows are rows of their own; other columns
-    pass through unless they are named like a column of the result, which then holds the result; an empty table gives no rows."""
+    pass through unless they are named like a column of the result, which then holds the result; an empty table gives no rows. With a
+    path the map kept there is edited, and a later call goes on from it; else a map is begun for this call."""
     taken = {"virtual_slot", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "_in_slot", "_before"}
-    rows = with_slot(docs.drop(*[c for c in docs.columns if c in taken]), slots)
-    loads = slot_bytes(rows)
-    held = SlotMap(docs.sparkSession, shards, slots)
-    of_slot = loads.select("virtual_slot", "rows", "bytes")
-    held.edit(of_slot)
+    held = SlotMap(docs.sparkSession, shards, slots, path)
+    rows = with_slot(docs.drop(*[c for c in docs.columns if c in taken]), held.slots)
+    of_slot = stored(slot_bytes(rows).select("virtual_slot", "rows", "bytes"), "slot-bytes")  # read by the edit and by the join
+    held.edit(of_slot, shards)
     in_shard = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)  # over one row a slot
     placed = held.table().join(of_slot, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(in_shard), F.lit(0)).alias("_before"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
