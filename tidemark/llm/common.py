@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder if driver and executors
+    are one machine (local mode, as in tests); on a cluster each executor would write to a disk of its own, so that is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -48,8 +52,31 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Batches of BATCH_ROWS rows from here on: results are lazy, so the setting must still hold when the caller runs them."""
+    spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of so many rows for what is run inside."""
+    was = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, was)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
@@ -66,14 +93,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sampled(df: DataFrame, by: str, per_value: int, seed: int = 7) -> DataFrame:
-    """About per_value rows of each value of `by` (a documented bound on what a model is fitted on).
+def sampled(df: DataFrame, by: str, per_value: int, seed: int = 7, most_values: int = 1000) -> DataFrame:
+    """About per_value rows of each value of `by`, for the most_values values with most rows (documented bounds on what a model is fitted on).
 
     Which rows: those of smallest doc_id hash, by a share of the value's count; one small count job, no sort."""
-    counts = df.groupBy(by).count()
+    counts = df.groupBy(by).count().orderBy(F.desc("count"), by).limit(most_values)
     share = F.least(F.lit(1.0), F.lit(1.2 * per_value) / F.col("count"))
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(F.broadcast(counts.limit(10_000)), by).where(u < share).drop("count")
+    return df.join(F.broadcast(counts), by).where(u < share).drop("count")  # most_values rows
+
+
+def one_an_id(df: DataFrame) -> DataFrame:
+    """Of the rows of each doc_id the least by the other columns, in their order: what is fitted on is then the same in each run, and
+    no larger where very many rows share an id. Combined before the shuffle."""
+    rest = [c for c in df.columns if c != "doc_id"]
+    return df.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_r")).select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, learnable, map_batches, sampled, texts
+from .common import documents, held_out, learnable, map_batches, one_an_id, sampled, texts
 
 #: Rows a language on which the model is fitted, at most about; all of its documents are scored.
 FIT_ROWS = 400
@@ -108,7 +108,7 @@ def fit(rows: list[tuple[bytes, str]], epochs: int = 6, rate: float = 12.0, acce
 def train(docs: DataFrame, per_lang: int = FIT_ROWS) -> Model | None:
     """Fits on a bounded sample of the rows with a language whose id's crc32 mod 4 is not 2; None if there are none."""
     rows = sampled(documents(docs, "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id"))), "lang", per_lang)
-    got = [(r.text.encode(), r.lang) for r in rows.select("doc_id", "text", "lang").orderBy("doc_id").collect()]  # per_lang rows a language
+    got = [(r.text.encode(), r.lang) for r in one_an_id(rows.select("doc_id", "text", "lang")).orderBy("doc_id").collect()]  # 1.2 * per_lang rows a language
     return fit(got) if got else None
 
 

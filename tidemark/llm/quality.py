@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, learnable, map_batches, sampled, texts
+from .common import documents, learnable, map_batches, one_an_id, sampled, texts
 from .toxicity import logistic
 
 #: Labelled rows a class and rows of the unlabelled pool on which the classifiers are fitted, at most about.
@@ -122,11 +122,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, pool: int =
     rows = documents(docs, *COLUMNS).where("text is not null")
     fair = marked.where(learnable(F.col("doc_id")))
     share = fair.agg(F.avg("quality")).first()[0]
-    known = rows.join(F.broadcast(sampled(fair, "quality", most)), "doc_id")  # 1.2 * most a class
+    known = one_an_id(rows.join(F.broadcast(sampled(fair, "quality", most)), "doc_id"))  # 1.2 * most a class
     known = known.orderBy(F.xxhash64("doc_id"), "text").collect()
     few = sampled(rows.where(learnable(F.col("doc_id"))).select("doc_id", F.lit(0).alias("all")), "all", pool, seed=11).select("doc_id").distinct()
     few = few.join(marked, "doc_id", "left_anti")  # of ids alone: no text is to be dealt for it
-    free = rows.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "text").collect()  # 1.2 * pool
+    free = one_an_id(rows.join(F.broadcast(few), "doc_id")).orderBy(F.xxhash64("doc_id"), "text").collect()  # 1.2 * pool
     return fit(views(known), np.array([r.quality for r in known], float), views(free), share=share) if known else None
 
 

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, map_batches, stored, texts
+from .common import discard, documents, map_batches, small_batches, stored, texts, unused
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -89,8 +90,15 @@ def walk(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_links(frames: Iterator[pd.DataFrame], radius: int, most: int) -> Iterator[pd.DataFrame]:
-    """frames (mask, key, fp), sorted by mask and key: links inside buckets; members of buckets over `most` come back to be covered again."""
-    kept: pd.DataFrame | None = None
+    """frames (mask, key, fp), sorted by mask and key: links inside buckets; members of buckets over `most` come back to be covered
+    again (again: the mask; 0 for a link). A bucket that outgrows `most` is handed on as it comes, so none is held whole."""
+
+    def again(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"src": x["fp"], "dst": x["fp"], "again": x["mask"]})
+
+    def coverable(mask: int) -> bool:
+        """Whether a bucket of this mask can be covered on finer masks; if not it has at most 2^12 nodes, which is one walk."""
+        return bin(mask & FULL).count("1") < 52
 
     def each(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
         mask, key, fp = (x[c].to_numpy(np.int64) for c in ("mask", "key", "fp"))
@@ -103,8 +111,8 @@ def bucket_links(frames: Iterator[pd.DataFrame], radius: int, most: int) -> Iter
         out.append(pd.DataFrame({"src": fp[close], "dst": fp[close + 1], "again": 0}))
         for a, n in zip(edge[:-1][size > 2], size[size > 2], strict=True):
             some = fp[a : a + n]
-            if n > most and int(np.bitwise_count(np.uint64(int(mask[a]) & FULL))) < 52:  # else 2^12 nodes at most: one walk
-                out.append(pd.DataFrame({"src": some, "dst": some, "again": mask[a]}))
+            if n > most and coverable(int(mask[a])):
+                out.append(again(x.iloc[a : a + n]))
             else:
                 i, j = walk(unsigned[a : a + n], radius)
                 out.append(pd.DataFrame({"src": some[i], "dst": some[j], "again": 0}))
@@ -112,14 +120,32 @@ def bucket_links(frames: Iterator[pd.DataFrame], radius: int, most: int) -> Iter
         if len(got):
             yield got
 
+    held: list[pd.DataFrame] = []  # the bucket that may go on
+    bucket, large = None, False
     for x in frames:
-        x = x if kept is None else pd.concat([kept, x], ignore_index=True)
-        last = (x["mask"] == x["mask"].iloc[-1]) & (x["key"] == x["key"].iloc[-1])
-        cut = int(len(x) - last.to_numpy().sum())
-        kept = x.iloc[cut:]
-        yield from each(x.iloc[:cut]) if cut else ()
-    if kept is not None:
-        yield from each(kept)
+        last = int(x["mask"].iloc[-1]), int(x["key"].iloc[-1])
+        mask, key = x["mask"].to_numpy(), x["key"].to_numpy()
+        if bucket is not None:
+            own = int(((mask == bucket[0]) & (key == bucket[1])).sum())  # sorted, so at the start
+            first, x = x.iloc[:own], x.iloc[own:]
+            if own and large:
+                yield again(first)
+            elif own:
+                held.append(first)
+            if len(x) and held:
+                yield from each(pd.concat(held, ignore_index=True))
+            if len(x):
+                held, large = [], False
+        if len(x):
+            cut = int(len(x) - ((x["mask"] == last[0]) & (x["key"] == last[1])).to_numpy().sum())
+            if cut:
+                yield from each(x.iloc[:cut])
+            held, bucket = [x.iloc[cut:]], last
+        if not large and sum(map(len, held)) > most and coverable(bucket[0]):
+            yield again(pd.concat(held, ignore_index=True))
+            held, large = [], True
+    if held:
+        yield from each(pd.concat(held, ignore_index=True))
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
@@ -141,6 +167,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFra
         level = got.where("again <> 0").select(F.col("src").alias("fp"), F.explode(per_mask[F.col("again")]).alias("mask"))
 
 
+def components(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (fp, least: anything with an order) -> fp, least, part: nodes linked within the radius share a part. Written out, so that a
+    join with it by `part` or `fp` has an exchange of its own, which Spark can split where one key is hot."""
+    parts = connected_components(links(nodes.select("fp"), radius))
+    return stored(nodes.join(parts.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part")), "parts")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) of every row.
 
@@ -148,18 +181,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE)
     component's name unless the component has no other id (then null). Other columns are left behind."""
     fps = stored(fingerprints(docs, words), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = links(nodes.select("fp"), radius)
-    parts = connected_components(linked)
-    of = nodes.join(parts.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    names = of.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = of.join(names, "part").select("fp", "component_id")
+    of = components(nodes, radius)
+    names = stored(of.groupBy("part").agg(F.min("least").alias("component_id")), "names")
+    named = stored(of.select("fp", "part").join(names, "part").select("fp", "component_id"), "named")
+    discard(nodes, of, names)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
-    """docs without near copies: of each component the row of its smallest doc_id, with all its columns; of several such rows, one.
-    A row without an id goes by its text and stays only where its component has no id."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
-    keyed = docs.withColumn("_own", own)
-    found = near_duplicates(keyed.select(F.col("_own").alias("doc_id"), "text"), radius, words).where("doc_id = component_id")
-    return keyed.join(found.select(F.col("doc_id").alias("_own")).distinct(), "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
+    """docs without near copies, with all their columns: of each component the row of its smallest doc_id; of several such rows the one
+    of least text hash, of repeated rows one. A row without an id stays only where its component has no row with one."""
+    fp, row = unused(docs, "fp"), unused(docs, "row")
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([fingerprint(t, words) for t in texts(b)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints)], names=[*b.schema.names, fp])
+
+    small_batches(docs.sparkSession)
+    rows = stored(docs.mapInArrow(each, schema).withColumn(row, F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col(row).alias("row"))
+    nodes = stored(rows.select(F.col(fp).alias("fp"), order.alias("o")).groupBy("fp").agg(F.min("o").alias("least")), "nodes")
+    kept = components(nodes, radius).groupBy("part").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

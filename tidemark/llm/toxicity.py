@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, learnable, map_batches, sampled, texts
+from .common import documents, held_out, learnable, map_batches, one_an_id, sampled, texts
 
 #: Labelled rows of each class on which the dictionaries and thresholds are fitted, at most about.
 FIT_ROWS = 2400
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | N
     marked = marked.where("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_other")).where("toxic = _other").drop("_other")
     rows = sampled(marked.where(learnable(F.col("doc_id"))), "toxic", most)
     got = documents(docs).where("text is not null").join(F.broadcast(rows), "doc_id")  # 1.2 * most rows a class
-    return fit([(r.text.encode(), r.toxic) for r in got.select("doc_id", "text", "toxic").orderBy("doc_id", "text").collect()])
+    return fit([(r.text.encode(), r.toxic) for r in one_an_id(got.select("doc_id", "text", "toxic")).orderBy("doc_id").collect()])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
