@@ -1,30 +1,62 @@
-"""A count-min sketch of fixed size: which anchors a corpus may hold more than once.
+"""A count-min sketch that grows with the input: which windows a corpus may hold more than once.
 
-Each partition makes its own sketch; sketches are merged by saturating addition (never, once, more often). Counts are overestimated
-at worst, so nothing that repeats is missed.
+A window is counted under two hashes: its group (an anchor that equal windows share) picks a block, its own value picks a cell of each
+row inside the block. All that a window needs to look up thus lies in one block. Each partition makes its own sketch; sketches are
+merged block by block by saturating addition (never, once, more often). Counts are overestimated at worst, so nothing that repeats is
+missed. Cells are as many as the number of windows asks for, so that the share of once-only windows which pass stays the same at any
+size, and blocks, of bounded size, are as many as tasks can share.
+
+The merged sketch is a table of blocks. Up to a checked size it is broadcast; beyond it the windows' rows are dealt by block and meet
+their block there.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import record, small_batches, texts, to_arrow
+from .common import record, small_batches, stored, texts, to_arrow
 from .windows import mix
 
-#: The sketch: rows of 2^BITS cells, each of them seen never, once or more often.
-ROWS, BITS, BLOCK_BITS = 3, 26, 20
-#: Anchors that a task gathers before it hands on its sketch.
-GATHERED = 3_000_000
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Rows of the sketch, and windows a cell of a row has at most on average: (1 - exp(-LOAD)) ** ROWS, 9 %, of once-only windows pass.
+ROWS, LOAD = 2, 0.36
+#: Blocks of a sketch, at least about, and cells of a block's row, at most.
+BLOCKS, BLOCK_CELLS = 1024, 1 << 24
+#: Windows that a task gathers before it hands on its sketch.
+GATHERED = 2_000_000
+#: Bytes up to which a merged sketch is broadcast; beyond that, parts in which the rows of a block that counts HOT times the mean meet it.
+BROADCAST_BYTES, SALTS, HOT = 64 << 20, 64, 4
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+@dataclass(frozen=True)
+class Shape:
+    blocks: int
+    cells: int  # of a block's row, a multiple of eight
+
+    @property
+    def bytes(self) -> int:
+        return self.blocks * self.cells * ROWS // 8
 
+    def block(self, group: np.ndarray) -> np.ndarray:
+        return ((mix(group ^ np.uint64(0x165667B19E3779F9)) >> np.uint64(32)) * np.uint64(self.blocks)) >> np.uint64(32)
 
-def cells(anchor: np.ndarray, row: int) -> np.ndarray:
-    return (mix(anchor * _MULTIPLIERS[row]) >> np.uint64(64 - BITS)).astype(np.uint32)
+    def cell(self, value: np.ndarray, row: int) -> np.ndarray:
+        return ((mix(value * _MULTIPLIERS[row]) >> np.uint64(32)) * np.uint64(self.cells)) >> np.uint64(32)
+
+
+def shaped(windows: int) -> Shape:
+    """The sketch for so many windows."""
+    cells = max(1, math.ceil(windows / LOAD))
+    blocks = max(1, min(BLOCKS, cells >> 12), -(-cells // BLOCK_CELLS))
+    return Shape(blocks, max(8, 8 * -(-cells // (8 * blocks))))
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -35,81 +67,144 @@ def unpack(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32), dtype=np.uint32)
 
 
-def sketched(parts: list[np.ndarray]) -> Iterator[dict]:
-    """The sketch of what was counted: by row and block, the cells seen and those seen more than once."""
-    value, count = np.unique(np.concatenate(parts), return_counts=True)
+def sketched(group: np.ndarray, value: np.ndarray, shape: Shape) -> Iterator[tuple[int, int, bytes, bytes, int]]:
+    """The sketch of what was counted: by block and row, the cells seen and those seen more than once, and with the first row how many."""
+    block = shape.block(group)
+    counts = np.bincount(block.astype(np.int64), minlength=1)
     for row in range(ROWS):
-        cell = cells(value, row)
-        order = np.argsort(cell, kind="stable")
-        cell = cell[order]
-        edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        total = np.add.reduceat(count[order], edge)
-        cell = cell[edge]
-        block = cell >> BLOCK_BITS
-        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            within = cell[a:b] & np.uint32((1 << BLOCK_BITS) - 1)
-            yield {"row": row, "block": int(block[a]), "seen": pack(within), "more": pack(within[total[a:b] > 1])}
-
+        key = np.sort(block * np.uint64(shape.cells) + shape.cell(value, row))
+        again = key[1:] == key[:-1]
+        seen, more = key[np.r_[True, ~again]], key[1:][again]
+        more = more[np.r_[True, more[1:] != more[:-1]]] if len(more) else more
+        at = np.unique(seen // np.uint64(shape.cells))
+        edges = at * np.uint64(shape.cells), (at + np.uint64(1)) * np.uint64(shape.cells)
+        (s0, s1), (m0, m1) = ([np.searchsorted(x, e) for e in edges] for x in (seen, more))
+        for i, b in enumerate(at.tolist()):
+            low = np.uint64(b * shape.cells)
+            yield b, row, pack((seen[s0[i] : s1[i]] - low).astype(np.uint32)), pack((more[m0[i] : m1[i]] - low).astype(np.uint32)), 0 if row else int(counts[b])
+
+
+class Sketch:
+    """The merged sketch: table (block int, n long: windows counted, bits binary: for each row a bit a cell, set if seen more than once)."""
+
+    def __init__(self, shape: Shape, table: DataFrame, broadcast_bytes: int = BROADCAST_BYTES):
+        self.shape, self.table = shape, table
+        self.small = shape.bytes <= broadcast_bytes
+
+    def broadcast(self):  # noqa: ANN201
+        """For tasks of a small sketch: lookup() -> function of (groups, values), True where estimated repeated."""
+        shape, size = self.shape, self.shape.cells * ROWS // 8
+        bits = np.zeros(shape.bytes, np.uint8)
+        for r in self.table.toLocalIterator():  # broadcast_bytes in all, at most
+            bits[r.block * size : (r.block + 1) * size] = np.frombuffer(r.bits, np.uint8)
+        held = self.table.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+        def lookup() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+            found = np.frombuffer(held.value, np.uint8)
+            return lambda group, value: estimated(found, shape, shape.block(group), value)
+
+        return lookup
+
+    def dealt(self, rows: DataFrame, each: Callable[[pa.RecordBatch, Callable], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """For a large sketch: rows (with their group as a long `anchor`) are dealt by block and meet it there; each(batch, lookup) says
+        what becomes of them. Rows of a block that holds a common group are dealt over several parts, each with the block's bits."""
+        shape, names, at = self.shape, rows.columns, rows.columns.index("anchor")
+        mean = max(1.0, self.table.agg(F.sum("n")).first()[0] or 0) / shape.blocks
+        hot = self.table.where(F.col("n") > HOT * mean).select("block", "n").collect()  # a HOT-th of the blocks, at most
+        parts = np.ones(shape.blocks, np.int32)
+        for r in hot:
+            parts[r.block] = min(SALTS, math.ceil(r.n / mean))
+        held = rows.sparkSession.sparkContext.broadcast(parts.tobytes())
+
+        def addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            salts = np.frombuffer(held.value, np.int32)
+            for b in batches:
+                block = shape.block(b.column(at).to_numpy().view(np.uint64)).astype(np.int32)
+                salt = (np.arange(len(block)) % salts[block]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block), pa.array(salt)], names=[*names, "_block", "_salt"])
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        salted = rows.mapInArrow(addressed, f"{kinds}, _block int, _salt int").withColumn("_bits", F.lit(None).cast("binary"))
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+        most = F.when(F.col("n") > HOT * mean, F.least(F.lit(SALTS), F.ceil(F.col("n") / mean))).otherwise(1).cast("int")
+        blocks = self.table.select(*none, F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), most - 1)).alias("_salt"), F.col("bits").alias("_bits"))
+        k = len(names)
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, bits = None, None
+            for b in batches:
+                block, salt = b.column(k).to_numpy(), b.column(k + 1).to_numpy()
+                edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (salt[1:] != salt[:-1])]).tolist()
+                for lo, hi in zip(edge, [*edge[1:], len(block)], strict=True):
+                    part = b.slice(lo, hi - lo)
+                    if here != (here := (int(block[lo]), int(salt[lo]))):
+                        bits = None
+                    if part.column(k + 2)[0].is_valid:  # the block's bits stand first
+                        bits, part = np.frombuffer(part.column(k + 2)[0].as_py(), np.uint8), part.slice(1)
+                    if part.num_rows and bits is not None:
+                        yield from each(part.select(names), lambda group, value: estimated(bits, shape, np.zeros(len(group), np.uint64), value))  # noqa: B023
+
+        both = salted.unionByName(blocks)
+        return both.repartition("_block", "_salt").sortWithinPartitions("_block", "_salt", F.col("_bits").isNull()).mapInArrow(met, schema)
+
+
+def estimated(bits: np.ndarray, shape: Shape, block: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which windows the sketch counts more than once, given where each one's block starts in bits."""
+    kept = np.ones(len(value), bool)
+    for row in range(ROWS):
+        at = np.flatnonzero(kept)
+        cell = (block[at] * np.uint64(ROWS) + np.uint64(row)) * np.uint64(shape.cells) + shape.cell(value[at], row)
+        kept[at] = (bits[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
+    return kept
 
-def repeated_cells(docs: DataFrame, counter: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> list[np.ndarray]:
-    """counter() gives a task's function from the whole texts of a batch to the 64-bit values to count, as often as they count.
 
-    Returns the merged sketch's cells seen more than once, a bitmap for each row: 2^BITS * ROWS / 8 bytes, whatever the input."""
-    arrow, merged = to_arrow("row int, block int, seen binary, more binary"), to_arrow("row int, block int, more binary")
+def sketch(docs: DataFrame, counter: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]], windows: int, broadcast_bytes: int = BROADCAST_BYTES) -> Sketch:
+    """counter() gives a task's function from the whole texts of a batch to the groups and values to count, as often as they count;
+    windows: about how many there are in all."""
+    shape = shaped(windows)
+    schema, merged = "block int, row int, seen binary, more binary, n long", "block int, n long, bits binary"
+    arrow, out = to_arrow(schema), to_arrow(merged)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, parts, n = counter(), [], 0
+        count, groups, values, n = counter(), [], [], 0
 
         def handed() -> pa.RecordBatch:
-            rows = list(sketched(parts))
-            return record({k: [r[k] for r in rows] for k in arrow.names}, arrow)
+            return record(dict(zip(arrow.names, zip(*sketched(np.concatenate(groups), np.concatenate(values), shape), strict=True), strict=True)), arrow)
 
         for batch in batches:
-            got = count(texts(batch))
-            if len(got):
-                parts.append(got)
-                n += len(got)
+            group, value = count(texts(batch))
+            if len(value):
+                groups.append(group)
+                values.append(value)
+                n += len(value)
             if n > GATHERED:
                 yield handed()
-                parts, n = [], 0
-        if parts:
+                groups, values, n = [], [], 0
+        if groups:
             yield handed()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen, more = None, np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
+        now, total, seen, more = None, 0, np.zeros((ROWS, shape.cells), bool), np.zeros((ROWS, shape.cells), bool)
 
         def done() -> pa.RecordBatch:
-            return record({"row": [now[0]], "block": [now[1]], "more": [np.packbits(more).tobytes()]}, merged)
+            return record({"block": [now], "n": [total], "bits": [np.packbits(more).tobytes()]}, out)
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if now != (r["row"], r["block"]):
+            for block, row, s, m, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if now != block:
                     if now is not None:
                         yield done()
-                    now = (r["row"], r["block"])
+                    now, total = block, 0
                     seen[:], more[:] = False, False
-                s, m = unpack(r["seen"]), unpack(r["more"])
-                more[s[seen[s]]] = True
-                more[m] = True
-                seen[s] = True
+                s, m = unpack(s), unpack(m)
+                more[row, s[seen[row, s]]] = True
+                more[row, m] = True
+                seen[row, s] = True
+                total += n
         if now is not None:
             yield done()
 
     small_batches(docs.sparkSession)
-    parts = docs.select("text").mapInArrow(partial, "row int, block int, seen binary, more binary")
-    whole = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, "row int, block int, more binary")
-    bitmap = [np.zeros(1 << (BITS - 3), np.uint8) for _ in range(ROWS)]
-    size = 1 << (BLOCK_BITS - 3)
-    for r in whole.toLocalIterator():  # ROWS * 2^(BITS - BLOCK_BITS) rows at most
-        bitmap[r.row][r.block * size : (r.block + 1) * size] = np.frombuffer(r.more, np.uint8)
-    return bitmap
-
+    parts = docs.select("text").mapInArrow(partial, schema)
+    return Sketch(shape, stored(parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, merged), "sketch"), broadcast_bytes)
 
-def estimated_repeated(anchor: np.ndarray, bitmap: list[np.ndarray]) -> np.ndarray:
-    kept = np.ones(len(anchor), bool)
-    for row in range(ROWS):
-        at = np.flatnonzero(kept)
-        cell = cells(anchor[at], row)
-        kept[at] = (bitmap[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-    return kept

@@ -1,19 +1,20 @@
 """Substring dedup of word windows, with a count-min prefilter.
 
-A window is 13 consecutive words. Equal windows share an anchor: of the five-word runs inside, the one of least hash. First pass:
-each partition counts, document by document, the anchors of its windows in a sketch of fixed size; sketches are merged by
-saturating addition. A window occurs in no more documents than its anchor, and the sketch never underestimates, so every window
-that two documents hold is estimated repeated. Second pass: only windows so estimated are grouped exactly, by anchor and window
-hash, for the smallest document that holds them. Consecutive windows with one anchor travel as one run, and equal runs of a batch
-as one row, so copies by the thousand don't meet as thousands of rows. An anchor that very many different runs share, as a common
-phrase does, is not grouped in one task: the windows of its runs are grouped one by one, by aggregations that combine map-side.
-
-The sketch has the same size whatever the input: over far more windows than cells it passes more of them on, but loses none.
+A window is 13 consecutive words. First pass: each partition counts its windows in a sketch whose size follows the number of windows;
+sketches are merged by saturating addition. The sketch never underestimates, so every window that two documents hold is estimated
+repeated. Second pass: only windows so estimated are grouped exactly, for the smallest document that holds them.
+
+Equal windows share an anchor: of the five-word runs inside, the one of least hash. Consecutive windows with one anchor travel as one
+run, and equal runs of a batch as one row, so copies by the thousand don't meet as thousands of rows. Windows are equal if the 64-bit
+hashes of their anchors, their places in respect to it and their own 64-bit hashes are; runs, if the hashes of their anchors and of
+their windows are. An anchor that very many different runs share, as a common phrase does, is not grouped in one task: the windows of
+its runs are grouped one by one, by aggregations that combine map-side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -21,89 +22,154 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import record, small_batches, stored, texts, to_arrow
-from .countmin import estimated_repeated, repeated_cells
+from .common import batches_of, discard, ragged, record, small_batches, stored, texts, to_arrow
+from .countmin import BROADCAST_BYTES, Sketch, sketch
 from .windows import WordHashes, anchors, mix, run_hashes
 
 WINDOW, GRAM = 13, 5
+#: What a null id is judged as: the largest long.
 NO_ID = (1 << 63) - 1
 #: Runs of one anchor beyond which its windows are grouped one by one, and cells in which such anchors are marked. Other anchors of
 #: a marked cell go the same way, which is as exact.
 ANCHOR_RUNS, HOT_CELLS = 1000, 1 << 18
-
-
-def windowed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of word hashes: the hash of each five-word run, and for each window the position of its anchor among them."""
-    grams = run_hashes(words, GRAM)
-    return grams, anchors(grams, WINDOW - GRAM + 1)
+#: Words whose windows are hashed at once, about.
+CHUNK = 1 << 17
+
+
+class Windows:
+    """The windows of some texts: hashes, anchors (hash, and place among the words), which text and which word each starts at."""
+
+    def __init__(self, words: list[list[bytes]], hashes: WordHashes):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.first = np.cumsum(sizes) - sizes
+        own = np.repeat(np.arange(len(words)), sizes)
+        h = hashes.of([w for x in words for w in x])
+        grams, value = run_hashes(h, GRAM), run_hashes(h, WINDOW)
+        at = anchors(grams, WINDOW - GRAM + 1)
+        self.start = np.flatnonzero(own[WINDOW - 1 :] == own[: len(value)]) if len(value) else np.zeros(0, np.int64)
+        self.own, self.value, self.at = own[self.start], value[self.start], at[self.start]
+        self.anchor = grams[self.at]
+
+
+def windows(whole: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, Windows]]:
+    """The windows of the texts of a batch, some texts at a time: the number of the first, and the windows."""
+    words, n, i = [], 0, 0
+    for k, text in enumerate(whole):
+        w = text.split()
+        if words and n + len(w) > CHUNK:
+            yield i, Windows(words, hashes)
+            words, n, i = [], 0, k
+        words.append(w)
+        n += len(w)
+    if words:
+        yield i, Windows(words, hashes)
 
 
 def counted():  # noqa: ANN201
-    """For the sketch: the anchors of each text's windows, each once a text."""
+    """For the sketch: each window's anchor and hash."""
     hashes = WordHashes()
 
-    def each(whole: list[bytes]) -> np.ndarray:
-        found = [np.zeros(0, np.uint64)]
-        for text in whole:
-            grams, at = windowed(hashes.of(text.split()))
-            found.append(np.unique(grams[at]))
-        return np.concatenate(found)
+    def each(whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [(w.anchor, w.value) for _, w in windows(whole, hashes)]
+        return (np.concatenate([a for a, _ in found]), np.concatenate([v for _, v in found])) if found else (np.zeros(0, np.uint64),) * 2
 
     return each
 
 
+LONE = "doc_id long, key long, anchor long, start int, off int, windows binary"
 RUNS = "kind int, doc_id long, key long, anchor long, sig long, start int, n int, off int, lo long, hi long, windows binary"
 
 
-def runs_of(words: np.ndarray, bitmap: list[np.ndarray]):  # noqa: ANN201
-    """The runs of windows with one anchor estimated repeated: anchors, starts, lengths, offsets of the anchor, window hashes."""
-    grams, at = windowed(words)
-    edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-    length = np.diff(np.r_[edge, len(at)])
-    anchor = grams[at[edge]] if len(at) else np.zeros(0, np.uint64)
-    kept = estimated_repeated(anchor, bitmap)
-    return anchor[kept], edge[kept], length[kept], (at[edge] - edge)[kept]
+class Gathered:
+    """Runs of windows with one anchor, column by column: document, key, anchor, first word, distance of the anchor, windows."""
 
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
-def repeated_runs(docs: DataFrame, bitmap: list[np.ndarray]) -> DataFrame:
-    """Of kind 0: where each run estimated repeated stands. Of kind 1: each distinct run of a batch, its window hashes, and the
-    smallest and largest document of the batch that holds it."""
-    held = docs.sparkSession.sparkContext.broadcast([b.tobytes() for b in bitmap])  # of fixed size
-    arrow = to_arrow(RUNS)
+    def add(self, doc: np.ndarray, key: np.ndarray, anchor: np.ndarray, start: np.ndarray, off: np.ndarray, n: np.ndarray, value: np.ndarray) -> None:
+        if len(n):
+            self.parts.append((doc, key, anchor, start, off, n, value))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells_ = [np.frombuffer(b, np.uint8) for b in held.value]
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return tuple(map(np.concatenate, zip(*self.parts, strict=True)))
+
+    def lone(self) -> Iterator[pa.RecordBatch]:
+        """Each run as a row, LONE."""
+        if self.parts:
+            doc, key, anchor, start, off, n, value = self.columns()
+            ends = np.cumsum(n)
+            tail = [value[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+            yield record({"doc_id": doc, "key": key, "anchor": anchor.view(np.int64), "start": start.astype(np.int32), "off": off.astype(np.int32), "windows": tail}, to_arrow(LONE))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """RUNS. Of kind 0: where each run stands. Of kind 1: each distinct run, its windows, and the smallest and largest document that holds it."""
+        if not self.parts:
+            return
+        arrow = to_arrow(RUNS)
+        doc, key, anchor, start, off, n, value = self.columns()
+        first = np.cumsum(n) - n
+        place = np.arange(len(value)) - np.repeat(first, n)
+        sig = np.bitwise_xor.reduceat(mix(value + (np.repeat(off, n) - place + 64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first) + n.astype(np.uint64)
+        none = pa.nulls(len(anchor))
+        a, s = anchor.view(np.int64), sig.view(np.int64)
+        yield record({"kind": np.zeros(len(a), np.int32), "doc_id": doc, "key": key, "anchor": a, "sig": s, "start": start.astype(np.int32), "n": n.astype(np.int32), "off": none.cast(pa.int32()), "lo": none.cast(pa.int64()), "hi": none.cast(pa.int64()), "windows": none.cast(pa.binary())}, arrow)
+        order = np.lexsort((doc, s, a))
+        edge = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (s[order][1:] != s[order][:-1])])
+        one, last = order[edge], order[np.r_[edge[1:], len(order)] - 1]
+        none = pa.nulls(len(one))
+        yield record({"kind": np.ones(len(one), np.int32), "doc_id": none.cast(pa.int64()), "key": none.cast(pa.int64()), "anchor": a[one], "sig": s[one], "start": none.cast(pa.int32()), "n": n[one].astype(np.int32), "off": off[one].astype(np.int32), "lo": doc[one], "hi": doc[last], "windows": [value[f : f + m].tobytes() for f, m in zip(first[one].tolist(), n[one].tolist(), strict=True)]}, arrow)
+
+
+def runs(start: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where a run begins, of windows in order: the one before isn't next to it, or has another anchor."""
+    return np.flatnonzero(np.r_[True, (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1])]) if len(start) else np.zeros(0, np.int64)
+
+
+def gathered(batch: pa.RecordBatch, hashes: WordHashes, lookup=None) -> Gathered:  # noqa: ANN001
+    """The runs of a batch (doc_id, text, key): of windows estimated repeated, or of all."""
+    out = Gathered()
+    ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+    for i, w in windows(texts(batch), hashes):
+        kept = np.arange(len(w.start)) if lookup is None else np.flatnonzero(lookup(w.anchor, w.value))
+        start, at = w.start[kept], w.at[kept]
+        edge = runs(start, at)
+        own = w.own[kept][edge]
+        out.add(ids[i + own], keys[i + own], w.anchor[kept][edge], start[edge] - w.first[own], at[edge] - start[edge], np.diff(np.r_[edge, len(start)]), w.value[kept])
+    return out
+
+
+def repeated_runs(docs: DataFrame, found: Sketch) -> DataFrame:
+    """docs (doc_id, text, key) -> the runs of windows estimated repeated, RUNS."""
+    if found.small:
+        lookup = found.broadcast()
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, known = WordHashes(), lookup()
+            for batch in batches:
+                yield from gathered(batch, hashes, known).rows()
+
+        return docs.mapInArrow(each, RUNS)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            cols = [[] for _ in range(8)]
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            for t, i, key in zip(texts(batch), ids, keys, strict=True):
-                w = hashes.of(t.split())
-                anchor, start, n, off = runs_of(w, cells_)
-                if not len(anchor):
-                    continue
-                win = run_hashes(w, WINDOW)
-                tail = np.concatenate([win[a : a + m] for a, m in zip(start.tolist(), n.tolist(), strict=True)])
-                first = np.cumsum(n) - n
-                place = np.arange(len(tail)) - np.repeat(first, n)
-                sig = np.bitwise_xor.reduceat(mix(tail + (place + np.repeat(off, n) * 64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first) + n.astype(np.uint64)
-                for c, v in zip(cols, (anchor, sig, start, n, off, tail, np.full(len(n), i), np.full(len(n), key)), strict=True):
-                    c.append(v)
-            if not cols[0]:
-                continue
-            anchor, sig, start, n, off, tail, doc, key = map(np.concatenate, cols)
-            none = pa.nulls(len(anchor))
-            a, s = anchor.view(np.int64), sig.view(np.int64)
-            yield record({"kind": np.zeros(len(a), np.int32), "doc_id": doc, "key": key, "anchor": a, "sig": s, "start": start.astype(np.int32), "n": n.astype(np.int32), "off": none.cast(pa.int32()), "lo": none.cast(pa.int64()), "hi": none.cast(pa.int64()), "windows": none.cast(pa.binary())}, arrow)
-            order = np.lexsort((doc, s, a))
-            edge = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (s[order][1:] != s[order][:-1])])
-            one = order[edge]
-            last = order[np.r_[edge[1:], len(order)] - 1]
-            first = np.cumsum(n) - n
-            none = pa.nulls(len(one))
-            yield record({"kind": np.ones(len(one), np.int32), "doc_id": none.cast(pa.int64()), "key": none.cast(pa.int64()), "anchor": a[one], "sig": s[one], "start": none.cast(pa.int32()), "n": n[one].astype(np.int32), "off": off[one].astype(np.int32), "lo": doc[one], "hi": doc[last], "windows": [tail[f : f + m].tobytes() for f, m in zip(first[one].tolist(), n[one].tolist(), strict=True)]}, arrow)
-
-    return docs.mapInArrow(each, RUNS)
+            yield from gathered(batch, hashes).lone()
+
+    def filtered(batch: pa.RecordBatch, known) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        doc, key, anchor, first, off = (batch.column(c).to_numpy() for c in range(5))
+        tail = batch.column(5).to_pylist()
+        n = np.fromiter(map(len, tail), np.int64, len(tail)) // 8
+        value, row = np.frombuffer(b"".join(tail), np.uint64), np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)
+        kept = np.flatnonzero(known(anchor.view(np.uint64)[row], value))
+        row, place = row[kept], place[kept]
+        edge = runs(place + row * (1 << 20), row)
+        of, start = row[edge], place[edge]
+        out = Gathered()
+        out.add(doc[of], key[of], anchor.view(np.uint64)[of], first[of] + start, off[of].astype(np.int64) - start, np.diff(np.r_[edge, len(row)]), value[kept])
+        yield from out.rows()
+
+    return found.dealt(docs.mapInArrow(every, LONE), filtered, RUNS)
 
 
 LEAST = "anchor long, sig long, least long, mins binary"
@@ -185,61 +251,82 @@ def least_holders_by_window(runs: DataFrame) -> DataFrame:
     return found.select("anchor", "sig", "low", "high", F.col("mins.least").alias("mins")).mapInArrow(packed, LEAST)
 
 
-def removals(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS) -> DataFrame:
+def repeats(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Sketch:
+    """The sketch of the windows of docs (text)."""
+    words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
+    n = docs.agg(F.sum(F.greatest(words - (WINDOW - 1), F.lit(0)).cast("long"))).first()[0]
+    return sketch(docs, counted, n or 0, broadcast_bytes)
+
+
+def removals(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs (doc_id, text, key) -> doc_id, key, runs: where a window also stands in a document of smaller id."""
     spark = docs.sparkSession
-    runs = stored(repeated_runs(docs, repeated_cells(docs, counted)), "runs")
-    distinct = runs.where("kind = 1").select("anchor", "sig", "off", "lo", "hi", "n", "windows")
+    small_batches(spark)
+    found = repeats(docs, broadcast_bytes)
+    held = stored(repeated_runs(docs, found), "runs")
+    discard(found.table)
+    distinct = held.where("kind = 1").select("anchor", "sig", "off", "lo", "hi", "n", "windows")
     cell = F.pmod(F.xxhash64("anchor"), F.lit(HOT_CELLS)).alias("cell")
-    hot = stored(distinct.groupBy("anchor").count().where(F.col("count") > anchor_runs).select(cell).distinct(), "hot-cells")
-    hot = F.broadcast(hot)  # HOT_CELLS rows at most
+    hot_cells = stored(distinct.groupBy("anchor").count().where(F.col("count") > anchor_runs).select(cell).distinct(), "hot-cells")
+    hot = F.broadcast(hot_cells)  # HOT_CELLS rows at most
     dealt = distinct.select("*", cell)
     few = dealt.join(hot, "cell", "left_anti").drop("cell").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(least_holders, LEAST)
     many = least_holders_by_window(dealt.join(hot, "cell", "left_semi").drop("cell"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    least = stored(few.unionByName(many), "least")
-    small_batches(spark)
-    stand = runs.where("kind = 0").select("doc_id", "key", "anchor", "sig", "start", "n")
+    with batches_of(spark, 20_000):
+        least = stored(few.unionByName(many), "least")
+    stand = held.where("kind = 0").select("doc_id", "key", "anchor", "sig", "start", "n")
+    # both sides come from storage, so where many copies share a run Spark can split its side of the join; a set, as repeated rows say the same
     hit = stand.join(least, ["anchor", "sig"]).where("least < doc_id")
-    return hit.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "least", "mins")).alias("runs"))  # the runs of one document
+    return hit.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n", "least", "mins")).alias("runs"))  # the runs of one document
 
 
-def dedup(docs: DataFrame, *more: str, anchor_runs: int = ANCHOR_RUNS) -> DataFrame:
+def dedup(docs: DataFrame, *more: str, anchor_runs: int = ANCHOR_RUNS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row, with the further columns asked for.
 
     Words are runs of bytes other than space and 0x09-0x0D; null text has none, and texts of under 13 words keep all. A row is
-    judged against rows of smaller doc_id only: repeated rows leave each other alone, and a null id counts as larger than any."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{c}") for c in more])
+    judged against rows of smaller doc_id only: repeated rows leave each other alone, and a null id counts as the largest long. A text
+    of more than 2^28 words is refused."""
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    rows = docs.select(own_id, F.col("text").cast("string").alias("text"), F.col("doc_id").isNull().alias("without"), *[F.col(c).alias(f"_{c}") for c in more])
     rows = rows.withColumn("key", F.xxhash64("text"))
-    joined = rows.join(removals(rows.select("doc_id", "text", "key"), anchor_runs), ["doc_id", "key"], "left").select("doc_id", "text", "runs", *[f"_{c}" for c in more])
+    cut = removals(rows.select("doc_id", "text", "key"), anchor_runs, broadcast_bytes)
+    joined = rows.join(cut, ["doc_id", "key"], "left").select("doc_id", "text", "without", "runs", *[f"_{c}" for c in more])
     own = "doc_id long, n_words long, n_removed long, kept string"
     schema = T.StructType([*T.StructType.fromDDL(own).fields, *[T.StructField(c, docs.schema[c].dataType) for c in more]])
     arrow = to_arrow(own)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            ids = batch.column(0).to_pylist()
-            for t, i, runs in zip(texts(batch), ids, batch.column(2).to_pylist(), strict=True):
-                words = t.split()
-                n_words.append(len(words))
-                if not runs:
-                    n_removed.append(0)
-                    kept.append(b" ".join(words).decode("utf-8", "replace"))
-                    continue
-                change = np.zeros(len(words) + 1, np.int32)
-                for r in runs:
-                    at = np.arange(r["start"], r["start"] + r["n"])
-                    if r["mins"] is not None:
-                        at = at[np.frombuffer(r["mins"], np.int64) < i]
-                    change[at] += 1
-                    change[at + WINDOW] -= 1
-                stay = np.cumsum(change[:-1]) == 0
-                n_removed.append(int((~stay).sum()))
-                kept.append(b" ".join([words[k] for k in np.flatnonzero(stay).tolist()]).decode("utf-8", "replace"))
-            out = record({"doc_id": [None if i == NO_ID else i for i in ids], "n_words": n_words, "n_removed": n_removed, "kept": kept}, arrow)
-            rest = [batch.column(3 + i) for i in range(len(more))]
+            words = [t.split() for t in texts(batch)]
+            ids = batch.column(0)
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            stay = left_words(batch.column(3), sizes, ids.to_numpy())
+            ends = np.cumsum(sizes)
+            removed = sizes - np.diff(np.r_[0, np.cumsum(stay)[ends - 1] * (ends > 0)]) if len(stay) else sizes * 0
+            kept = [b" ".join(w if not gone else compress(w, stay[e - len(w) : e].tolist())).decode("utf-8", "replace") for w, gone, e in zip(words, removed.tolist(), ends.tolist(), strict=True)]
+            id_ = pa.array(ids.to_numpy(), mask=batch.column(2).to_numpy(zero_copy_only=False))
+            out = record({"doc_id": id_, "n_words": sizes, "n_removed": removed, "kept": kept}, arrow)
+            rest = [batch.column(4 + i) for i in range(len(more))]
             yield pa.RecordBatch.from_arrays([*out.columns, *rest], names=[*out.schema.names, *more])
 
     small_batches(docs.sparkSession)
     return joined.mapInArrow(each, schema)
+
+
+def left_words(found: pa.ListArray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For the words of a batch's texts, one after the other, whether each stays. found: the runs of each text."""
+    first = np.cumsum(sizes) - sizes
+    change = np.zeros(int(sizes.sum()) + 1, np.int32)
+    run, row = found.flatten(), np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy())
+    start, n, mins = run.field("start").to_numpy(), run.field("n").to_numpy(), run.field("mins")
+    at = first[row] + start
+    whole = mins.is_null().to_numpy(zero_copy_only=False)
+    np.add.at(change, at[whole], 1)
+    np.add.at(change, at[whole] + n[whole] - 1 + WINDOW, -1)
+    part = np.flatnonzero(~whole)
+    if len(part):
+        smaller = np.frombuffer(b"".join(mins.take(pa.array(part)).to_pylist()), np.int64) < np.repeat(ids[row[part]], n[part])
+        each = ragged(at[part], n[part])[smaller]
+        np.add.at(change, each, 1)
+        np.add.at(change, each + WINDOW, -1)
+    return np.cumsum(change[:-1]) == 0

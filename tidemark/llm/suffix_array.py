@@ -1,15 +1,21 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, on numpy arrays.
 
 Suffixes are L (larger than the next) or S (smaller); an S suffix after an L one is leftmost-smaller (LMS). LMS substrings are
-sorted by one induction and named; while names repeat, the string of names is sorted in turn, and the order of the LMS suffixes
-induces all the others in two linear scans. A scan goes bucket by bucket: what a bucket holds induces in one step all that it puts
-into other buckets, and again what it puts into itself, so each step is a few array operations.
+sorted by one induction and named; while names repeat, the string of names is sorted by the same function in turn, and the order of
+the LMS suffixes induces all the others in two linear scans. A scan goes over the symbols block by block: one symbol a block, or, of
+a string of names, as many neighbouring symbols as have some thousand suffixes together. What a block holds induces in one step all
+that it puts into later blocks, and wave by wave what it puts into itself, so each step is a few array operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
+#: Suffixes of the symbols of one block, about; strings of fewer symbols than FEW have a block for each.
+BLOCK, FEW = 4096, 300
+
 
 def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which suffixes are S, and the positions of the LMS ones. The end of the string is smaller than any symbol."""
@@ -23,60 +29,128 @@ def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, lms.astype(np.int32)
 
 
-def spread(found: np.ndarray, symbol: np.ndarray, lists: list[list[np.ndarray]]) -> None:
-    """Appends each symbol's positions, in their order, to the symbol's list."""
-    if not len(found):
-        return
-    order = np.argsort(symbol, kind="stable")
-    found, symbol = found[order], symbol[order]
-    edge = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1], True])
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        lists[symbol[a]].append(found[a:b])
+def blocks_of(t: np.ndarray, symbols: int) -> np.ndarray:
+    """The block of each symbol; a symbol of many suffixes has a block of its own."""
+    if symbols <= FEW:
+        return np.arange(symbols, dtype=np.int32)
+    size = np.bincount(t, minlength=symbols)
+    large = size > BLOCK
+    part = np.cumsum(np.where(large, 0, size)) // BLOCK
+    new = np.r_[True, (part[1:] != part[:-1]) | large[1:] | large[:-1]]
+    return (np.cumsum(new) - 1).astype(np.int32)
+
+
+class Pending:
+    """Positions put into blocks, in the order in which they come: one array with room for what each block will hold."""
+
+    def __init__(self, block: np.ndarray, count: int):
+        """block: that of each position to come."""
+        size = np.bincount(block, minlength=count)
+        self.start = np.cumsum(size) - size
+        self.next = self.start.copy()
+        self.held = np.empty(len(block), np.int32)
+
+    def put(self, found: np.ndarray, block: np.ndarray) -> None:
+        if len(found):
+            order = np.argsort(block, kind="stable")
+            size = np.bincount(block, minlength=len(self.next))
+            place = np.arange(len(found)) + np.repeat(self.next - (np.cumsum(size) - size), size)
+            self.held[place] = found[order]
+            self.next += size
+
+    def of(self, k: int) -> np.ndarray:
+        return self.held[self.start[k] : self.next[k]]
+
+
+def settled(t: np.ndarray, block: np.ndarray, here: int, came: np.ndarray, seeds: np.ndarray, induced: Callable[[np.ndarray], np.ndarray], down: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A scan's step in block `here`. came: the positions that earlier blocks put here, seeds: those of the other type, both in scan
+    order; induced(positions): which of the positions before them the scan places. Returns the positions of the first type in scan
+    order, those placed by this block itself included, and in scan order all that the block places in later ones.
+
+    Scan order is by symbol, the scanned type first, then by the order of what placed each; what earlier blocks placed comes first."""
+    pos = np.concatenate([came, seeds])
+    seed = np.arange(len(pos)) >= len(came)
+    parent, own = np.arange(len(pos)), np.zeros(len(pos), bool)
+    outer_from, outer_pos, frontier, waves = [], [], np.arange(len(pos)), 0
+    while len(frontier):
+        at = frontier[pos[frontier] > 0]
+        before = pos[at] - 1
+        good = induced(before)
+        at, before = at[good], before[good]
+        inside = block[t[before]] == here
+        outer_from.append(at[~inside])
+        outer_pos.append(before[~inside])
+        n = int(inside.sum())
+        frontier = np.arange(len(pos), len(pos) + n)
+        if n:
+            pos, parent = np.concatenate([pos, before[inside]]), np.concatenate([parent, at[inside]])
+            seed, own, waves = np.concatenate([seed, np.zeros(n, bool)]), np.concatenate([own, np.ones(n, bool)]), waves + 1
+    symbol = t[pos].astype(np.int64)
+    if down:
+        symbol = -symbol
+    key = ((symbol * 2 + seed) * 2 + own) << 32
+    order = np.argsort(key + parent)  # what earlier blocks placed: as it came
+    for _ in range(waves):
+        rank = np.empty(len(pos), np.int64)
+        rank[order] = np.arange(len(pos))
+        was, order = order, np.argsort(key + np.where(own, rank[parent], parent))
+        if np.array_equal(was, order):
+            break
+    rank = np.empty(len(pos), np.int64)
+    rank[order] = np.arange(len(pos))
+    made = pos[order[~seed[order]]]
+    source, target = np.concatenate(outer_from) if outer_from else order[:0], np.concatenate(outer_pos) if outer_pos else pos[:0]
+    return made, target[np.argsort(rank[source], kind="stable")]
+
+
+def in_waves(t: np.ndarray, c: int, came: np.ndarray, induced: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """As settled, for a block of one symbol: what it places in itself follows wave by wave, in order."""
+    done, outer, now = [], [], came
+    while len(now):
+        done.append(now)
+        before = now[now > 0] - 1
+        before = before[induced(before)]
+        same = t[before] == c
+        outer.append(before[~same])
+        now = before[same]
+    return (np.concatenate(done) if done else came), outer
 
 
 def induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """All suffixes in order, given the LMS ones in order."""
-    n = len(t)
-    empty = np.zeros(0, np.int32)
-    larger: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    first: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    spread(lms, t[lms], first)
-    larger[t[n - 1]].append(np.array([n - 1], np.int32))  # before the end of the string
-    l_part: list[np.ndarray] = [empty] * symbols
-    for c in range(symbols):
-        done = []
-        now = np.concatenate(larger[c]) if larger[c] else empty
-        while len(now):
-            done.append(now)
-            before = now[now > 0] - 1
-            before = before[~s[before]]
-            symbol = t[before]
-            same = symbol == c
-            spread(before[~same], symbol[~same], larger)
-            now = before[same]
-        l_part[c] = np.concatenate(done) if done else empty
-        for x in first[c]:
-            before = x[x > 0] - 1
-            spread(before, t[before], larger)
-    smaller: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    s_part: list[np.ndarray] = [empty] * symbols
-    for c in range(symbols - 1, -1, -1):  # from the largest down
-        done = []
-        now = np.concatenate(smaller[c]) if smaller[c] else empty
-        while len(now):
-            done.append(now)
-            before = now[now > 0] - 1
-            before = before[s[before]]
-            symbol = t[before]
-            same = symbol == c
-            spread(before[~same], symbol[~same], smaller)
-            now = before[same]
-        s_part[c] = np.concatenate(done)[::-1] if done else empty
-        x = l_part[c][::-1]
-        before = x[x > 0] - 1
-        before = before[s[before]]
-        spread(before, t[before], smaller)
-    return np.concatenate([p for c in range(symbols) for p in (l_part[c], s_part[c])])
+    n, empty = len(t), np.zeros(0, np.int32)
+    block = blocks_of(t, symbols)
+    count = int(block[-1]) + 1
+    alone = np.bincount(block, minlength=count) == 1
+    symbol_of = np.zeros(count, np.int64)
+    symbol_of[block] = np.arange(symbols)
+
+    def scan(down: bool, pending: Pending, seeds: Callable[[int], np.ndarray], induced: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [empty] * count
+        for k in range(count - 1, -1, -1) if down else range(count):
+            came, seed = pending.of(k), seeds(k)
+            if not len(came) and not len(seed):
+                continue
+            if alone[k]:
+                out[k], outer = in_waves(t, int(symbol_of[k]), came, induced)
+                before = seed[seed > 0] - 1  # a seed places nothing in its own symbol
+                later = np.concatenate([*outer, before[induced(before)]])
+            else:
+                out[k], later = settled(t, block, k, came, seed, induced, down)
+            pending.put(later, block[t[later]])
+        return out
+
+    of = block[t]
+    first, larger, smaller = Pending(of[lms], count), Pending(of[~s], count), Pending(of[s], count)
+    first.put(lms, of[lms])
+    larger.put(np.array([n - 1], np.int32), of[n - 1 :])  # before the end of the string
+    l_part = scan(False, larger, first.of, lambda x: ~s[x])
+    s_part = scan(True, smaller, lambda k: l_part[k][::-1], lambda x: s[x])
+    out = []
+    for k in range(count):
+        both = np.concatenate([l_part[k], s_part[k][::-1]])
+        out.append(both if alone[k] else both[np.argsort(t[both], kind="stable")])
+    return np.concatenate(out)
 
 
 def name_substrings(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -99,70 +173,53 @@ def name_substrings(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.n
     return name
 
 
-def sort_names(name: np.ndarray) -> np.ndarray:
-    """Suffixes of a string of names in order: the names of twice as many symbols at each level, until none repeats; only groups still equal are sorted again.
-
-    The alphabet of names is about as large as the string, where buckets hold a suffix or two and induction gains nothing."""
-    n, width = len(name), 1
-    order = np.argsort(name, kind="stable")
-    sorted_ = name[order]
-    head = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    rank = np.empty(n, np.int64)  # of a suffix: where its group of so far equal ones starts in the order
-    size = np.diff(np.r_[head, n])
-    rank[order] = np.repeat(head, size)
-    at = np.flatnonzero(np.repeat(size > 1, size))  # places in the order that are not settled
-    while len(at):
-        some = order[at]
-        next_ = some + width
-        key = rank[some] * (n + 1) + np.where(next_ < n, rank[np.minimum(next_, n - 1)] + 1, 0)
-        by = np.argsort(key, kind="stable")
-        some, key = some[by], key[by]
-        order[at] = some
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[head, len(at)])
-        rank[some] = np.repeat(at[head], size)
-        at = at[np.repeat(size > 1, size)]
-        width *= 2
-    return order
-
-
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     """The suffixes of t (symbols 0 .. symbols - 1) in order, as positions."""
     if not len(t):
         return np.zeros(0, np.int32)
-    t = np.ascontiguousarray(t, np.uint16)
+    t = np.ascontiguousarray(t, np.uint16 if symbols <= 1 << 16 else np.int32)
     s, lms = classify(t)
     if len(lms) > 1:
         rough = induce(t, s, lms, symbols)
         is_lms = np.zeros(len(t), bool)
         is_lms[lms] = True
         name = name_substrings(t, lms, rough[is_lms[rough]])
-        order = np.argsort(name) if name.max() == len(name) else sort_names(name)
-        lms = lms[order]
+        names = int(name.max())
+        lms = lms[np.argsort(name) if names == len(name) else suffix_array(name, names + 1)]
     return induce(t, s, lms, symbols)
 
 
-def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
-    """For each position, the length (at most `most`) that its suffix shares with the one before it in order, in text order; only
-    positions in `wanted`, of suffixes of at least `most` bytes, are compared, others have 0. A multiple of eight is compared at once."""
-    out = np.zeros(len(text), np.int32)
-    ok = wanted[order[1:]] & wanted[order[:-1]]
-    a, b = order[:-1][ok].astype(np.int64), order[1:][ok].astype(np.int64)
-    eight = np.ndarray((len(text) - 7,), np.uint64, np.ascontiguousarray(text), strides=(1,)) if len(text) >= 8 else np.zeros(0, np.uint64)
-    at = np.arange(len(a))
-    length = np.zeros(len(a), np.int32)
-    for k in range(0, most, 8):
-        k = min(k, most - 8)
-        x = eight[a[at] + k] ^ eight[b[at] + k]
-        equal = x == 0
-        low = x[~equal] & (~x[~equal] + np.uint64(1))  # the lowest bit in which they differ
-        length[at[~equal]] = k + np.bitwise_count(low - np.uint64(1)).astype(np.int32) // 8
-        at = at[equal]
-        if not len(at):
-            break
-    length[at] = most
-    out[b] = length
-    return out
+def permuted_common_prefixes(text: np.ndarray, symbols: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each position, in text order, the length that its suffix shares with the one before it in order, as far as the segments of
+    both reach. ends: for each position the end of its segment, where the symbol is 0.
+
+    Where a suffix and its predecessor follow equal symbols, the value is the last position's less one; only the others are compared,
+    eight bytes at once."""
+    n = len(text)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    i = np.arange(n)
+    fresh = (i == 0) | (before <= 0) | (ends == i)
+    some = np.flatnonzero(~fresh)
+    fresh[some] = (symbols[some - 1] != symbols[before[some] - 1]) | (symbols[some - 1] == 0)
+    at = np.flatnonzero(fresh & (before >= 0) & (ends > i))
+    prior = before[at]
+    room = np.minimum(ends[at] - at, ends[prior] - prior)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    eight = np.ndarray((n,), np.uint64, padded, strides=(1,))
+    length, left, k = room.copy(), np.flatnonzero(room > 0), 0
+    while len(left):
+        x = eight[at[left] + k] ^ eight[prior[left] + k]
+        differ = x != 0
+        low = x[differ] & (~x[differ] + np.uint64(1))  # the lowest bit in which they differ
+        which = left[differ]
+        length[which] = np.minimum(length[which], k + np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8)
+        left, k = left[~differ], k + 8
+        left = left[room[left] > k]
+    out = np.zeros(n, np.int64)
+    out[at] = length
+    base = np.maximum.accumulate(np.where(fresh, i, 0))
+    return out[base] - (i - base)
 
 
 def repeated_windows(segments: list[bytes], window: int) -> list[np.ndarray]:
@@ -172,15 +229,8 @@ def repeated_windows(segments: list[bytes], window: int) -> list[np.ndarray]:
     text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     symbols = text.astype(np.uint16) + np.uint16(1)
     symbols[first + sizes] = 0  # a separator, smaller than any byte
-    wanted = np.zeros(len(text), bool)
-    change = np.zeros(len(text) + 1, np.int8)
-    whole = sizes >= window
-    change[first[whole]] += 1
-    change[(first + sizes - window + 1)[whole]] -= 1
-    wanted = np.cumsum(change[:-1], dtype=np.int8) > 0
     order = suffix_array(symbols, 257)
-    plcp = permuted_common_prefixes(text, order, wanted, window)
-    found = plcp >= window
+    found = permuted_common_prefixes(text, symbols, order, np.repeat(first + sizes, sizes + 1)) >= window
     place = np.empty(len(text), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
     at = np.flatnonzero(found)
