@@ -37,9 +37,9 @@ def slot_bytes(slotted: DataFrame) -> DataFrame:
 def rebalance(current: list[int], loads: list[int], shards: int, slack: float = 0.001) -> list[int]:
     """Edits a slot-to-shard map so that shards hold near equal bytes, and moves few slots.
 
-    Slots of shards that are gone go first, heaviest first, each to the lightest shard. Then, while the heaviest and the lightest shard
-    differ by more than `slack` of the mean, the slot whose move, or the two slots whose exchange, comes nearest to making the two
-    equal changes hands; all other slots stay where they are."""
+    Slots of shards that are gone go first, heaviest first, each to the lightest shard. Then, while a shard is heavier than the lightest by
+    more than `slack` of the mean, the slot whose move, or the two slots whose exchange, comes nearest to making the two equal changes
+    hands, from the heaviest shard that has such a slot; all other slots stay where they are."""
     new, at = list(current), [0] * shards
     held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]  # (load, slot), sorted
     homeless = []
@@ -63,22 +63,26 @@ def rebalance(current: list[int], loads: list[int], shards: int, slack: float =
 
     for load, slot in sorted(homeless, key=lambda x: (-x[0], x[1])):
         put(load, slot, min(range(shards), key=lambda k: (at[k], k)))
-    for _ in range(4 * len(loads)):
-        high, low = max(range(shards), key=lambda k: (at[k], -k)), min(range(shards), key=lambda k: (at[k], k))
+    def change(high: int, low: int) -> tuple | None:
+        """The slot to go from high to low, and the one to come back or None: what leaves the two nearest to equal; None if nothing helps."""
         gap = at[high] - at[low]
-        if gap <= slack * sum(at) / shards:
-            break
-        best, there = (gap, None, None), [x for x, _ in held[low]]
+        best, there = (gap, None), [x for x, _ in held[low]]
         for a in held[high]:
             options = [(a[0], None)]  # a move; then the exchanges that come nearest to half of the gap
             i = bisect_left(there, a[0] - gap // 2)
             options += [(a[0] - held[low][k][0], held[low][k]) for k in (i - 1, i) if 0 <= k < len(there)]
             for moved, back in options:
                 if (left := abs(gap - 2 * moved) + (0.02 * gap if back else 0)) < best[0]:  # a move is preferred to a like exchange
-                    best = (left, a, back)
-        if best[1] is None:
+                    best = (left, (a, back))
+        return best[1]
+
+    for _ in range(4 * len(loads)):
+        low = min(range(shards), key=lambda k: (at[k], k))
+        heavy = sorted((k for k in range(shards) if at[k] - at[low] > slack * sum(at) / shards), key=lambda k: (-at[k], k))
+        found = next(((high, x) for high in heavy if (x := change(high, low))), None)  # a shard may have one slot too large to go
+        if found is None:
             break
-        _, a, back = best
+        high, (a, back) = found
         take(*a, high)
         if back:
             take(*back, low)
