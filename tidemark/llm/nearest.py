@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph in every shard.
 
-Equal vectors are one node, which keeps the smallest of their ids. Vectors are dealt into shards of a few thousand by their hash. One more component makes all norms of the index equal, so the
-largest inner product is the smallest distance. In each shard the graph is built in two passes: a greedy search from the middle
-proposes neighbours of each vector, and pruning keeps a neighbour only if no kept one is nearer to it by the factor alpha; edges
-back are added and pruned alike. Queries travel in blocks to every shard, a beam search answers there, and the best are merged.
+Equal vectors are one node, which keeps the smallest of their ids. Vectors are dealt into shards by their hash. One more component makes
+all norms of the index equal, so the largest inner product is the smallest distance. In each shard the graph is built in two passes: a
+greedy search from the middle proposes neighbours of each vector, and pruning keeps a neighbour only if no kept one is nearer to it by
+the factor alpha; edges back are added and pruned alike. Queries travel in blocks to every shard; a task loads a shard once, the blocks
+stream past it, a beam search from the middle answers them, and the best are merged.
+
+Each query meets each shard, so the work is that of queries times shards: the more rows a shard holds, the less.
 """
 
 from __future__ import annotations
@@ -13,14 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ragged, record, small_batches, stored, to_arrow
+from .common import batches_of, discard, ragged, record, small_batches, stored, to_arrow
 
-#: Vectors of a shard and queries of a block, about; edges of a node; beams when building and when searching.
-SHARD_ROWS, BLOCK_ROWS, DEGREE, BUILD_BEAM, BEAM, ALPHAS = 5000, 512, 32, 64, 128, (1.0, 1.2)
+#: Vectors of a shard, about; edges of a node; beams when building and when searching.
+SHARD_ROWS, DEGREE, BUILD_BEAM, BEAM, ALPHAS = 50_000, 32, 64, 256, (1.0, 1.2)
 #: Ids kept of equal vectors: as many as neighbours are asked for, and the query's own.
 COPIES = 21
 
@@ -129,12 +133,12 @@ INDEX = "shard int, n int, dim int, start int, ids binary, counts binary, vector
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (array of double) of the vectors that take part: not null, all components finite, not all zero, and of the
-    length that most have. Of rows with one id, the smallest vector counts."""
+    length that most have. Rows of one id with different vectors are rows of their own, those with equal ones are one."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     v = v.where("vec_id is not null and vector is not null").where(~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0))
     lengths = v.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return v.where(F.size("vector") == (lengths[0].n if lengths else -1)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return v.where(F.size("vector") == (lengths[0].n if lengths else -1)).dropDuplicates(["vec_id", "vector"])
 
 
 def repeated(hashed: DataFrame) -> DataFrame:
@@ -154,24 +158,36 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     stats = vectors.agg(F.approx_count_distinct(hashes[0]).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).first()
     shards = max(1, -(-stats.n // shard_rows))
     top = float(stats.most or 0.0)
-    schema = INDEX
 
-    def graph(group: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("first")
-        x = np.stack(group["vector"].to_numpy()).astype(np.float64)
+    def graph(shard: int, rows: pd.DataFrame) -> pd.DataFrame:
+        more = rows[rows["vector"].isna()]
+        rows = rows[rows["vector"].notna()].sort_values("first")
+        x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
         extra = np.sqrt(np.maximum(0.0, top - (x * x).sum(1)))
         g, start = build(np.c_[x, extra].astype(np.float32))
-        known = dict(zip(more["first"], more["ids"], strict=True))
-        ids = [known.get(i, (i,)) for i in group["first"]]
+        known = dict(zip(zip(more["first"], more["a"], strict=True), more["ids"], strict=True))
+        ids = [known.get(i, (i[0],)) for i in zip(rows["first"], rows["a"], strict=True)]
         counts = np.array([len(i) for i in ids], np.int32)
-        return pd.DataFrame([{"shard": int(group["shard"].iloc[0]), "n": len(x), "dim": x.shape[1], "start": start, "ids": np.concatenate(ids).astype(np.int64).tobytes(), "counts": counts.tobytes(), "vectors": x.tobytes(), "extra": extra.tobytes(), "graph": g.astype(np.int32).tobytes()}])
+        return pd.DataFrame([{"shard": shard, "n": len(x), "dim": x.shape[1], "start": start, "ids": np.concatenate(ids).astype(np.int64).tobytes(), "counts": counts.tobytes(), "vectors": x.tobytes(), "extra": extra.tobytes(), "graph": g.astype(np.int32).tobytes()}])
+
+    def built(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, here = [], None
+        for frame in frames:
+            for shard, part in frame.groupby("shard", sort=False):
+                if here is not None and shard != here:
+                    yield graph(here, pd.concat(held))
+                    held = []
+                here = int(shard)
+                held.append(part)
+        if held:
+            yield graph(here, pd.concat(held))
 
     shard = F.pmod(F.col("a"), F.lit(shards)).cast("int").alias("shard")
-    distinct = vectors.groupBy("vector").agg(F.min("vec_id").alias("first")).select("first", "vector", hashes[0]).select("first", "vector", shard)
-    copies = repeated(vectors.select("vec_id", *hashes)).select("first", "ids", shard)
-    # one partition a shard: a shard is few bytes and much work, so partitions are not to be merged by their bytes
-    dealt = distinct.repartition(shards, "shard").groupBy("shard")  # about shard_rows rows a group, whatever the input
-    return dealt.cogroup(copies.repartition(shards, "shard").groupBy("shard")).applyInPandas(graph, schema)
+    distinct = vectors.groupBy("vector").agg(F.min("vec_id").alias("first")).select("first", hashes[0], F.lit(None).cast("array<long>").alias("ids"), "vector").select(shard, "*")
+    copies = repeated(vectors.select("vec_id", *hashes)).select(shard, "first", "a", "ids", F.lit(None).cast("array<double>").alias("vector"))
+    # a partition a shard: a shard is few bytes and much work, so partitions are not to be merged by their bytes, nor shards to meet in one
+    dealt = distinct.unionByName(copies).repartitionByRange(shards, "shard").sortWithinPartitions("shard")
+    return dealt.mapInPandas(built, INDEX)
 
 
 def best(ids: np.ndarray, score: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
@@ -180,50 +196,75 @@ def best(ids: np.ndarray, score: np.ndarray, row: np.ndarray, k: int) -> np.ndar
     return order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (vec_id, vector) -> blocks of them."""
+    arrow = to_arrow("asked binary, by binary")
+    for b in batches:
+        if b.num_rows:
+            yield record({"asked": [b.column(0).to_numpy().tobytes()], "by": [b.column(1).flatten().to_numpy().tobytes()]}, arrow)
+
+
+class Shard:
+    """A shard of the index, as a task holds it."""
+
+    def __init__(self, r: dict):
+        self.x = np.frombuffer(r["vectors"]).reshape(r["n"], r["dim"])
+        self.near = np.c_[self.x, np.frombuffer(r["extra"])].astype(np.float32)
+        self.graph, self.ids = np.frombuffer(r["graph"], np.int32).reshape(r["n"], -1).astype(np.int64), np.frombuffer(r["ids"], np.int64)
+        self.counts = np.frombuffer(r["counts"], np.int32).astype(np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.start = r["start"]
+
+    def answer(self, qid: np.ndarray, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest rows found of each query: its number, ids and scores."""
+        found, _ = beam_search(self.near, self.graph, self.start, np.c_[q, np.zeros(len(q))].astype(np.float32), beam)
+        at = found.ravel()
+        row = np.repeat(np.arange(len(q)), found.shape[1])[at >= 0]
+        at = at[at >= 0]
+        score = np.einsum("ij,ij->i", q[row], self.x[at])
+        near = best(self.ids[self.first[at]], score, row, k + 1)  # one may be the query alone
+        many = self.counts[at[near]]
+        out_id, at, score, row = self.ids[ragged(self.first[at[near]], many)], np.repeat(at[near], many), np.repeat(score[near], many), np.repeat(row[near], many)
+        own = np.flatnonzero(out_id == qid[row])  # the query's id: its own row if the vector is its own too
+        own = own[(self.x[at[own]] == q[row[own]]).all(1)]
+        other = np.setdiff1d(np.arange(len(out_id)), own)
+        top = other[best(out_id[other], score[other], row[other], k)]
+        return row[top], out_id[top], score[top]
+
+
 def search(queries: DataFrame, indexed: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
-    """queries (vec_id, vector) against every shard of the index: query_id, rank, vec_id, score (inner product in double precision)."""
+    """queries (vec_id, vector) against every shard of the index: query_id, rank, vec_id, score (inner product in double precision).
+    Queries of one id with different vectors have ranks of their own."""
     if k >= COPIES:
         raise ValueError(f"the index keeps {COPIES} ids of equal vectors, too few for {k} neighbours")
-    spark = queries.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    block = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)))
-    block = block.groupBy("block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("asked"))  # about BLOCK_ROWS rows
-    shards = indexed.agg(F.max("shard")).first()[0]
-    sent = block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(shards or 0)))))
-    schema = "query_id long, vec_id long, score double"
+    last = indexed.agg(F.max("shard")).first()[0]
+    shards = 0 if last is None else int(last) + 1
+    blocks = stored(queries.mapInArrow(packed, "asked binary, by binary"), "blocks")
+    names = [f.name for f in indexed.schema.fields if f.name != "shard"]
+    held = indexed.select("shard", *names, *[F.lit(None).cast("binary").alias(c) for c in ("asked", "by")])
+    sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))).alias("shard"), *[F.lit(None).cast(indexed.schema[c].dataType).alias(c) for c in names], "asked", "by")
+    schema = "query_id long, which long, vec_id long, score double"
     arrow = to_arrow(schema)
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
         for batch in batches:
             for r in batch.to_pylist():
-                x = np.frombuffer(r["vectors"]).reshape(r["n"], r["dim"])
-                a = np.c_[x, np.frombuffer(r["extra"])].astype(np.float32)
-                graph, ids = np.frombuffer(r["graph"], np.int32).reshape(r["n"], -1).astype(np.int64), np.frombuffer(r["ids"], np.int64)
-                counts = np.frombuffer(r["counts"], np.int32).astype(np.int64)
-                starts = np.cumsum(counts) - counts
-                qid, q = np.array([y["vec_id"] for y in r["asked"]]), np.array([y["vector"] for y in r["asked"]])
+                if r["asked"] is None:
+                    shard = Shard(r)
+                    continue
+                qid = np.frombuffer(r["asked"], np.int64)
+                q = np.frombuffer(r["by"]).reshape(len(qid), -1)
                 for i in range(0, len(q), 128):
-                    part = np.c_[q[i : i + 128], np.zeros(len(q[i : i + 128]))].astype(np.float32)
-                    found, _ = beam_search(a, graph, r["start"], part, beam)
-                    at = found.ravel()
-                    row = np.repeat(np.arange(len(part)), found.shape[1])[at >= 0]
-                    at = at[at >= 0]
-                    score = np.einsum("ij,ij->i", q[i : i + 128][row], x[at])
-                    near = best(ids[starts[at]], score, row, k + 1)  # one may be the query alone
-                    many = counts[at[near]]
-                    out_id, score, row = ids[ragged(starts[at[near]], many)], np.repeat(score[near], many), np.repeat(row[near], many)
-                    who = qid[i : i + 128][row]
-                    other = np.flatnonzero(out_id != who)
-                    top = other[best(out_id[other], score[other], row[other], k)]
-                    yield record({"query_id": who[top], "vec_id": out_id[top], "score": score[top]}, arrow)
-
-    parts = int(shards or 0) + 1
-    joined = sent.repartition(parts, "shard").join(indexed.repartition(parts, "shard"), "shard").select("n", "dim", "start", "ids", "counts", "vectors", "extra", "graph", "asked")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a row holds a shard
-    hits = stored(joined.mapInArrow(answer, schema), "hits")
-    small_batches(spark)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # k rows a shard for each query
+                    row, ids, score = shard.answer(qid[i : i + 128], q[i : i + 128], k, beam)
+                    which = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in q[i : i + 128]], np.uint64).view(np.int64)
+                    yield record({"query_id": qid[i : i + 128][row], "which": which[row], "vec_id": ids, "score": score}, arrow)
+
+    dealt = held.unionByName(sent).repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", F.col("asked").isNotNull())
+    with batches_of(queries.sparkSession, 2):  # a row holds a shard
+        hits = stored(dealt.mapInArrow(answers, schema), "hits")
+    discard(blocks)
+    rank = F.row_number().over(W.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id"))  # k rows a shard for each query
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -233,5 +274,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     Vectors null, zero, with null or non-finite components, or of another length than most take no part; nor do null ids. Equal
     vectors under different ids are candidates of their own. An empty table gives no rows."""
+    small_batches(vectors.sparkSession)
     held = stored(usable(vectors), "vectors")
     return search(held.where(F.col("vec_id") % every == 0), stored(index(held), "index"), k)
