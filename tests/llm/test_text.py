@@ -112,7 +112,7 @@ def test_sketch_grows_with_the_input_and_misses_nothing(spark):
         def counter():
             def each(whole):
                 v = np.array([int(x) for t in whole for x in t.split()], np.uint64)
-                return v >> np.uint64(8), v
+                return v >> np.uint64(8), v, np.arange(len(v))
 
             return each
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = own_dir(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 
+@cache
+def own_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix=f'tidemark-{application}-')}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -1,7 +1,8 @@
 """A count-min sketch that grows with the input: which windows a corpus may hold more than once.
 
 A window is counted under two hashes: its group (an anchor that equal windows share) picks a block, its own value picks a cell of each
-row inside the block. All that a window needs to look up thus lies in one block. Each partition makes its own sketch; sketches are
+row inside the block. A further row counts the groups, once a run of windows, as a window repeats only if its group does. All that a
+window needs to look up thus lies in one block. Each partition makes its own sketch; sketches are
 merged block by block by saturating addition (never, once, more often). Counts are overestimated at worst, so nothing that repeats is
 missed. Cells are as many as the number of windows asks for, so that the share of once-only windows which pass stays the same at any
 size, and blocks, of bounded size, are as many as tasks can share.
@@ -25,63 +26,78 @@ from pyspark.sql import functions as F
 from .common import record, small_batches, stored, texts, to_arrow
 from .windows import mix
 
-#: Rows of the sketch, and windows a cell of a row has at most on average: (1 - exp(-LOAD)) ** ROWS, 9 %, of once-only windows pass.
-ROWS, LOAD = 2, 0.36
+#: Rows of the sketch, and windows a cell of a row has at most on average: (1 - exp(-LOAD)) ** ROWS, 9 %, of once-only windows pass, and
+#: of those whose group occurs once about 3 %; windows of a run at least, about, so that the row of groups needs fewer cells.
+ROWS, LOAD, RUN = 2, 0.36, 4
 #: Blocks of a sketch, at least about, and cells of a block's row, at most.
 BLOCKS, BLOCK_CELLS = 1024, 1 << 24
 #: Windows that a task gathers before it hands on its sketch.
-GATHERED = 2_000_000
+GATHERED = 4_000_000
 #: Bytes up to which a merged sketch is broadcast; beyond that, parts in which the rows of a block that counts HOT times the mean meet it.
-BROADCAST_BYTES, SALTS, HOT = 64 << 20, 64, 4
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+BROADCAST_BYTES, SALTS, HOT = 128 << 20, 64, 4
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
 @dataclass(frozen=True)
 class Shape:
     blocks: int
-    cells: int  # of a block's row, a multiple of eight
+    rows: tuple[int, ...]  # the cells of a block's rows, multiples of eight: ROWS of windows, and one of groups if they are counted
+
+    @property
+    def size(self) -> int:
+        """Bytes of a block."""
+        return sum(self.rows) // 8
 
     @property
     def bytes(self) -> int:
-        return self.blocks * self.cells * ROWS // 8
+        return self.blocks * self.size
 
     def block(self, group: np.ndarray) -> np.ndarray:
         return ((mix(group ^ np.uint64(0x165667B19E3779F9)) >> np.uint64(32)) * np.uint64(self.blocks)) >> np.uint64(32)
 
-    def cell(self, value: np.ndarray, row: int) -> np.ndarray:
-        return ((mix(value * _MULTIPLIERS[row]) >> np.uint64(32)) * np.uint64(self.cells)) >> np.uint64(32)
+    def cell(self, x: np.ndarray, row: int) -> np.ndarray:
+        """x: the windows' values, in the last row their groups."""
+        return ((mix(x * _MULTIPLIERS[row]) >> np.uint64(32)) * np.uint64(self.rows[row])) >> np.uint64(32)
 
 
-def shaped(windows: int) -> Shape:
+def shaped(windows: int, groups: bool) -> Shape:
     """The sketch for so many windows."""
     cells = max(1, math.ceil(windows / LOAD))
     blocks = max(1, min(BLOCKS, cells >> 12), -(-cells // BLOCK_CELLS))
-    return Shape(blocks, max(8, 8 * -(-cells // (8 * blocks))))
+    eights = lambda n: max(8, 8 * -(-n // (8 * blocks)))
+    return Shape(blocks, (eights(cells),) * ROWS + ((eights(cells // RUN),) if groups else ()))
 
 
-def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=x.dtype.type(0)).tobytes())
+def pack(seen: np.ndarray, more: np.ndarray) -> bytes:
+    """Ascending cells and, of each, whether it was seen more than once: gaps in a byte each, those that don't fit apart."""
+    gap = np.diff(seen, prepend=np.uint32(0))
+    wide = gap >= 255
+    parts = np.minimum(gap, 255).astype(np.uint8).tobytes(), gap[wide].astype(np.uint32).tobytes(), np.packbits(more).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(seen), int(wide.sum())], np.uint32).tobytes() + b"".join(parts))
 
 
-def unpack(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32), dtype=np.uint32)
+def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(x)
+    n, wide = np.frombuffer(raw, np.uint32, 2).tolist()
+    gap = np.frombuffer(raw, np.uint8, n, 8).astype(np.uint32)
+    gap[gap == 255] = np.frombuffer(raw[8 + n : 8 + n + 4 * wide], np.uint32)
+    more = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 + n + 4 * wide), count=n).astype(bool)
+    return np.cumsum(gap, dtype=np.uint32), more
 
 
-def sketched(group: np.ndarray, value: np.ndarray, shape: Shape) -> Iterator[tuple[int, int, bytes, bytes, int]]:
-    """The sketch of what was counted: by block and row, the cells seen and those seen more than once, and with the first row how many."""
+def sketched(group: np.ndarray, value: np.ndarray, first: np.ndarray, shape: Shape) -> Iterator[tuple[int, int, bytes, int]]:
+    """The sketch of what was counted: by block and row, the cells seen and which of them more than once, and with the first row how many."""
     block = shape.block(group)
     counts = np.bincount(block.astype(np.int64), minlength=1)
-    for row in range(ROWS):
-        key = np.sort(block * np.uint64(shape.cells) + shape.cell(value, row))
-        again = key[1:] == key[:-1]
-        seen, more = key[np.r_[True, ~again]], key[1:][again]
-        more = more[np.r_[True, more[1:] != more[:-1]]] if len(more) else more
-        at = np.unique(seen // np.uint64(shape.cells))
-        edges = at * np.uint64(shape.cells), (at + np.uint64(1)) * np.uint64(shape.cells)
-        (s0, s1), (m0, m1) = ([np.searchsorted(x, e) for e in edges] for x in (seen, more))
-        for i, b in enumerate(at.tolist()):
-            low = np.uint64(b * shape.cells)
-            yield b, row, pack((seen[s0[i] : s1[i]] - low).astype(np.uint32)), pack((more[m0[i] : m1[i]] - low).astype(np.uint32)), 0 if row else int(counts[b])
+    at = np.flatnonzero(counts)
+    for row, size in enumerate(shape.rows):
+        key = block * np.uint64(size) + shape.cell(value, row) if row < ROWS else block[first] * np.uint64(size) + shape.cell(group[first], row)
+        key.sort()
+        fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        seen, more = key[fresh], np.diff(np.r_[fresh, len(key)]) > 1
+        lo, hi = (np.searchsorted(seen, (at + k).astype(np.uint64) * np.uint64(size)) for k in (0, 1))
+        for b, i, j in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            yield b, row, pack((seen[i:j] - np.uint64(b * size)).astype(np.uint32), more[i:j]), 0 if row else int(counts[b])
 
 
 class Sketch:
@@ -93,7 +109,7 @@ class Sketch:
 
     def broadcast(self):  # noqa: ANN201
         """For tasks of a small sketch: lookup() -> function of (groups, values), True where estimated repeated."""
-        shape, size = self.shape, self.shape.cells * ROWS // 8
+        shape, size = self.shape, self.shape.size
         bits = np.zeros(shape.bytes, np.uint8)
         for r in self.table.toLocalIterator():  # broadcast_bytes in all, at most
             bits[r.block * size : (r.block + 1) * size] = np.frombuffer(r.bits, np.uint8)
@@ -101,7 +117,7 @@ class Sketch:
 
         def lookup() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
             found = np.frombuffer(held.value, np.uint8)
-            return lambda group, value: estimated(found, shape, shape.block(group), value)
+            return lambda group, value: estimated(found, shape, shape.block(group), group, value)
 
         return lookup
 
@@ -142,64 +158,65 @@ class Sketch:
                     if part.column(k + 2)[0].is_valid:  # the block's bits stand first
                         bits, part = np.frombuffer(part.column(k + 2)[0].as_py(), np.uint8), part.slice(1)
                     if part.num_rows and bits is not None:
-                        yield from each(part.select(names), lambda group, value: estimated(bits, shape, np.zeros(len(group), np.uint64), value))  # noqa: B023
+                        yield from each(part.select(names), lambda group, value: estimated(bits, shape, np.zeros(len(group), np.uint64), group, value))  # noqa: B023
 
         both = salted.unionByName(blocks)
         return both.repartition("_block", "_salt").sortWithinPartitions("_block", "_salt", F.col("_bits").isNull()).mapInArrow(met, schema)
 
 
-def estimated(bits: np.ndarray, shape: Shape, block: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Which windows the sketch counts more than once, given where each one's block starts in bits."""
+def estimated(bits: np.ndarray, shape: Shape, block: np.ndarray, group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which windows the sketch counts more than once; block: the number of each one's block in bits."""
     kept = np.ones(len(value), bool)
-    for row in range(ROWS):
+    first = np.cumsum(shape.rows) - shape.rows
+    for row in range(len(shape.rows) - 1, -1, -1):
         at = np.flatnonzero(kept)
-        cell = (block[at] * np.uint64(ROWS) + np.uint64(row)) * np.uint64(shape.cells) + shape.cell(value[at], row)
+        cell = block[at] * np.uint64(8 * shape.size) + np.uint64(first[row]) + shape.cell((value if row < ROWS else group)[at], row)
         kept[at] = (bits[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
     return kept
 
 
-def sketch(docs: DataFrame, counter: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]], windows: int, broadcast_bytes: int = BROADCAST_BYTES) -> Sketch:
-    """counter() gives a task's function from the whole texts of a batch to the groups and values to count, as often as they count;
-    windows: about how many there are in all."""
-    shape = shaped(windows)
-    schema, merged = "block int, row int, seen binary, more binary, n long", "block int, n long, bits binary"
+def sketch(docs: DataFrame, counter: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, ...]]], windows: int, broadcast_bytes: int = BROADCAST_BYTES, groups: bool = False) -> Sketch:
+    """counter() gives a task's function from the whole texts of a batch to the groups and values to count, as often as they count, and
+    where runs begin, which is what groups are counted by, if they are; windows: about how many there are in all."""
+    shape = shaped(windows, groups)
+    schema, merged = "block int, row int, seen binary, n long", "block int, n long, bits binary"
     arrow, out = to_arrow(schema), to_arrow(merged)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, groups, values, n = counter(), [], [], 0
+        count, parts, n = counter(), [], 0
 
         def handed() -> pa.RecordBatch:
-            return record(dict(zip(arrow.names, zip(*sketched(np.concatenate(groups), np.concatenate(values), shape), strict=True), strict=True)), arrow)
+            return record(dict(zip(arrow.names, zip(*sketched(*map(np.concatenate, zip(*parts, strict=True)), shape), strict=True), strict=True)), arrow)
 
         for batch in batches:
-            group, value = count(texts(batch))
+            group, value, first = count(texts(batch))
             if len(value):
-                groups.append(group)
-                values.append(value)
+                parts.append((group, value, first + n))
                 n += len(value)
             if n > GATHERED:
                 yield handed()
-                groups, values, n = [], [], 0
-        if groups:
+                parts, n = [], 0
+        if parts:
             yield handed()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, seen, more = None, 0, np.zeros((ROWS, shape.cells), bool), np.zeros((ROWS, shape.cells), bool)
+        now, total, edges = None, 0, np.cumsum(shape.rows)[:-1]
+        seen, more = np.zeros(sum(shape.rows), bool), np.zeros(sum(shape.rows), bool)
+        seen_of, more_of = np.split(seen, edges), np.split(more, edges)
 
         def done() -> pa.RecordBatch:
             return record({"block": [now], "n": [total], "bits": [np.packbits(more).tobytes()]}, out)
 
         for batch in batches:
-            for block, row, s, m, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for block, row, packed, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if now != block:
                     if now is not None:
                         yield done()
                     now, total = block, 0
                     seen[:], more[:] = False, False
-                s, m = unpack(s), unpack(m)
-                more[row, s[seen[row, s]]] = True
-                more[row, m] = True
-                seen[row, s] = True
+                cells, again = unpack(packed)
+                more_of[row][cells[again | seen_of[row][cells]]] = True
+                seen_of[row][cells] = True
                 total += n
         if now is not None:
             yield done()

@@ -66,12 +66,15 @@ def windows(whole: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, Windo
 
 
 def counted():  # noqa: ANN201
-    """For the sketch: each window's anchor and hash."""
+    """For the sketch: each window's anchor and hash, and where runs of windows with one anchor begin."""
     hashes = WordHashes()
 
-    def each(whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [(w.anchor, w.value) for _, w in windows(whole, hashes)]
-        return (np.concatenate([a for a, _ in found]), np.concatenate([v for _, v in found])) if found else (np.zeros(0, np.uint64),) * 2
+    def each(whole: list[bytes]) -> tuple[np.ndarray, ...]:
+        parts, n = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        for _, w in windows(whole, hashes):
+            parts.append((w.anchor, w.value, runs(w.start, w.at) + n))
+            n += len(w.value)
+        return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
     return each
 
@@ -255,7 +258,7 @@ def repeats(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Sketch:
     """The sketch of the windows of docs (text)."""
     words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
     n = docs.agg(F.sum(F.greatest(words - (WINDOW - 1), F.lit(0)).cast("long"))).first()[0]
-    return sketch(docs, counted, n or 0, broadcast_bytes)
+    return sketch(docs, counted, n or 0, broadcast_bytes, groups=True)
 
 
 def removals(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -75,9 +75,9 @@ def runs(batch: list[bytes]):  # noqa: ANN201
 def counted():  # noqa: ANN201
     """For the sketch: the anchors of a text's runs, each as often as it stands somewhere."""
 
-    def each(whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def each(whole: list[bytes]) -> tuple[np.ndarray, ...]:
         found = np.concatenate([np.zeros(0, np.uint64), *[a for _, _, a, _ in runs(whole)]])
-        return found, found
+        return found, found, np.arange(len(found))
 
     return each
 
