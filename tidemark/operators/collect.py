@@ -27,9 +27,16 @@ def ranked(df: DataFrame, precedence: list[Column], segment: list[str] | None =
     return df.withColumn("seq", F.row_number().over(W.partitionBy(*(segment or []), "temporal").orderBy(*precedence, "index")))
 
 
-def sort_key(x: Column) -> Column:
-    """As the comparator has it: null is 0."""
-    return F.coalesce(x, F.lit(0))
+def sort_keys(df: DataFrame, column: str) -> list[Column]:
+    """What orders a column as the comparator does: numbers, null as 0; texts by their characters. Of a column of texts, those that are
+    numbers (and nulls, and empty ones, as 0) are put before the others and go by their value."""
+    x, kind = F.col(column), df.schema[column].dataType.typeName()
+    if kind in ("string", "varchar", "char"):
+        number = F.when(F.coalesce(x, F.lit("")) == "", 0.0).otherwise(x.try_cast("double"))
+        return [number.isNull(), F.coalesce(number, F.lit(0.0)), F.when(number.isNull(), x)]
+    if kind in ("boolean", "byte", "short", "integer", "long", "float", "double", "decimal"):
+        return [F.coalesce(x.cast("double") if kind == "boolean" else x, F.lit(0))]
+    return [x]
 
 
 def retain(df: DataFrame, criteria: list[Column]) -> DataFrame:
@@ -67,8 +74,8 @@ def segments(df: DataFrame, begin: str, end: str, every: str) -> DataFrame:
 
 def ordered(df: DataFrame, order: list[tuple[str, bool]], head: int | None = None, tail: int | None = None) -> DataFrame:
     """order: (column, descending). Rows in order, ties by time and seq: all, the first, the last, or the first followed by the last
-    (a row can be in both). Null sorts as 0, as in ranks."""
-    spec = [*[(sort_key(F.col(c)), down) for c, down in order], (F.col("temporal"), False), (F.col("seq"), False)]
+    (a row can be in both)."""
+    spec = [*[(k, down) for c, down in order for k in sort_keys(df, c)], (F.col("temporal"), False), (F.col("seq"), False)]
     forth, back = ([c.desc() if down != turn else c.asc() for c, down in spec] for turn in (False, True))
     if head is None and tail is None:
         return df.orderBy(*forth)

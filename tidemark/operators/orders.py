@@ -9,42 +9,70 @@ from pyspark.sql import functions as F
 from .asof import asof_join
 
 
-def _touched(o: Column, h: Column, lo: Column, c: Column) -> Column:
-    """Whether an order trades in a bar, at which price: null if not."""
-    kind, limit, stop, buy = F.col("order_type"), F.col("limit"), F.col("stop"), F.col("action") == "BUY"
+#: Bars whose extremes are looked at together, when a waiting order looks for its first fill.
+STRETCH = 128
+
+
+def _traded(o: Column, h: Column, lo: Column, c: Column) -> Column:
+    """The price at which an order trades in a bar: null if it doesn't."""
+    kind, limit, buy = F.col("order_type"), F.col("limit"), F.col("action") == "BUY"
     within = lambda p: F.when((p >= lo) & (p <= h), p)
-    good = lambda p: F.when(buy, p <= limit).otherwise(p >= limit)
+    good = lambda p: F.when(F.when(buy, p <= limit).otherwise(p >= limit), p)
     return (
         F.when(kind.isin("MKT", "MOO"), o)
         .when(kind == "MOC", c)
-        .when(kind == "LOO", F.when(good(o), o))
-        .when(kind == "LOC", F.when(good(c), c))
-        .when(kind == "LMT", F.when(good(o), o).otherwise(within(limit)))
-        .when(kind.isin("STP", "MIT"), within(F.coalesce(stop, limit)))
+        .when(kind == "LOO", good(o))
+        .when(kind == "LOC", good(c))
+        .when(kind == "LMT", within(limit))
+        .when(kind.isin("STP", "MIT"), within(F.col("stop")))
     )
 
 
+def _may_trade(low: Column, high: Column) -> Column:
+    """Whether an order can trade in bars that reach from low to high (for LOO and LOC: whose opens or closes do)."""
+    limit, buy = F.col("limit"), F.col("action") == "BUY"
+    asked = F.when(F.col("order_type") == "LMT", limit).otherwise(F.col("stop"))
+    return F.when(F.col("order_type").isin("LOO", "LOC"), F.when(buy, low <= limit).otherwise(high >= limit)).otherwise((low <= asked) & (asked <= high))
+
+
 def fills(orders: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Each order with its first fill (traded_at, traded_price), or cancelled or working.
+    """Each order with its first fill (traded_at, traded_price) and what became of it: filled, cancelled or working.
+
+    orders: order_ref (unique), posted_at, action, quant, order_type, limit, stop, tif and the keys. Bars end after the order is posted;
+    without one the order works on. DAY orders have the first bar only, IOC orders no more than its open, GTC orders all bars. MKT and MOO
+    trade at the first open, MOC at the first close; LMT at its limit, STP and MIT at their stop, in the first bar that holds it; LOO and
+    LOC in the first bar whose open or close is no worse than the limit, at that. Of what didn't trade, GTC orders of LMT, STP and MIT
+    work on and all others are cancelled.
 
-    orders: order_ref, posted_at, action, quant, order_type, limit, stop, tif and the keys. Bars end after the order is posted; GTC
-    orders wait for as many bars as it takes, DAY orders for those of the same day as the first, IOC orders for the first only. The
-    first bar is found as of the order's time. Only orders that it leaves open meet later bars: DAY orders those of its day, GTC orders
-    all; the first match is an aggregation, so no bar list of an order is kept."""
+    The first bar is found as of the order's time. A GTC order that it leaves open looks at the extremes of stretches of bars, then at
+    the bars of the first stretch in which it may trade; only where prices jumped over it there does it meet all later bars."""
     prices = ("open", "high", "low", "close")
     b = bars.select(*keys, F.col("ending").alias("_ending"), *[F.col(c).alias(f"_{c}") for c in prices])
     asked = asof_join(orders, b.withColumn("posted_at", F.col("_ending")), keys, "posted_at", "_first", forward=True, strict=True)
-    asked = asked.withColumn("_at", F.col("_first._ending")).withColumn("_price", _touched(*[F.col(f"_first._{c}") for c in prices]))
-    left = asked.where("_at is not null and _price is null").drop("_first", "_price")
-    day, later = F.to_date("_ending").alias("_day"), F.col("_ending") > F.col("_at")
-    days = left.where("tif = 'DAY'").withColumn("_day", F.to_date("_at")).join(b.select("*", day), [*keys, "_day"]).where(later).drop("_day")
-    met = days.unionByName(left.where("tif = 'GTC'").join(b, keys).where(later))
-    hit = met.withColumn("_p", _touched(*[F.col(f"_{c}") for c in prices])).where("_p is not null").groupBy("order_ref").agg(F.min_by(F.struct("_ending", "_p"), "_ending").alias("_f"))
+    first = {c: F.col(f"_first._{c}") for c in prices}
+    at_once = F.when(F.col("tif") == "IOC", _traded(*[first["open"]] * 4)).otherwise(_traded(*first.values()))
+    asked = asked.withColumn("_at", F.col("_first._ending")).withColumn("_price", at_once)
+    waits = F.col("order_type").isin("LMT", "STP", "MIT", "LOO", "LOC")
+    left = asked.where(F.col("_at").isNotNull() & F.col("_price").isNull() & (F.col("tif") == "GTC") & waits).drop("_first", "_price")
+    nth = F.floor((F.row_number().over(W.partitionBy(*keys).orderBy("_ending")) - 1) / STRETCH).alias("_nth")
+    numbered = b.select("*", nth)
+    ends = {"LOO": ("_open", "_open"), "LOC": ("_close", "_close")}
+    reach = [f(c).alias(f"_{n}{k}") for k, (lo, hi) in ({"": ("_low", "_high")} | ends).items() for n, f, c in (("lo", F.min, lo), ("hi", F.max, hi))]
+    stretches = numbered.groupBy(*keys, "_nth").agg(F.max("_ending").alias("_until"), *reach)
+    by_kind = lambda n: F.when(F.col("order_type") == "LOO", F.col(f"_{n}LOO")).when(F.col("order_type") == "LOC", F.col(f"_{n}LOC")).otherwise(F.col(f"_{n}"))
+    near = left.join(stretches, keys).where((F.col("_until") > F.col("_at")) & _may_trade(by_kind("lo"), by_kind("hi"))).groupBy("order_ref").agg(F.min("_nth").alias("_nth"))
+    met = left.join(near, "order_ref")
+    price = _traded(*[F.col(f"_{c}") for c in prices])
+    found = lambda x: x.where(F.col("_ending") > F.col("_at")).withColumn("_p", price).where("_p is not null").groupBy("order_ref").agg(F.min_by(F.struct("_ending", "_p"), "_ending").alias("_f"))
+    hit = found(met.join(numbered, [*keys, "_nth"]))
+    jumped = met.join(hit, "order_ref", "left_anti").drop("_nth")
+    hit = hit.unionByName(found(jumped.join(b, keys)))
     out = asked.join(hit, "order_ref", "left")
-    at_once = F.col("_price").isNotNull()
-    at, price = F.when(at_once, F.col("_at")).otherwise(F.col("_f._ending")), F.coalesce("_price", "_f._p")
-    status = F.when(price.isNotNull(), "filled").when((F.col("tif") != "GTC") & F.col("_at").isNotNull(), "cancelled").otherwise("working")
-    return out.select(*orders.columns, at.alias("traded_at"), price.alias("traded_price"), status.alias("status"))
+    now = F.col("_price").isNotNull()
+    at, traded = F.when(now, F.col("_at")).otherwise(F.col("_f._ending")), F.coalesce("_price", "_f._p")
+    open_ = F.col("_at").isNull() | ((F.col("tif") == "GTC") & F.col("order_type").isin("LMT", "STP", "MIT"))
+    status = F.when(traded.isNotNull(), "filled").when(open_, "working").otherwise("cancelled")
+    return out.select(*orders.columns, at.alias("traded_at"), traded.alias("traded_price"), status.alias("status"))
 
 
 def combo_fills(legs: DataFrame, group: str = "combo_ref") -> DataFrame:
@@ -55,21 +83,29 @@ def combo_fills(legs: DataFrame, group: str = "combo_ref") -> DataFrame:
     return out.withColumn("status", F.when(ok, "filled").otherwise("working")).withColumn("traded_price", F.when(ok, F.col("traded_price"))).withColumn("traded_at", F.when(ok, F.col("traded_at"))).drop("_all", "_same")
 
 
-def positions(trades: DataFrame, bars: DataFrame, keys: list[str], commission: float = 0.0, multiplier: float = 1.0) -> DataFrame:
-    """At each bar the position after its trades, its value, and the profit since the bar before (mark to market).
+def positions(trades: DataFrame, bars: DataFrame, keys: list[str], commission: float | Column = 0.0, multiplier: float = 1.0, minimum: float | Column = 0.0) -> DataFrame:
+    """At each bar the position after its trades, its value, and the profit since the bar before (mark to market): the change of value,
+    less what was bought, and what the trades cost, plus the dividend on the position that the bar began with.
+
+    trades: keys, ending, quant (signed), price. commission: of each unit, and minimum: of each trade at least; numbers, or columns of
+    trades (as first_match finds them). bars may have a dividend. Amounts are not rounded to cents.
 
-    trades: keys, ending, quant (signed), price."""
-    t = trades.groupBy(*keys, "ending").agg(F.sum("quant").alias("quant"), F.sum(F.col("quant") * F.col("price")).alias("spent"), F.sum(F.abs("quant") * commission).alias("commission"))
-    b = bars.select(*keys, "ending", "close").join(t, [*keys, "ending"], "left").fillna(0.0, ["quant", "spent", "commission"])
+    action says what the bar did: opened or added to (BTO, STO), closed or reduced (BTC, STC), turned to the other side (BOT, SLD), traded
+    within the bar only (DAY), held (LONG, SHORT) or nothing."""
+    fee = F.greatest(F.abs("quant") * (commission if isinstance(commission, Column) else F.lit(float(commission))), minimum if isinstance(minimum, Column) else F.lit(float(minimum)))
+    t = trades.groupBy(*keys, "ending").agg(F.sum("quant").alias("quant"), F.sum(F.col("quant") * F.col("price")).alias("spent"), F.sum(fee).alias("commission"), F.sum(F.abs("quant")).alias("_total"))
+    paid = F.coalesce("dividend", F.lit(0.0)) if "dividend" in bars.columns else F.lit(0.0)
+    b = bars.select(*keys, "ending", "close", paid.alias("_paid")).join(t, [*keys, "ending"], "left").fillna(0.0, ["quant", "spent", "commission", "_total"])
     w = W.partitionBy(*keys).orderBy("ending")
     b = b.withColumn("position", F.sum("quant").over(w.rowsBetween(W.unboundedPreceding, 0)))
     b = b.withColumn("value", F.col("position") * F.col("close") * multiplier)
-    before = F.coalesce(F.lag("value").over(w), F.lit(0.0))
-    b = b.withColumn("mtm", F.col("value") - before - F.col("spent") * multiplier - F.col("commission"))
-    held = F.coalesce(F.lag("position").over(w), F.lit(0.0))
-    action = F.when(F.col("quant") == 0, F.when(F.col("position") == 0, "").when(F.col("position") > 0, "LONG").otherwise("SHORT"))
-    action = action.when(held == 0, F.when(F.col("quant") > 0, "BTO").otherwise("STO")).when(F.col("quant") > 0, F.when(held < 0, "BTC").otherwise("BTO")).otherwise(F.when(held > 0, "STC").otherwise("STO"))
-    return b.withColumn("action", action)
+    before, held = (F.coalesce(F.lag(c).over(w), F.lit(0.0)) for c in ("value", "position"))
+    b = b.withColumn("dividend", F.col("_paid") * held * multiplier)
+    b = b.withColumn("mtm", F.col("value") - before - F.col("spent") * multiplier + F.col("dividend") - F.col("commission"))
+    q, now = F.col("quant"), F.col("position")
+    action = F.when((now == 0) & (F.col("_total") == 0), "").when((q == 0) & (now > 0), "LONG").when((q == 0) & (now < 0), "SHORT")
+    action = action.when((held >= 0) & (now >= 0) & (q != 0), F.when(q > 0, "BTO").otherwise("STC")).when((held <= 0) & (now <= 0) & (q != 0), F.when(q < 0, "STO").otherwise("BTC"))
+    return b.withColumn("action", action.when(q > 0, "BOT").when(q < 0, "SLD").otherwise("DAY")).drop("_paid", "_total")
 
 
 def balances(positions_: DataFrame, deposits: DataFrame) -> DataFrame:
