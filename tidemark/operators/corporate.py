@@ -76,10 +76,11 @@ def max_correlation(rows: DataFrame, value: str, n: int, temporal: str = "tempor
     """For each row the largest correlation, over the last n times, between its series and those of the rows before it at the same
     time; 0 if there is none. Pairs are of series, joined on the time; `where` says which rows before count."""
     ok = F.lit(True) if where is None else where
-    own = rows.select(F.col(temporal), F.col(index).alias("_i"), F.col(seq).alias("_s"), F.col(value).alias("_x"))
-    other = rows.select(F.col(temporal), F.col(index).alias("_j"), F.col(seq).alias("_t"), F.col(value).alias("_y"), ok.alias("_ok"))
-    pairs = own.join(other, temporal).where("_i <> _j")
+    one = rows.select(F.col(temporal), F.col(index).alias("_i"), F.col(seq).alias("_s"), F.col(value).alias("_x"), ok.alias("_ok_i"))
+    two = rows.select(F.col(temporal), F.col(index).alias("_j"), F.col(seq).alias("_t"), F.col(value).alias("_y"), ok.alias("_ok_j"))
+    pairs = one.join(two, temporal).where("_i < _j")  # each pair of series once; it counts for the one that stands later at the time
     w = W.partitionBy("_i", "_j").orderBy(temporal).rowsBetween(-(n - 1), 0)
-    c = pairs.withColumn("_c", F.corr("_x", "_y").over(w)).where("_t < _s and _ok").groupBy("_i", temporal).agg(F.max("_c").alias("max_correl"))
+    later = F.when(F.col("_t") < F.col("_s"), F.struct(F.col("_i").alias("k"), F.col("_ok_j").alias("ok"))).when(F.col("_s") < F.col("_t"), F.struct(F.col("_j").alias("k"), F.col("_ok_i").alias("ok")))
+    c = pairs.withColumn("_c", F.corr("_x", "_y").over(w)).withColumn("_l", later).where("_l.ok").groupBy(F.col("_l.k").alias("_i"), temporal).agg(F.max("_c").alias("max_correl"))
     joined = rows.join(c.withColumnRenamed("_i", index), [index, temporal], "left")
     return joined.withColumn("max_correl", F.coalesce("max_correl", F.lit(0.0)))
