@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -33,18 +31,49 @@ def with_regression(df: DataFrame, y: Column, x: Column, n: int, w: WindowSpec)
 
 
 def with_multiple_regression(df: DataFrame, y: str, xs: list[str], n: int, w: WindowSpec, name: str = "coefficients") -> DataFrame:
-    """Coefficients (intercept first) of y on several columns over the last n rows: the window is collected in the JVM, least squares
-    are solved batch by batch; null where there are fewer rows than coefficients."""
-    rows = df.withColumn("_w", F.collect_list(F.array(*[F.col(c).cast("double") for c in (y, *xs)])).over(last(n, w)))
-
-    def solve(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in it:
-            out = []
-            for window in column:
-                m = np.array([list(r) for r in window], float)
-                m = m[np.isfinite(m).all(1)]
-                a = np.c_[np.ones(len(m)), m[:, 1:]]
-                out.append(np.linalg.lstsq(a, m[:, 0], rcond=None)[0].tolist() if len(m) > len(xs) else None)
-            yield pd.Series(out)
-
-    return rows.withColumn(name, F.pandas_udf(solve, "array<double>")("_w")).drop("_w")
+    """Coefficients (intercept first) of y on several columns over the last n rows: null where there are no more rows than columns, or where
+    the columns depend on each other. Rows with a null or non-finite value don't count.
+
+    The normal equations of the centred columns are window aggregates; they are solved by elimination, a column of the frame at a time."""
+    frame, k = last(n, w), len(xs)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) != float("inf"))
+    whole = finite(y)
+    for x in xs:
+        whole = whole & finite(x)
+    value = {c: F.when(whole, F.col(c).cast("double")) for c in (y, *xs)}
+    made = {"_n": F.count(F.when(whole, 1)).over(frame), **{f"_m{i}": F.avg(value[x]).over(frame) for i, x in enumerate((*xs, y))}}
+    for i, a in enumerate(xs):
+        made |= {f"_a{i}_{j}": F.covar_pop(value[a], value[b]).over(frame) for j, b in enumerate((*xs, y)) if j >= i}
+    out = df.withColumns(made).withColumns({f"_a{i}_{j}": F.col(f"_a{j}_{i}") for i in range(k) for j in range(i)})
+    ok = F.col("_n") > k
+    out = out.withColumns({f"_v{i}": F.col(f"_a{i}_{i}") for i in range(k)})
+    for p in range(k):  # no exchange of rows: pivots of such a matrix are positive, unless a column depends on those before it
+        ok = ok & (F.col(f"_a{p}_{p}") > F.col(f"_v{p}") * 1e-6)
+        rows = {}
+        for i in range(k):
+            if i != p:
+                rows |= {f"_a{i}_{j}": F.col(f"_a{i}_{j}") - F.try_divide(F.col(f"_a{i}_{p}") * F.col(f"_a{p}_{j}"), F.col(f"_a{p}_{p}")) for j in range(p + 1, k + 1)}
+        out = out.withColumns(rows)
+    slopes = [F.try_divide(F.col(f"_a{i}_{k}"), F.col(f"_a{i}_{i}")) for i in range(k)]
+    intercept = F.col(f"_m{k}")
+    for i, slope in enumerate(slopes):
+        intercept = intercept - slope * F.col(f"_m{i}")
+    return out.withColumn(name, F.when(ok, F.array(intercept, *slopes))).select(*df.columns, name)
+
+
+def matched(assets: DataFrame, symbol: str, market: str, interval: str) -> DataFrame:
+    """The model that stands for a symbol: of the assets (market, symbol, symbol_pattern, intervals: array, and what else) of the market,
+    those that name the interval or none, and the symbol, a pattern that it matches, or neither; of several the one of shortest name."""
+    name, pattern = F.col("symbol"), F.col("symbol_pattern")
+    fits = (F.col("market") == market) & (F.col("intervals").isNull() | F.array_contains("intervals", interval)) & (name.isNull() | (name == "") | (name == symbol))
+    fits = fits & (pattern.isNull() | (pattern == "") | F.regexp_like(F.lit(symbol), pattern))
+    called = F.coalesce(F.nullif(pattern, F.lit("")), F.nullif(name, F.lit("")), F.lit(""))
+    return assets.where(fits).orderBy(F.length(called), called).limit(1)
+
+
+def evaluated(expressions: dict[str, Callable[[dict[str, object]], object]], parameters: dict[str, object]) -> dict[str, object]:
+    """A model's parameters: its expressions, each a function of the parameters, the evaluated ones before it included, over those given."""
+    out = dict(parameters)
+    for name, e in expressions.items():
+        out[name] = e(out)
+    return out

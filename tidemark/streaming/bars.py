@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,26 +32,34 @@ def sessions(ticks: DataFrame, gap: str, late: str, symbol: Column, price: Colum
 
 
 def upsert(spark: SparkSession, path: str, keys: list[str], version: str, partition: Column) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: keeps, for each key, the row of the highest version, rewriting only the partitions that a batch touches."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        new = batch.withColumn("part", partition)
-        touched = [r.part for r in new.select("part").distinct().collect()]  # partitions of one micro-batch
-        if not touched:
-            return
-        try:
-            old = spark.read.parquet(path).where(F.col("part").isin(touched))
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = new.limit(0)
-        rest = [c for c in new.columns if c not in (*keys, "part")]
-        both = new.unionByName(old.select(*new.columns))
-        merged = both.groupBy("part", *keys).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*keys, "_r.*", "part")
-        staged = merged.persist()
-        staged.count()  # read before the partitions it comes from are replaced
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-        staged.unpersist()
+    """For foreachBatch: keeps, for each key, the row of the highest version, rewriting only the partitions that a batch touches.
+
+    What the touched partitions become is first written whole to a folder of the batch's own beside them (readers pass over it), and only
+    then put in their place, from there. If that is broken off, the batch comes again, finds the folder whole and puts it in place."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    staging = hadoop.Path(path, "_staged")
+    fs = staging.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        staged = f"{path.rstrip('/')}/_staged/{epoch}"
+        if not fs.exists(hadoop.Path(staged, "_SUCCESS")):
+            new = batch.withColumn("part", partition)
+            touched = [r.part for r in new.select("part").distinct().collect()]  # partitions of one micro-batch
+            if not touched:
+                return
+            try:
+                old = spark.read.parquet(path).where(F.col("part").isin(touched))
+            except AnalysisException as e:  # the first batch finds no table
+                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
+                old = new.limit(0)
+            rest = [c for c in new.columns if c not in (*keys, "part")]
+            both = new.unionByName(old.select(*[F.col(c).cast(new.schema[c].dataType).alias(c) for c in new.columns]))
+            both.groupBy("part", *keys).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*keys, "_r.*", "part").write.mode("overwrite").parquet(staged)
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        for old_epoch in fs.listStatus(staging):
+            if old_epoch.getPath().getName() != str(epoch):
+                fs.delete(old_epoch.getPath(), True)
 
     return write
 
