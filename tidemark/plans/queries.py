@@ -89,13 +89,13 @@ def bars_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "failover_longest",
-    f"""WITH {H}, a AS (SELECT *, 0 AS src FROM h WHERE symbol > 'd' AND day(ending) < 10), b AS (SELECT *, 1 AS src FROM h WHERE day(ending) < 8),
+    f"""WITH {H}, a AS (SELECT *, 0 AS src FROM h WHERE symbol > 'd'), b AS (SELECT *, 1 AS src FROM h WHERE symbol < 'd' OR day(ending) < 20),
     u AS (SELECT * FROM a UNION ALL SELECT * FROM b), n AS (SELECT symbol, market, src, count(*) AS c FROM u GROUP BY ALL),
     best AS (SELECT symbol, market, arg_max(src, c * 10 - src) AS src FROM n GROUP BY ALL) SELECT {SHOW} FROM u JOIN best USING (symbol, market, src)""",
 )
 def failover_longest(spark: SparkSession, d: str) -> DataFrame:
     b = event_bars(spark, d)
-    return shown(bars.failover([b.where((F.col("symbol") > "d") & (F.dayofmonth("ending") < 10)), b.where(F.dayofmonth("ending") < 8)]))
+    return shown(bars.failover([b.where(F.col("symbol") > "d"), b.where((F.col("symbol") < "d") | (F.dayofmonth("ending") < 20))]))
 
 
 CUT = "2024-01-15 00:00:00"
@@ -296,7 +296,7 @@ for _name, _x in (("lb_var", "-risk"), ("lb_cvar", "-coalesce(list_avg(list_filt
     SQL[_name] = f"WITH {H}, {LISTS}, {RETURNS} SELECT symbol, market, {STAMP()}, round(CASE WHEN len(ret) = 0 THEN 0 ELSE {_x} END, 5) + 0.0 AS x FROM s"
 
 
-@query("lb_regression", f"WITH {H}, n AS (SELECT *, CAST({N_} AS DOUBLE) AS i FROM h) SELECT symbol, market, {STAMP()}, round(100 * regr_slope(close, i) {rows(10)} / nullif(avg(close) {rows(10)}, 0), 4) + 0.0 AS slope, round(100 * regr_r2(close, i) {rows(10)}, 4) + 0.0 AS r2 FROM n WHERE true QUALIFY count(*) {rows(10)} > 2")
+@query("lb_regression", f"WITH {H}, n AS (SELECT *, CAST({N_} AS DOUBLE) AS i FROM h) SELECT symbol, market, {STAMP()}, round(100 * regr_slope(close, i) {rows(10)} / nullif(avg(close) {rows(10)}, 0), 4) + 0.0 AS slope, round(100 * regr_r2(close, i) {rows(10)}, 4) + 0.0 AS r2 FROM n")
 def lb_regression(spark: SparkSession, d: str) -> DataFrame:
     b = event_bars(spark, d).withColumn("i", F.row_number().over(SERIES()))
     b = b.select("symbol", "market", "ending", "i", lb.regression_slope(10, C(), F.col("i"), SERIES()).alias("slope"), lb.r_squared(10, C(), F.col("i"), SERIES()).alias("r2"))
@@ -341,7 +341,7 @@ for _name, _anchor, _days, _sql_anchor in (
         return shown(event_bars(spark, d).select("symbol", "market", "ending", x.alias("x")), digits=5)
 
     QUERIES[_name] = _anchored
-    SQL[_name] = f"WITH {H}, w AS (SELECT *, list({{'t': ending, 'x': close}}) {rows(60)} AS b, {_sql_anchor} AS anchor FROM h) SELECT symbol, market, {STAMP()}, round(list_max(list_transform(list_slice(list_filter(b, lambda y: y.t > anchor), 1, 20), lambda y: y.x)), 5) + 0.0 AS x FROM w"
+    SQL[_name] = f"WITH {H}, w AS (SELECT *, list({{'t': ending, 'x': close}}) OVER ({OVER} RANGE BETWEEN INTERVAL 10 DAYS PRECEDING AND CURRENT ROW) AS b, {_sql_anchor} AS anchor FROM h) SELECT symbol, market, {STAMP()}, round(list_max(list_transform(list_slice(list_filter(b, lambda y: y.t > anchor), 1, 20), lambda y: y.x)), 5) + 0.0 AS x FROM w"
 
 # indicators
 
@@ -452,7 +452,7 @@ def model_ratio(spark: SparkSession, d: str) -> DataFrame:
     return shown(models.ratio(_pair(spark, d), "a", "b", "RATIO", "MODEL").select("symbol", "ending", "close"))
 
 
-@query("model_ols1", f"WITH {H}, {D.replace('d AS', 'unused AS')}, a AS (SELECT * FROM h WHERE symbol = 'click'), b AS (SELECT * FROM h WHERE symbol = 'view'), g AS (SELECT ending FROM a UNION SELECT ending FROM b), j AS (SELECT g.ending, a.close AS y, b.close AS x FROM g ASOF LEFT JOIN a ON g.ending >= a.ending ASOF LEFT JOIN b ON g.ending >= b.ending), n AS (SELECT *, row_number() OVER (ORDER BY ending) AS n FROM j WHERE x IS NOT NULL AND y IS NOT NULL) SELECT strftime(ending, '%Y-%m-%d %H:%M:%S') AS ending, round(regr_slope(y, x) OVER w, 4) + 0.0 AS slope, round(regr_intercept(y, x) OVER w, 4) + 0.0 AS intercept FROM n WINDOW w AS (ORDER BY ending ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) QUALIFY n >= 30")
+@query("model_ols1", f"WITH {H}, {D.replace('d AS', 'unused AS')}, a AS (SELECT * FROM h WHERE symbol = 'click'), b AS (SELECT * FROM h WHERE symbol = 'view'), g AS (SELECT ending FROM a UNION SELECT ending FROM b), j AS (SELECT g.ending, a.close AS y, b.close AS x FROM g ASOF LEFT JOIN a ON g.ending >= a.ending ASOF LEFT JOIN b ON g.ending >= b.ending), n AS (SELECT *, row_number() OVER (ORDER BY ending) AS n FROM j WHERE x IS NOT NULL AND y IS NOT NULL) SELECT strftime(ending, '%Y-%m-%d %H:%M:%S') AS ending, round(regr_slope(y, x) OVER w, 4) + 0.0 AS slope, round(regr_intercept(y, x) OVER w, 4) + 0.0 AS intercept FROM n WINDOW w AS (ORDER BY ending ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
 def model_ols1(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("market").orderBy("ending")
     j = _pair(spark, d).select("market", "ending", F.col("a.close").alias("y"), F.col("b.close").alias("x")).where("x is not null and y is not null")
@@ -460,11 +460,22 @@ def model_ols1(spark: SparkSession, d: str) -> DataFrame:
     return shown(out.select("ending", "slope", "intercept"), digits=4)
 
 
-@query("model_ols2")
+@query(
+    "model_ols2",
+    f"""WITH {H}, a AS (SELECT * FROM h WHERE symbol = 'click'), b AS (SELECT * FROM h WHERE symbol = 'view'), g AS (SELECT ending FROM a UNION SELECT ending FROM b),
+    j AS (SELECT g.ending, a.close AS y, b.close AS x1, b.volume AS x2 FROM g ASOF LEFT JOIN a ON g.ending >= a.ending ASOF LEFT JOIN b ON g.ending >= b.ending),
+    m AS (SELECT *, count(*) OVER w AS n, avg(y) OVER w AS my, avg(x1) OVER w AS m1, avg(x2) OVER w AS m2, var_pop(x1) OVER w AS v1, var_pop(x2) OVER w AS v2, covar_pop(x1, x2) OVER w AS c, covar_pop(x1, y) OVER w AS c1, covar_pop(x2, y) OVER w AS c2
+      FROM j WHERE x1 IS NOT NULL AND y IS NOT NULL WINDOW w AS (ORDER BY ending ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+    d AS (SELECT *, v1 * v2 - c * c AS det FROM m), k AS (SELECT *, (v2 * c1 - c * c2) / det AS k1, (v1 * c2 - c * c1) / det AS k2 FROM d WHERE n > 2 AND det > 1e-6 * v1 * v2)
+    SELECT strftime(ending, '%Y-%m-%d %H:%M:%S') AS ending, round(my - k1 * m1 - k2 * m2, 3) + 0.0 AS intercept, round(k1, 3) + 0.0 AS by_price, round(k2, 3) + 0.0 AS by_volume FROM k""",
+)
 def model_ols2(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("market").orderBy("ending")
-    j = _pair(spark, d).select("market", "ending", F.col("a.close").alias("y"), F.col("b.close").alias("x1"), F.col("b.high").alias("x2")).where("x1 is not null and y is not null")
-    return shown(models.with_multiple_regression(j, "y", ["x1", "x2"], 30, w).where("coefficients is not null").select("ending", F.round(F.col("coefficients")[0], 3).alias("intercept")))
+    h = event_bars(spark, d)
+    both = asof.align({n: h.where(F.col("symbol") == x) for n, x in (("a", "click"), ("b", "view"))}, ["market"], ["close", "volume"])
+    j = both.select("market", "ending", F.col("a.close").alias("y"), F.col("b.close").alias("x1"), F.col("b.volume").alias("x2")).where("x1 is not null and y is not null")
+    k = F.col("coefficients")
+    return shown(models.with_multiple_regression(j, "y", ["x1", "x2"], 30, w).where("coefficients is not null").select("ending", k[0].alias("intercept"), k[1].alias("by_price"), k[2].alias("by_volume")), digits=3)
 
 
 # rolling columns over retained rows
@@ -482,7 +493,6 @@ R = f"""{H}, k AS (SELECT symbol AS index, ending AS temporal, close, volume FRO
 PREV3 = "(PARTITION BY index ORDER BY tm RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)"
 HERE = "(PARTITION BY temporal ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 ALL_ = "(ORDER BY tm, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-EARLIER = "(ORDER BY tm, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 PAST2 = "(SELECT {} FROM r b WHERE (b.tm BETWEEN r.tm - 2 AND r.tm - 1) OR (b.tm = r.tm AND b.seq < r.seq))"
 ROLLING: dict[str, tuple[Callable[[Retained], DataFrame], str]] = {
     "roll_prev": (lambda r: r.prev("x", "close", 0.0), "lag(close, 1, 0.0) OVER (PARTITION BY index ORDER BY tm)"),
@@ -496,7 +506,7 @@ ROLLING: dict[str, tuple[Callable[[Retained], DataFrame], str]] = {
     "roll_sumprec_here": (lambda r: r.sum_prec("x", "close"), f"coalesce(sum(close) OVER {HERE}, 0)"),
     "roll_maxprec": (lambda r: r.max_prec("x", "close", 2), PAST2.format("max(b.close)")),
     "roll_minprec": (lambda r: r.min_prec("x", "close", 2), PAST2.format("min(b.close)")),
-    "roll_lookup": (lambda r: r.lookup("x", "close", F.col("volume") > 2), f"last_value(CASE WHEN volume > 2 THEN close END IGNORE NULLS) OVER {EARLIER}"),
+    "roll_lookup": (lambda r: r.lookup("x", "close", F.col("volume") > 2), f"last_value(CASE WHEN volume > 2 THEN close END IGNORE NULLS) OVER {ALL_}"),
     "roll_counttotal": (lambda r: r.count_total("x"), f"count(*) OVER {ALL_}"),
     "roll_sumtotal": (lambda r: r.sum_total("x", C()), f"sum(close) OVER {ALL_}"),
     "roll_mintotal": (lambda r: r.min_total("x", C()), f"min(close) OVER {ALL_}"),
@@ -513,8 +523,7 @@ for _name, (_roll, _expr) in ROLLING.items():
     "correl_max",
     f"""WITH {R}, p AS (SELECT a.index AS i, b.index AS j, a.tm, a.temporal, a.seq AS s, b.seq AS t, corr(a.close, b.close) OVER (PARTITION BY a.index, b.index ORDER BY a.tm ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS c,
       count(*) OVER (PARTITION BY a.index, b.index ORDER BY a.tm ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n FROM r a JOIN r b ON a.tm = b.tm AND a.index <> b.index),
-    m AS (SELECT i, tm, max(c) AS c FROM p WHERE t < s AND n > 1 GROUP BY ALL) SELECT r.index, {STAMP('temporal')}, round(coalesce(m.c, 0), 4) + 0.0 AS max_correl FROM r LEFT JOIN m ON m.i = r.index AND m.tm = r.tm
-    WHERE r.tm > 60""",
+    m AS (SELECT i, tm, max(c) AS c FROM p WHERE t < s AND n > 1 GROUP BY ALL) SELECT r.index, {STAMP('temporal')}, round(coalesce(m.c, 0), 4) + 0.0 AS max_correl FROM r LEFT JOIN m ON m.i = r.index AND m.tm = r.tm""",
 )
 def correl_max(spark: SparkSession, d: str) -> DataFrame:
     r = retained(spark, d)
@@ -673,27 +682,32 @@ def posted(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return e.select(F.col("event_id").alias("order_ref"), F.col("ts").cast("timestamp").alias("posted_at"), F.col("event_type").alias("symbol"), F.lit("EVT").alias("market"), F.when(buy, "BUY").otherwise("SELL").alias("action"), F.lit(1.0).alias("quant"), F.lit(kind).alias("order_type"), price.alias("limit"), price.alias("stop"), F.when(F.col("event_id") % 3 == 0, "GTC").when(F.col("event_id") % 3 == 1, "DAY").otherwise("IOC").alias("tif"))
 
 
-def fills_sql(price: str) -> str:
-    return f"""WITH {H}, o AS (SELECT event_id AS order_ref, ts AS posted_at, event_type AS symbol, CASE WHEN event_id % 80 = 0 THEN 'BUY' ELSE 'SELL' END AS action, round(value * CASE WHEN event_id % 80 = 0 THEN 0.8 ELSE 1.2 END, 2) AS p,
-      CASE event_id % 3 WHEN 0 THEN 'GTC' WHEN 1 THEN 'DAY' ELSE 'IOC' END AS tif FROM events WHERE event_id % 40 = 0),
-    j AS (SELECT o.*, h.*, min(h.ending) OVER (PARTITION BY order_ref) AS f FROM o JOIN h ON o.symbol = h.symbol AND h.ending > posted_at),
-    t AS (SELECT order_ref, ending, {price} AS px FROM j WHERE tif = 'GTC' OR (tif = 'DAY' AND CAST(ending AS DATE) = CAST(f AS DATE)) OR (tif = 'IOC' AND ending = f)),
+def fills_sql(price: str, waits: bool) -> str:
+    """Fills as they are defined: of the bars after an order, in time, those that its tif lets it have, and the first at which it trades."""
+    return f"""WITH {H}, o AS (SELECT event_id AS order_ref, ts AS posted_at, event_type AS symbol, CASE WHEN event_id // 40 % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS action, round(value * CASE WHEN event_id // 40 % 2 = 0 THEN 0.8 ELSE 1.2 END, 2) AS p,
+      CASE event_id % 3 WHEN 0 THEN 'GTC' WHEN 1 THEN 'DAY' ELSE 'IOC' END AS tif FROM events),
+    n AS (SELECT o.*, h.ending, h.open, h.high, h.low, h.close, row_number() OVER (PARTITION BY order_ref ORDER BY h.ending) AS n FROM o JOIN h ON o.symbol = h.symbol AND h.ending > posted_at),
+    j AS (SELECT * REPLACE (CASE tif WHEN 'IOC' THEN open ELSE high END AS high, CASE tif WHEN 'IOC' THEN open ELSE low END AS low, CASE tif WHEN 'IOC' THEN open ELSE close END AS close) FROM n WHERE n = 1 OR tif = 'GTC'),
+    t AS (SELECT order_ref, ending, {price} AS px FROM j),
     g AS (SELECT order_ref, arg_min(px, ending) FILTER (px IS NOT NULL) AS px, min(ending) FILTER (px IS NOT NULL) AS at FROM t GROUP BY order_ref)
-    SELECT o.order_ref, CASE WHEN g.at IS NOT NULL THEN 'filled' WHEN tif <> 'GTC' AND g.order_ref IS NOT NULL THEN 'cancelled' ELSE 'working' END AS status, strftime(g.at, '%Y-%m-%d %H:%M:%S') AS traded_at, round(g.px, 6) + 0.0 AS traded_price FROM o LEFT JOIN g USING (order_ref)"""
+    SELECT o.order_ref, CASE WHEN g.at IS NOT NULL THEN 'filled' WHEN g.order_ref IS NULL {"OR tif = 'GTC'" if waits else ""} THEN 'working' ELSE 'cancelled' END AS status, strftime(g.at, '%Y-%m-%d %H:%M:%S') AS traded_at, round(g.px, 6) + 0.0 AS traded_price FROM o LEFT JOIN g USING (order_ref)"""
 
 
-GOOD = "CASE WHEN action = 'BUY' THEN {x} <= p ELSE {x} >= p END"
+NO_WORSE = "CASE WHEN action = 'BUY' AND {x} <= p OR action = 'SELL' AND {x} >= p THEN {x} END"
 for _name, _kind, _price in (
-    ("orders_fill_limit", "LMT", f"CASE WHEN {GOOD.format(x='open')} THEN open WHEN p BETWEEN low AND high THEN p END"),
+    ("orders_fill_limit", "LMT", "CASE WHEN p BETWEEN low AND high THEN p END"),
     ("orders_fill_stop", "STP", "CASE WHEN p BETWEEN low AND high THEN p END"),
-    ("orders_fill_market", "MKT", "open"),
-    ("orders_fill_loc", "LOC", f"CASE WHEN {GOOD.format(x='close')} THEN close END"),
+    ("orders_fill_mit", "MIT", "CASE WHEN p BETWEEN low AND high THEN p END"),
+    ("orders_fill_market", "MKT", "CASE WHEN n = 1 THEN open END"),
+    ("orders_fill_moc", "MOC", "CASE WHEN n = 1 THEN close END"),
+    ("orders_fill_loo", "LOO", NO_WORSE.format(x="open")),
+    ("orders_fill_loc", "LOC", NO_WORSE.format(x="close")),
 ):
     QUERIES[_name] = lambda spark, d, k=_kind: shown(orders.fills(posted(spark, d, k), event_bars(spark, d), KEYS).select("order_ref", "status", "traded_at", "traded_price"))
-    SQL[_name] = fills_sql(_price)
+    SQL[_name] = fills_sql(_price, _kind in ("LMT", "STP", "MIT"))
 
 
-@query("positions_mtm", f"WITH {H}, t AS (SELECT event_type AS symbol, date_trunc('hour', ts) + INTERVAL 1 HOUR AS ending, sum(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE -1.0 END) AS q, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * value) AS spent, count(*) * 0.01 AS fee FROM events WHERE event_id % 10 < 3 GROUP BY 1, 2), b AS (SELECT h.symbol, h.market, h.ending, h.close, coalesce(q, 0) AS q, coalesce(spent, 0) AS spent, coalesce(fee, 0) AS fee FROM h LEFT JOIN t USING (symbol, ending)), p AS (SELECT *, sum(q) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS position FROM b) SELECT symbol, market, {STAMP()}, round(position, 6) + 0.0 AS position, round(position * close, 4) + 0.0 AS value, round(position * close - coalesce(lag(position * close) OVER ({OVER}), 0) - spent - fee, 4) + 0.0 AS mtm FROM p")
+@query("positions_mtm", f"WITH {H}, t AS (SELECT event_type AS symbol, date_trunc('hour', ts) + INTERVAL 1 HOUR AS ending, sum(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE -1.0 END) AS q, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * value) AS spent, count(*) * 0.01 AS fee FROM events GROUP BY 1, 2), b AS (SELECT h.symbol, h.market, h.ending, h.close, coalesce(q, 0) AS q, coalesce(spent, 0) AS spent, coalesce(fee, 0) AS fee FROM h LEFT JOIN t USING (symbol, ending)), p AS (SELECT *, sum(q) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS position FROM b) SELECT symbol, market, {STAMP()}, round(position, 6) + 0.0 AS position, round(position * close, 4) + 0.0 AS value, round(position * close - coalesce(lag(position * close) OVER ({OVER}), 0) - spent - fee, 4) + 0.0 AS mtm FROM p")
 def positions_mtm(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     trades = e.select(F.col("event_type").alias("symbol"), F.lit("EVT").alias("market"), bars.period_end(F.col("ts").cast("timestamp"), "m60").alias("ending"), F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(-1.0).alias("quant"), F.col("value").alias("price"))
