@@ -49,6 +49,24 @@ def local(ts: Value, tz: str | None) -> Column:
     return col(ts) if tz is None else F.from_utc_timestamp(F.to_utc_timestamp(col(ts), F.current_timezone()), tz)
 
 
+# the time of a query
+
+
+def now(at: Value = None, tz: str | None = None) -> Column:
+    """When the query is run, or the moment given for it, by the clock of tz."""
+    return local(F.current_timestamp() if at is None else col(at).cast("timestamp"), tz)
+
+
+def begin(since: Value, tz: str | None = None) -> Column:
+    """When the query's range begins."""
+    return local(col(since).cast("timestamp"), tz)
+
+
+def end(until: Value = None, at: Value = None, tz: str | None = None) -> Column:
+    """When the query's range ends: never later than now."""
+    return now(at, tz) if until is None else F.least(local(col(until).cast("timestamp"), tz), now(at, tz))
+
+
 # arithmetic
 
 

@@ -90,16 +90,46 @@ def blend(earlier: DataFrame, later: DataFrame, at: Column, keys: list[str] = KE
     return scaled.unionByName(b)
 
 
-def trim(bars: DataFrame, begin: Column, end: Column, pad_begin: int = 0, pad_end: int = 0, keys: list[str] = KEYS) -> DataFrame:
+def trim(bars: DataFrame, begin: Column, end: Column, pad_begin: int = 0, pad_end: int = 0, keys: list[str] = KEYS, ending: str = "ending") -> DataFrame:
     """Bars from begin to end (both included), with some bars more before and after."""
-    b = bars.withColumn("_before", F.col("ending") < begin).withColumn("_after", F.col("ending") > end)
-    back = F.row_number().over(W.partitionBy(*keys, "_before").orderBy(F.desc("ending")))
-    on = F.row_number().over(W.partitionBy(*keys, "_after").orderBy("ending"))
+    b = bars.withColumn("_before", F.col(ending) < begin).withColumn("_after", F.col(ending) > end)
+    back = F.row_number().over(W.partitionBy(*keys, "_before").orderBy(F.desc(ending)))
+    on = F.row_number().over(W.partitionBy(*keys, "_after").orderBy(ending))
     b = b.withColumn("_back", back).withColumn("_on", on)
     inside = ~F.col("_before") & ~F.col("_after")
     return b.where(inside | (F.col("_before") & (F.col("_back") <= pad_begin)) | (F.col("_after") & (F.col("_on") <= pad_end))).select(*bars.columns)
 
 
+def cleaned(bars: DataFrame, now: Column | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """Daily bars without those of no volume, nor a last one without a close. With now, a last bar of the past five days has it as `asof`:
+    it may still change."""
+    some = bars.where(F.coalesce(F.col("volume"), F.lit(0.0)) != 0)
+    some = some.withColumn("_last", F.max("ending").over(W.partitionBy(*keys)) == F.col("ending"))
+    some = some.where(~(F.col("_last") & (F.coalesce(F.col("close"), F.lit(0.0)) == 0)))
+    if now is None:
+        return some.drop("_last")
+    some = some.withColumn("_last", F.max("ending").over(W.partitionBy(*keys)) == F.col("ending"))
+    return some.withColumn("asof", F.when(F.col("_last") & (F.col("ending") > now - F.make_dt_interval(days=F.lit(5))), now)).drop("_last")
+
+
+def with_live(history: DataFrame, live: DataFrame, interval: str, keys: list[str] = KEYS) -> DataFrame:
+    """History, and after it what live bars of a shorter interval come to. Live bars of a period that history's last bar stands for
+    change that bar: its open stays, high and low widen, the close is theirs, and its volume, which counts them already, stays unless
+    theirs is more. Live bars of earlier periods are left out."""
+    edge = history.groupBy(*keys).agg(F.max("ending").alias("_edge"))
+    of = live.withColumn("_seen", F.col("ending")).withColumn("ending", period_end(F.col("ending") - F.make_dt_interval(secs=F.lit(1)), interval))
+    rolled = of.groupBy(*keys, "ending").agg(F.min_by("open", "_seen").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "_seen").alias("close"), F.sum("volume").alias("volume"))
+    rolled = rolled.join(edge, keys, "left").where(F.col("_edge").isNull() | (F.col("ending") >= F.col("_edge"))).drop("_edge")
+    new = rolled.select(*keys, "ending", F.struct("open", "high", "low", "close", "volume").alias("_n"))
+    both = history.withColumn("_old", F.lit(True)).join(new, [*keys, "ending"], "full")
+    here = F.col("_n").isNotNull()
+    changed = {
+        "open": F.coalesce("open", "_n.open"), "high": F.greatest("high", "_n.high"), "low": F.least("low", "_n.low"), "close": F.coalesce("_n.close", "close"),
+        "volume": F.greatest("volume", "_n.volume"), "adj_close": F.when(here, F.col("_n.close")).otherwise(F.col("adj_close")),
+    }
+    return both.withColumns(changed).select(*history.columns)
+
+
 def marked_incomplete(bars: DataFrame, now: Column, ending: str = "ending") -> DataFrame:
     """Adds `asof`: now on bars that haven't ended, else null."""
     return bars.withColumn("asof", F.when(now <= F.col(ending), now))

@@ -46,29 +46,33 @@ def retain(df: DataFrame, criteria: list[Column]) -> DataFrame:
     return df
 
 
-def segments(df: DataFrame, begin: str, end: str, every: str) -> DataFrame:
-    """Adds `segment`: which span of an ISO duration, counted from begin (negative: back from end), a row's time falls into. A last
-    span shorter than a twentieth joins the one before it."""
+def bounds(begin: str, end: str, every: str) -> list[pd.Timestamp]:
+    """Where the spans of an ISO duration begin, counted from begin (negative: back from end). A last span shorter than a twentieth of the
+    duration joins the one before it."""
     months, days, seconds = duration(every)
-    bounds = [pd.Timestamp(begin)]
-    stop = pd.Timestamp(end)
+    found, stop = [pd.Timestamp(begin)], pd.Timestamp(end)
     step = lambda k: pd.DateOffset(months=abs(months) * k, days=abs(days) * k, seconds=abs(seconds) * k)
     k = 1
     if months < 0 or days < 0 or seconds < 0:
-        bounds = [stop]
-        while bounds[-1] > pd.Timestamp(begin):
-            bounds.append(stop - step(k))
+        found = [stop]
+        while found[-1] > pd.Timestamp(begin):
+            found.append(stop - step(k))
             k += 1
-        bounds = [pd.Timestamp(begin), *sorted(b for b in bounds if pd.Timestamp(begin) < b < stop)]
-        if len(bounds) > 2 and bounds[1] - bounds[0] < (bounds[2] - bounds[1]) / 20:
-            del bounds[1]
+        found = [pd.Timestamp(begin), *sorted(b for b in found if pd.Timestamp(begin) < b < stop)]
+        if len(found) > 2 and found[1] - found[0] < (found[2] - found[1]) / 20:
+            del found[1]
     else:
         while (at := pd.Timestamp(begin) + step(k)) < stop:
-            bounds.append(at)
+            found.append(at)
             k += 1
-        if len(bounds) > 1 and stop - bounds[-1] < (bounds[-1] - bounds[-2]) / 20:
-            bounds.pop()
-    starts = F.array(*[F.lit(str(b)).cast("timestamp") for b in bounds])
+        if len(found) > 1 and stop - found[-1] < (found[-1] - found[-2]) / 20:
+            found.pop()
+    return found
+
+
+def segments(df: DataFrame, begin: str, end: str, every: str) -> DataFrame:
+    """Adds `segment`: which of the spans of a duration (see bounds) a row's time falls into."""
+    starts = F.array(*[F.lit(str(b)).cast("timestamp") for b in bounds(begin, end, every)])
     return df.withColumn("segment", F.size(F.filter(starts, lambda s: s <= F.col("temporal"))))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 from itertools import product
 from random import Random
 
@@ -35,9 +36,10 @@ def best(scores: list[tuple[float | None, Candidate]], solutions: int = 1) -> li
     return sorted((s for s in scores if s[0] is not None), key=lambda s: -s[0])[:solutions]
 
 
-def optimize(df: DataFrame, values: dict[str, list[float]], score: Callable[[Candidate], Column], valid: Callable[[Candidate], bool] | None = None, solutions: int = 1, exhaustive: int = 2000, generations: int = 12, population: int = 16, seed: int = 1) -> list[tuple[float, Candidate]]:
+def optimize(df: DataFrame, values: dict[str, list[float]], score: Callable[[Candidate], Column], valid: Callable[[Candidate], bool] | None = None, solutions: int = 1, exhaustive: int = 2000, generations: int = 12, population: int = 16, seed: int = 1, start: list[Candidate] | None = None) -> list[tuple[float, Candidate]]:
     """The parameters of the best score. Up to `exhaustive` combinations are all tried; beyond that an evolution strategy goes on from
-    the best half of each generation, changing values by steps along their lists. Each generation is one pass."""
+    the best half of each generation, changing values by steps along their lists; `start` are candidates of the first, as those that
+    did best on sampled periods. Each generation is one pass."""
     size = 1
     for v in values.values():
         size *= len(v)
@@ -48,7 +50,7 @@ def optimize(df: DataFrame, values: dict[str, list[float]], score: Callable[[Can
     fresh = lambda: {k: rng.choice(v) for k, v in values.items()}
     parents: list[Candidate] = []
     for _ in range(generations):
-        wanted: dict[tuple, Candidate] = {}
+        wanted: dict[tuple, Candidate] = {key(c): c for c in start or [] if key(c) not in known and (valid is None or valid(c))}
         for _ in range(50 * population):
             if len(wanted) >= population:
                 break
@@ -67,6 +69,21 @@ def optimize(df: DataFrame, values: dict[str, list[float]], score: Callable[[Can
     return best(list(known.values()), solutions)
 
 
+def sample_periods(begin: datetime, end: datetime, length: timedelta, count: int, seed: int = 1) -> list[tuple[datetime, datetime]]:
+    """So many periods of a length, each at a day chosen at random, all within begin and end."""
+    rng, days = Random(seed), max(0, (end - begin - length).days)
+    return [(at, min(end, at + length)) for at in (begin + timedelta(days=rng.randint(0, days)) for _ in range(count))]
+
+
+def from_samples(df: DataFrame, time: str, periods: list[tuple[datetime, datetime]], values: dict[str, list[float]], score: Callable[[Candidate], Column], valid: Callable[[Candidate], bool] | None = None, solutions: int = 1, **search: int) -> list[Candidate]:
+    """What does best in each period, the periods in turn: candidates to start a search over the whole from."""
+    each = [optimize(df.where((F.col(time) >= F.lit(a)) & (F.col(time) <= F.lit(b))), values, score, valid, solutions, **search) for a, b in periods]
+    found: list[Candidate] = []
+    for rank in range(solutions):
+        found += [c[rank][1] for c in each if rank < len(c) and c[rank][1] not in found]
+    return found
+
+
 def best_signals(df: DataFrame, signals: dict[str, tuple[dict[str, list[float]], Callable[[Candidate], Column]]], solutions: int = 1, valid: Callable[[Candidate], bool] | None = None) -> list[tuple[float, str, Candidate]]:
     """Each signal with its best parameters, the best signals first; all signals' grids are scored together."""
     every = [(name, c) for name, (values, _) in signals.items() for c in grid(values, valid)]

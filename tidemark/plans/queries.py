@@ -16,6 +16,7 @@ from ..functions.rolling import Retained
 from ..operators import asof, bars, collect, corporate, models, orders, search
 from ..sources import catalog
 from ..streaming import bars as streaming
+from .collect import Collect
 from .quote import Quote, islands
 from .tables import SHOW, STAMP, D, H, event_bars, order_bars, read, rolled, rounded, shown
 
@@ -626,6 +627,97 @@ def quote_runs(spark: SparkSession, d: str) -> DataFrame:
     return shown(r.select("symbol", "market", "ending", "run", F.coalesce("exit", F.lit(False)).alias("exit")))
 
 
+@query(
+    "quote_all_fields_padded",
+    f"""WITH {H}, r AS (SELECT *, ending < TIMESTAMP '2024-01-10' AS b, ending > TIMESTAMP '2024-01-12' AS a FROM h),
+    n AS (SELECT *, row_number() OVER (PARTITION BY symbol, market, b ORDER BY ending DESC) AS back, row_number() OVER (PARTITION BY symbol, market, a ORDER BY ending) AS fwd FROM r)
+    SELECT {SHOW} FROM n WHERE ((NOT a AND NOT b) OR (b AND back <= 3) OR (a AND fwd <= 2)) AND close > 25""",
+)
+def quote_all_fields_padded(spark: SparkSession, d: str) -> DataFrame:
+    """No columns give all fields; bars before and after the range, of which the criteria leave some."""
+    return shown(Quote(criteria=[lambda _: C() > F.col("least")], parameters={"least": 25.0}, begin="2024-01-10", end="2024-01-12", pad_begin=3, pad_end=2)(event_bars(spark, d)))
+
+
+@query(
+    "quote_intervals",
+    f"""WITH {H}, {rolled('h', 'day', 'dd')}, g AS (SELECT symbol, market, ending FROM h UNION SELECT symbol, market, ending FROM dd),
+    p AS (SELECT g.symbol, g.market, g.ending, h.close AS hc, dd.close AS dc, dd.high AS dh FROM g ASOF LEFT JOIN h ON g.symbol = h.symbol AND g.market = h.market AND g.ending >= h.ending
+      ASOF LEFT JOIN dd ON g.symbol = dd.symbol AND g.market = dd.market AND g.ending >= dd.ending WHERE h.close IS NOT NULL),
+    q AS (SELECT *, avg(hc) OVER (PARTITION BY symbol, market ORDER BY ending ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS sma FROM p)
+    SELECT symbol, market, {STAMP()}, round(hc - dc, 6) + 0.0 AS change, round(sma, 6) + 0.0 AS sma FROM q WHERE ending >= TIMESTAMP '2024-01-08' AND hc < dh""",
+)
+def quote_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Hours and days side by side."""
+    h = event_bars(spark, d)
+    near, day = F.col("m60.close"), F.col("day.close")
+    q = Quote({"change": lambda _: near - day, "sma": lambda w: lb.sma(5, near, w)}, criteria=[lambda _: near < F.col("day.high")], begin="2024-01-08")
+    return shown(q({"m60": h, "day": bars.roll_up(h, "day")}))
+
+
+@query(
+    "collect_portfolio",
+    f"""WITH {H}, q AS (SELECT symbol || '.' || market AS index, ending AS temporal, close, volume, avg(close) {rows(5)} AS sma FROM h),
+    s AS (SELECT segment, CAST(b AS TIMESTAMP) AS b, CAST(lead AS TIMESTAMP) AS lead, CAST(e AS TIMESTAMP) AS e FROM (VALUES (1, '2024-01-15', '2024-01-08', '2024-01-20'), (2, '2024-01-20', '2024-01-12', '2024-01-25'), (3, '2024-01-25', '2024-01-18', '2024-01-29 00:00:01')) t(segment, b, lead, e)),
+    k AS (SELECT * FROM q JOIN s ON temporal >= lead AND temporal < e WHERE close > 20),
+    r AS (SELECT *, row_number() OVER (PARTITION BY segment, temporal ORDER BY sma DESC, index) AS seq FROM k),
+    t AS (SELECT *, sum(close) OVER w AS total, coalesce(lag(close) OVER (PARTITION BY index, segment ORDER BY temporal), 0) AS before, coalesce(sum(close) OVER (PARTITION BY segment, temporal ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+      FROM r WINDOW w AS (PARTITION BY segment ORDER BY temporal, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY total DESC, temporal, seq) AS f FROM t WHERE temporal >= b AND volume > 1)
+    SELECT index, {STAMP('temporal')}, CAST(seq AS INT) AS seq, {rounded('close', 'volume', 'sma', 'total', 'before', 'ahead', digits=4)} FROM f WHERE f <= 60""",
+)
+def collect_portfolio(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of a collection: own and rolling columns, precedence, criteria, a start before begin, segments, a filter, order and head."""
+    c = Collect(
+        event_bars(spark, d), "2024-01-15", "2024-01-29", columns={"close": lambda _: C(), "volume": lambda _: F.col("volume"), "sma": lambda w: lb.sma(5, C(), w)},
+        precedence=[F.desc("sma")], criteria=[C() > 20], rolling={"total": lambda r, n: r.sum_total(n, C()), "before": lambda r, n: r.prev(n, "close", 0.0), "ahead": lambda r, n: r.sum_prec(n, "close")},
+        filter=[F.col("volume") > 1], order=[("total", True)], head=60, pad_leading=5, reset_every="P5D",
+    )
+    return shown(c(), digits=4)
+
+
+@query(
+    "collect_nested_pruned",
+    f"""WITH {H}, i AS (SELECT 'in.' || symbol || '.' || market AS index, ending AS temporal, avg(close) {rows(3)} AS x FROM h WHERE symbol < 'd'),
+    u AS (SELECT * FROM i WHERE temporal >= TIMESTAMP '2024-01-10' AND temporal <= TIMESTAMP '2024-01-20' UNION ALL SELECT 'view' AS index, ending, close FROM h WHERE symbol = 'view' AND ending >= TIMESTAMP '2024-01-05' AND ending <= TIMESTAMP '2024-01-20')
+    SELECT index, {STAMP('temporal')}, CAST(row_number() OVER (PARTITION BY temporal ORDER BY x DESC, index) AS INT) AS seq, round(x, 6) + 0.0 AS x, CAST(NULL AS DOUBLE) AS y FROM u""",
+)
+def collect_nested_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """A nested collection within its own range, another that ended before, and a security of its own."""
+    b = event_bars(spark, d)
+    inner = Collect(b.where(F.col("symbol") < "d"), "2024-01-10", "2024-01-25", columns={"x": lambda w: lb.sma(3, C(), w)})
+    over = Collect(b, "2023-01-01", "2024-01-01", columns={"y": lambda _: C()})
+    view = Collect(b.where(F.col("symbol") == "view").withColumn("x", C()).select("symbol", "market", "ending", "x"), "2024-01-05", "2024-01-20")
+    both = Collect({"in": inner, "over": over, "v": view}, "2024-01-05", "2024-01-20", precedence=[F.desc("x")])
+    return shown(both().withColumn("index", F.regexp_replace("index", r"^v\.view\.EVT$", "view")))
+
+
+@query(
+    "bars_with_live",
+    f"""WITH {H}, old AS (SELECT * FROM h WHERE ending <= TIMESTAMP '2024-01-20 05:00:00'), {rolled('old', 'day', 'hist')}, e AS (SELECT symbol, market, max(ending) AS edge FROM hist GROUP BY ALL),
+    l AS (SELECT *, date_trunc('day', ending - INTERVAL 1 SECOND) + INTERVAL 1 DAY AS day FROM h WHERE ending > TIMESTAMP '2024-01-19 20:00:00'),
+    n AS (SELECT symbol, market, day AS ending, arg_min(open, l.ending) AS o, max(high) AS hi, min(low) AS lo, arg_max(close, l.ending) AS c, sum(volume) AS v FROM l GROUP BY ALL),
+    k AS (SELECT n.* FROM n LEFT JOIN e USING (symbol, market) WHERE edge IS NULL OR n.ending >= edge)
+    SELECT symbol, market, {STAMP()}, round(coalesce(open, o), 6) + 0.0 AS open, round(greatest(high, hi), 6) + 0.0 AS high, round(least(low, lo), 6) + 0.0 AS low, round(coalesce(c, close), 6) + 0.0 AS close, greatest(volume, v) + 0.0 AS volume, round(coalesce(c, adj_close), 6) + 0.0 AS adj_close
+    FROM hist FULL JOIN k USING (symbol, market, ending)""",
+)
+def bars_with_live(spark: SparkSession, d: str) -> DataFrame:
+    b = event_bars(spark, d)
+    old = bars.roll_up(b.where(F.col("ending") <= F.lit("2024-01-20 05:00:00").cast("timestamp")), "day")
+    return shown(bars.with_live(old, b.where(F.col("ending") > F.lit("2024-01-19 20:00:00").cast("timestamp")), "day"))
+
+
+@query("bars_cleaned", f"WITH {H}, v AS (SELECT * REPLACE (CASE WHEN hour(ending) = 3 THEN 0 ELSE volume END AS volume) FROM h) SELECT {SHOW} FROM v WHERE volume <> 0")
+def bars_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return shown(bars.cleaned(event_bars(spark, d).withColumn("volume", F.when(F.hour("ending") == 3, 0.0).otherwise(F.col("volume")))))
+
+
+@query("contract_columns", "SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, n_name) AS name, coalesce(n_regionkey, -1) AS region FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 1) ON s_nationkey = n_nationkey")
+def contract_columns(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("symbol"), F.lit("N").alias("market"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"))
+    n = read(spark, d, "nation").where("n_nationkey % 4 <> 1").select(F.col("n_nationkey").alias("symbol"), F.lit("N").alias("market"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return catalog.with_contract(s, n).select("s_suppkey", "name", F.coalesce("region", F.lit(-1)).alias("region"))
+
+
 # search
 
 LENGTHS = {"fast": [2.0, 3.0, 5.0], "slow": [6.0, 8.0, 10.0, 12.0]}

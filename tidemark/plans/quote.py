@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.bars import KEYS
+from ..functions.common import edate
+from ..operators.asof import with_intervals
+from ..operators.bars import KEYS, trim
 
 Stage = Callable[[DataFrame, WindowSpec], DataFrame]
 Expression = Callable[[WindowSpec], Column]
@@ -17,36 +19,65 @@ Expression = Callable[[WindowSpec], Column]
 
 @dataclass
 class Quote:
-    """columns: name -> expression of the series' window. variables: named columns that others may use, added in order, so that a
-    window function can go over another. criteria: conditions on any of them, applied after all windows. begin and end cut last:
-    windows see the bars before begin; warm_up bars are read before it, or all if it is None."""
+    """columns: name -> expression of the series' window; without any, all fields. variables: named columns that others may use, added in
+    order, so that a window function can go over another; parameters: the same of one value each. criteria: conditions on any of them.
 
-    columns: dict[str, Expression]
+    Bars are one frame, or a frame for each interval, the finest first: fields then go by "interval.field", and a row stands for each
+    ending of the finest bars, or of another that falls between them. Rows are those from begin to end, pad_begin bars before and pad_end
+    bars after, of which the criteria leave some. Windows see the bars before: all of them, or those of the warm_up (an ISO duration)
+    alone, which is then all that is read."""
+
+    columns: dict[str, Expression] = field(default_factory=dict)
     variables: dict[str, Expression] = field(default_factory=dict)
     criteria: list[Expression] = field(default_factory=list)
     begin: str | None = None
     end: str | None = None
     keys: list[str] = field(default_factory=lambda: list(KEYS))
     ending: str = "ending"
+    pad_begin: int = 0
+    pad_end: int = 0
+    warm_up: str | None = None
+    parameters: dict[str, object] = field(default_factory=dict)
+
+    def _read(self, bars: DataFrame) -> DataFrame:
+        """The bars that can matter; these filters reach the scan."""
+        at = F.col(self.ending)
+        if self.end is not None and not self.pad_end:  # no window looks ahead, so this may go below them
+            bars = bars.where(at <= F.lit(self.end).cast("timestamp"))
+        if self.begin is not None and self.warm_up is not None:
+            bars = bars.where(at >= edate(F.lit(self.begin).cast("timestamp"), f"-{self.warm_up}"))
+        return bars
 
-    def __call__(self, bars: DataFrame) -> DataFrame:
-        clash = set(self.variables) & set(bars.columns)
+    def __call__(self, bars: DataFrame | dict[str, DataFrame]) -> DataFrame:
+        if isinstance(bars, dict):
+            parts = {name: self._read(b) for name, b in bars.items()}
+            finest = next(iter(parts))
+            df = with_intervals(parts[finest], {n: b for n, b in parts.items() if n != finest}, self.keys, finest)
+            fields = {f"{n}.{c}": F.col(n)[c] for n, b in parts.items() for c in b.columns if c not in self.keys and c != self.ending}
+        else:
+            df = self._read(bars)
+            fields = {c: F.col(c) for c in bars.columns if c not in (*self.keys, self.ending)}
+        named = [*self.variables, *self.parameters]
+        clash = sorted({n.lower() for n in named} & {c.lower() for c in df.columns})
         if clash:
-            raise ValueError(f"variables are named like fields: {sorted(clash)}")
+            raise ValueError(f"variables or parameters are named like fields: {clash}")
         w = W.partitionBy(*self.keys).orderBy(self.ending)
-        df = bars
-        if self.end is not None:  # no window looks ahead, so this may go below them
-            df = df.where(F.col(self.ending) <= F.lit(self.end).cast("timestamp"))
+        df = df.withColumns({name: F.lit(value) for name, value in self.parameters.items()})
         for name, e in self.variables.items():
             df = df.withColumn(name, e(w))
-        made = {f"_c{i}": e(w) for i, e in enumerate(self.columns.values())}
+        columns = {n: e(w) for n, e in self.columns.items()} if self.columns else fields
+        made = {f"_c{i}": c for i, c in enumerate(columns.values())}
         tests = {f"_t{i}": F.coalesce(e(w).cast("boolean"), F.lit(False)) for i, e in enumerate(self.criteria)}
         df = df.withColumns(made | tests) if made or tests else df
+        edge = lambda t, other: F.lit(other if t is None else t).cast("timestamp")
+        begin, end = edge(self.begin, "0001-01-01"), edge(self.end, "9999-12-31")
+        if self.pad_begin or self.pad_end:
+            df = trim(df, begin, end, self.pad_begin, self.pad_end, self.keys, self.ending)
+        elif self.begin is not None:
+            df = df.where(F.col(self.ending) >= begin)
         for t in tests:
             df = df.where(F.col(t))
-        if self.begin is not None:
-            df = df.where(F.col(self.ending) >= F.lit(self.begin).cast("timestamp"))
-        return df.select(*self.keys, self.ending, *[F.col(f"_c{i}").alias(n) for i, n in enumerate(self.columns)])
+        return df.select(*self.keys, self.ending, *[F.col(f"_c{i}").alias(n) for i, n in enumerate(columns)])
 
 
 def islands(df: DataFrame, kept: Column, keys: list[str] = KEYS, ending: str = "ending") -> DataFrame:

@@ -39,6 +39,31 @@ class Catalog:
         return out
 
 
+def first_success(sources: list[Callable[[], DataFrame]]) -> DataFrame:
+    """Intraday bars of the first source that can be read and has any; the error of the first if none can."""
+    error, empty = None, None
+    for source in sources:
+        try:
+            df = source()
+            if df.limit(1).count():
+                return df
+            empty = df if empty is None else empty
+        except Exception as e:  # whatever keeps a source from being read, the next is tried
+            error = error or e
+    if empty is None:
+        raise error or KeyError("no source")
+    return empty
+
+
+def with_contract(df: DataFrame, contracts: DataFrame, keys: tuple[str, ...] = ("symbol", "market")) -> DataFrame:
+    """Each row with what is known of its contract (one row a symbol and market); a column that both have keeps the row's own value unless
+    that is null. Rows of unknown contracts stay."""
+    own = [c for c in contracts.columns if c not in keys]
+    named = contracts.select(*keys, *[F.col(c).alias(f"_{c}") for c in own]).dropDuplicates(list(keys))
+    joined = df.join(named, list(keys), "left")
+    return joined.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in own else F.col(c) for c in df.columns], *[F.col(f"_{c}").alias(c) for c in own if c not in df.columns])
+
+
 def narrowed(df: DataFrame, symbol: str | None, market: str | None) -> DataFrame:
     for name, value in (("symbol", symbol), ("market", market)):
         if value is not None:
