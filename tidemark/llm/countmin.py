@@ -26,16 +26,16 @@ from pyspark.sql import functions as F
 from .common import record, small_batches, stored, texts, to_arrow
 from .windows import mix
 
-#: Rows of the sketch, and windows a cell of a row has at most on average: (1 - exp(-LOAD)) ** ROWS, 9 %, of once-only windows pass, and
-#: of those whose group occurs once about 3 %; windows of a run at least, about, so that the row of groups needs fewer cells.
-ROWS, LOAD, RUN = 2, 0.36, 4
+#: Rows of the sketch, and windows a cell of a row has at most on average: (1 - exp(-LOAD)) ** ROWS, 4 %, of once-only windows pass, and
+#: of those whose group occurs once about 2 %; windows of a run at least, about, so that the row of groups needs fewer cells.
+ROWS, LOAD, RUN = 3, 0.42, 4
 #: Blocks of a sketch, at least about, and cells of a block's row, at most.
 BLOCKS, BLOCK_CELLS = 1024, 1 << 24
 #: Windows that a task gathers before it hands on its sketch.
-GATHERED = 4_000_000
+GATHERED = 3_000_000
 #: Bytes up to which a merged sketch is broadcast; beyond that, parts in which the rows of a block that counts HOT times the mean meet it.
-BROADCAST_BYTES, SALTS, HOT = 128 << 20, 64, 4
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+BROADCAST_BYTES, SALTS, HOT = 160 << 20, 64, 4
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 @dataclass(frozen=True)
