@@ -26,7 +26,7 @@ from .windows import anchors, mix
 WINDOW, GRAM = 200, 24
 #: Bytes of segments in one suffix array, about; bytes of segments beyond which an anchor is split; and cells in which such anchors are
 #: marked. Other anchors of a marked cell are split too, which is as exact.
-SHARD_BYTES, ANCHOR_BYTES, HOT_CELLS = 1_500_000, 1_000_000, 1 << 18
+SHARD_BYTES, ANCHOR_BYTES, HOT_CELLS = 1_500_000, 8_000_000, 1 << 18
 #: Bytes of texts that are hashed at once, and that are cut at once.
 CHUNK, CUT_BYTES = 1 << 18, 1 << 23
 #: Bytes of text for each anchor, about: a window's least of 177 hashes changes twice in 178 places.
