@@ -105,15 +105,18 @@ def rsi(n: int, x: Column, w: WindowSpec) -> Column:
     change = F.zip_with(F.slice(v, 2, n + 250), F.slice(v, 1, n + 250), lambda b, a: b - a)
     change = F.filter(change, lambda c: c.isNotNull())
 
-    def smoothed(part: Callable[[Column], Column]) -> Column:
-        p = F.transform(change, part)
-        first = F.slice(p, 1, n)
-        seed = F.try_divide(F.aggregate(first, F.lit(0.0), lambda s, y: s + y), F.size(first).cast("double"))
-        return F.aggregate(F.slice(p, n + 1, 250), seed, lambda m, y: (m * (n - 1) + y) / n)
-
-    gain = smoothed(lambda c: F.greatest(c, F.lit(0.0)))
-    loss = smoothed(lambda c: F.greatest(-c, F.lit(0.0)))
-    return F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
+    def step(s: Column, c: Column) -> Column:
+        """Sums up the first n changes, smooths from their mean on: both sides in one pass."""
+        k = s["k"]
+        side = lambda was, x: F.when(k < n, was + x).when(k == n, (was / n * (n - 1) + x) / n).otherwise((was * (n - 1) + x) / n)
+        return F.struct((k + 1).alias("k"), side(s["up"], F.greatest(c, F.lit(0.0))).alias("up"), side(s["down"], F.greatest(-c, F.lit(0.0))).alias("down"))
+
+    def ratio(s: Column) -> Column:
+        few = F.when(s["k"] <= n, F.nullif(s["k"], F.lit(0)).cast("double")).otherwise(1.0)
+        gain, loss = s["up"] / few, s["down"] / few
+        return F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
+
+    return F.aggregate(change, F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down")), step, ratio)
 
 
 def _returns(n: int, x: Column, w: WindowSpec) -> Column:
