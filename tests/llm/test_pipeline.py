@@ -1,4 +1,8 @@
-"""Each stage of the pipeline against what its operator says of the stage's input, and the registration."""
+"""The pipeline against brute force and against its operators, over awkward rows, and the registration."""
+
+import hashlib
+
+import numpy as np
 
 import __spark_entry__
 import corpus_pipeline
@@ -34,6 +38,73 @@ def test_stages(spark):
     assert ids == set(before) and len(ids) > 100
 
 
+def overlaps(text, items):
+    """Whether 0.8 of a window of an item stands in the text, place by place."""
+    a = decontamination.tokens((text or "").encode())
+    for x in items:
+        b = decontamination.tokens((x or "").encode())
+        n = min(13, len(b))
+        if n < 5 or len(a) < n:
+            continue
+        at = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
+        p, q = (np.lib.stride_tricks.sliding_window_view(np.array([at[w] for w in y]), n) for y in (a, b))
+        if any(((p == w).sum(1) >= decontamination.needed(n)).any() for w in q):
+            return True
+    return False
+
+
+def test_run_is_brute_force(spark):
+    import sentencepiece
+
+    from tidemark.llm import queries
+
+    from test_text import brute_fingerprint, components, words
+
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    model = toxicity.train(docs, labels)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    rows = {i: t for i, t in rows.items() if model.score((t or "").encode()) < toxicity.THRESHOLD}
+    ids = sorted(rows)
+    kept = set(components([brute_fingerprint(rows[i]) for i in ids], ids))
+    rows, first = {i: rows[i] for i in ids if i in kept}, {}
+    for i in sorted(rows, reverse=True):
+        w = words(rows[i])
+        first |= {tuple(w[k : k + 13]): i for k in range(len(w) - 12)}
+    for i in list(rows):
+        w, gone = words(rows[i]), set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < i:
+                gone |= set(range(k, k + 13))
+        if gone:
+            rows[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+            if len(gone) == len(w):
+                del rows[i]
+    items = [r.text for r in read(spark, SF, "benchmark").collect()]
+    rows = {i: t for i, t in rows.items() if not overlaps(t, items)}
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.model_path())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {}
+    for i, t in rows.items():
+        code = sp.encode(t or "", add_bos=True, add_eos=True)
+        want[i] = (len(code), sha(np.array(code, "<u4").tobytes()), sha(sp.decode(code).encode()))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want and len(got) > 100
+
+
+def test_stages_take_awkward_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long, score double"
+    long_text = " ".join(f"w{i % 700}x{i % 13}" for i in range(20_000))
+    texts = [(1, "some plain words of a text that nobody minds"), (1, "some plain words of a text that nobody minds"), (2, None), (3, ""), (None, "a text without an id that is like no other one here"), (None, None), (4, long_text), (1, "quite another text that has the id of the first one")]
+    full = spark.createDataFrame([(i, t, None, "s", None, "r", 7, 0.5) for i, t in texts], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, full, SF).toPandas()
+        if name != "sentencepiece":
+            assert list(out.columns) == ["doc_id", "text", "lang", "source", "n_chars"], name
+        want = {"simhash_near_dedup": 5}.get(name, len(texts))  # one of each: the first, none at all, without an id, long, another under 1
+        assert len(out) <= want if name == "toxicity" else len(out) == want, (name, len(out))  # a model of these few rows may say anything
+        assert stage(spark, full.limit(0), SF).count() == 0, name
+
+
 def test_registered():
     q = __spark_entry__.queries()
     assert {int(n[2:].split("_")[0]) for n in q if n.startswith("op") and n[2].isdigit()} == set(range(1, 11)) and "pipeline" in q

@@ -380,6 +380,29 @@ def test_quality(spark):
     assert np.mean([p[i] == (i % 3 != 0) for i in range(400)]) > 0.95
 
 
+def test_held_out_rows_of_the_tables(spark):
+    """Held-out accuracy with production parameters; about a third of the labels of toxic rows say nothing of their text."""
+    from tidemark.llm.common import read
+
+    sf = "/root/testdata/sf0.01"
+    docs, marked = read(spark, sf, "documents"), read(spark, sf, "labels").toPandas()
+    lang = queries.op7_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").toPandas()
+    assert len(lang) > 100 and (lang.lang == lang.lang_pred).mean() > 0.97
+    held = queries.op1_toxicity(spark, sf).where("held_out").toPandas()
+    toxic = held.merge(marked, on="doc_id")
+    assert len(toxic) > 50 and toxic.predicted[toxic.toxic == 0].mean() < 0.1 and toxic.predicted[toxic.toxic == 1].mean() > 0.3
+    good = queries.op3_quality(spark, sf).toPandas().merge(marked, on="doc_id")
+    good = good[good.doc_id.isin(held.doc_id)]
+    assert (good.keep == (good.quality == 1)).mean() > max(0.85, good.quality.mean() + 0.03)
+
+
+def test_sharding_of_the_table(spark):
+    got = queries.op5_sharding(spark, "/root/testdata/sf0.01").toPandas()
+    per = got.groupby("shard")["size"].sum()
+    assert len(per) == 16 and np.ptp(per) < 0.02 * per.mean() and len(got) == got.doc_id.nunique()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

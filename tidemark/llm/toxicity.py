@@ -26,6 +26,8 @@ from .common import documents, held_out, learnable, map_batches, one_an_id, samp
 #: Labelled rows of each class on which the dictionaries and thresholds are fitted, at most about.
 FIT_ROWS = 2400
 WINDOW, LEVEL, ROUNDS, HARD, THRESHOLD = 64, 3, 3, 400, 0.3
+#: Bytes of ordinary content in both dictionaries, and of words peculiar to toxic text in the toxic one, at most.
+DICTIONARY = 16384
 
 
 def words(text: bytes) -> list[bytes]:
@@ -76,6 +78,12 @@ def group_key(text: bytes) -> int:
     return min((xxhash.xxh64_intdigest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0)
 
 
+def ending(all_words: list[bytes], most: int = DICTIONARY) -> bytes:
+    """The last words, in order, that fit into so many bytes: what stands last is found cheapest."""
+    size = np.cumsum([len(w) + 1 for w in reversed(all_words)]) if all_words else np.zeros(0, np.int64)
+    return b" ".join(all_words[len(all_words) - int((size <= most + 1).sum()) :])
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The contents of the ordinary and the toxic dictionary."""
     seen_t, seen_o = Counter(), Counter()
@@ -88,12 +96,12 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
         return math.log((seen_t[w] + 0.5) / (len(toxic) + 1)) - math.log((seen_o[w] + 0.5) / (len(ordinary) + 1))
 
     peculiar = sorted((w for w, n in seen_t.items() if n >= least and odds(w) > 2.0), key=lambda w: (seen_t[w], w))
-    tail = b" " + b" ".join(peculiar)[-16384:] + b" "
+    tail = b" " + ending(peculiar) + b" "
     lines = [b" ".join(words(x)) for x in ordinary]
     try:
-        common = zstandard.train_dictionary(16384, lines).as_bytes()
+        common = zstandard.train_dictionary(DICTIONARY, lines).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
-        common = b" ".join(lines)[-16384:]
+        common = ending([w for x in lines for w in x.split()])
     pool = [w for x in ordinary for w in windows(x)]
     for _ in range(ROUNDS):
         o, t = compressor(common), compressor(common + tail)
