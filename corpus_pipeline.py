@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encode),
 ]
 
-ORACLE_SQL = None  # SQL can't express the stages; the tests hold each against brute force
+ORACLE_SQL = None  # SQL can't express the stages; the tests hold run() against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
