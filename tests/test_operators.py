@@ -5,6 +5,7 @@ import os
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,7 +190,7 @@ def test_models(spark):
 
 
 def equal(a, b):
-    return a == b or (a is None or a != a) and (b is None or b != b)
+    return bool(pd.isna(a) and pd.isna(b)) or not (pd.isna(a) or pd.isna(b)) and a == b
 
 
 @pytest.mark.parametrize("name", sorted(core.SQL))
