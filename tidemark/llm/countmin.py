@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ ROWS, LOAD, RUN = 3, 0.42, 4
 #: Blocks of a sketch, at least about, and cells of a block's row, at most.
 BLOCKS, BLOCK_CELLS = 1024, 1 << 24
 #: Windows that a task gathers before it hands on its sketch.
-GATHERED = 3_000_000
+GATHERED = 2_500_000
 #: Bytes up to which a merged sketch is broadcast; beyond that, parts in which the rows of a block that counts HOT times the mean meet it.
 BROADCAST_BYTES, SALTS, HOT = 160 << 20, 64, 4
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -69,35 +70,49 @@ def shaped(windows: int, groups: bool) -> Shape:
 
 
 def pack(seen: np.ndarray, more: np.ndarray) -> bytes:
-    """Ascending cells and, of each, whether it was seen more than once: gaps in a byte each, those that don't fit apart."""
+    """Ascending cells and, of each, whether it was seen more than once. Of a gap, as many low bits as make the rest small stand apart,
+    the rest is a byte, and what doesn't fit into one stands apart too."""
     gap = np.diff(seen, prepend=np.uint32(0))
-    wide = gap >= 255
-    parts = np.minimum(gap, 255).astype(np.uint8).tobytes(), gap[wide].astype(np.uint32).tobytes(), np.packbits(more).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(seen), int(wide.sum())], np.uint32).tobytes() + b"".join(parts))
+    low = min(8, max(0, int(gap.mean() / 24).bit_length() - 1)) if len(gap) else 0
+    rest = gap >> low
+    wide = rest >= 255
+    bits = np.unpackbits((gap & 255).astype(np.uint8)[:, None], axis=1, bitorder="little")[:, :low]
+    parts = np.minimum(rest, 255).astype(np.uint8).tobytes(), rest[wide].astype(np.uint32).tobytes(), np.packbits(more).tobytes(), np.packbits(bits).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(seen), int(wide.sum()), low], np.uint32).tobytes() + b"".join(parts))
 
 
 def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(x)
-    n, wide = np.frombuffer(raw, np.uint32, 2).tolist()
-    gap = np.frombuffer(raw, np.uint8, n, 8).astype(np.uint32)
-    gap[gap == 255] = np.frombuffer(raw[8 + n : 8 + n + 4 * wide], np.uint32)
-    more = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 + n + 4 * wide), count=n).astype(bool)
+    n, wide, low = np.frombuffer(raw, np.uint32, 3).tolist()
+    at = 12 + n + 4 * wide
+    rest = np.frombuffer(raw, np.uint8, n, 12).astype(np.uint32)
+    rest[rest == 255] = np.frombuffer(raw[12 + n : at], np.uint32)
+    more = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, offset=at + -(-n // 8)), count=n * low).reshape(n, low)
+    gap = (rest << np.uint32(low)) + (bits.astype(np.uint32) << np.arange(low, dtype=np.uint32)).sum(1, dtype=np.uint32)
     return np.cumsum(gap, dtype=np.uint32), more
 
 
 def sketched(group: np.ndarray, value: np.ndarray, first: np.ndarray, shape: Shape) -> Iterator[tuple[int, int, bytes, int]]:
-    """The sketch of what was counted: by block and row, the cells seen and which of them more than once, and with the first row how many."""
+    """The sketch of what was counted: by block and row, the cells seen and which of them more than once, and with the first row how many.
+    Some blocks are done at a time, so that little is held beside what was counted."""
     block = shape.block(group)
-    counts = np.bincount(block.astype(np.int64), minlength=1)
-    at = np.flatnonzero(counts)
-    for row, size in enumerate(shape.rows):
-        key = block * np.uint64(size) + shape.cell(value, row) if row < ROWS else block[first] * np.uint64(size) + shape.cell(group[first], row)
-        key.sort()
-        fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        seen, more = key[fresh], np.diff(np.r_[fresh, len(key)]) > 1
-        lo, hi = (np.searchsorted(seen, (at + k).astype(np.uint64) * np.uint64(size)) for k in (0, 1))
-        for b, i, j in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            yield b, row, pack((seen[i:j] - np.uint64(b * size)).astype(np.uint32), more[i:j]), 0 if row else int(counts[b])
+    begins = np.zeros(len(group), bool)
+    begins[first] = True
+    step = -(-shape.blocks // 8)
+    for low in range(0, shape.blocks, step):
+        some = np.flatnonzero((block >= np.uint64(low)) & (block < np.uint64(low + step)))
+        own, g, v, run = block[some], group[some], value[some], begins[some]
+        counts = np.bincount((own - np.uint64(low)).astype(np.int64), minlength=1)
+        at = np.flatnonzero(counts)
+        for row, size in enumerate(shape.rows):
+            key = own * np.uint64(size) + shape.cell(v, row) if row < ROWS else own[run] * np.uint64(size) + shape.cell(g[run], row)
+            key.sort()
+            fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            seen, more = key[fresh], np.diff(np.r_[fresh, len(key)]) > 1
+            lo, hi = (np.searchsorted(seen, (low + at + k).astype(np.uint64) * np.uint64(size)) for k in (0, 1))
+            for b, i, j in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                yield low + b, row, pack((seen[i:j] - np.uint64((low + b) * size)).astype(np.uint32), more[i:j]), 0 if row else int(counts[b])
 
 
 class Sketch:
@@ -185,8 +200,12 @@ def sketch(docs: DataFrame, counter: Callable[[], Callable[[list[bytes]], tuple[
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, parts, n = counter(), [], 0
 
-        def handed() -> pa.RecordBatch:
-            return record(dict(zip(arrow.names, zip(*sketched(*map(np.concatenate, zip(*parts, strict=True)), shape), strict=True), strict=True)), arrow)
+        def handed() -> Iterator[pa.RecordBatch]:
+            nonlocal parts, n
+            group, value, first = map(np.concatenate, zip(*parts, strict=True))
+            parts, n = [], 0
+            for rows in batched(sketched(group, value, first, shape), 512):
+                yield record(dict(zip(arrow.names, zip(*rows, strict=True), strict=True)), arrow)
 
         for batch in batches:
             group, value, first = count(texts(batch))
@@ -194,10 +213,9 @@ def sketch(docs: DataFrame, counter: Callable[[], Callable[[list[bytes]], tuple[
                 parts.append((group, value, first + n))
                 n += len(value)
             if n > GATHERED:
-                yield handed()
-                parts, n = [], 0
+                yield from handed()
         if parts:
-            yield handed()
+            yield from handed()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total, edges = None, 0, np.cumsum(shape.rows)[:-1]
