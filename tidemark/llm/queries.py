@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, nearest, quality, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import conversation_repair, decontamination, langid, nearest, periodic_runs, pii, quality, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import read
 
 
@@ -110,6 +110,22 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(read(spark, sf_dir, "conversations"), damage=True)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *[of(kind) for kind in pii.BASE], F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(read(spark, sf_dir, "documents"), damage=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2("runs", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -122,6 +138,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_nearest": op10_nearest,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_pii": op12_pii,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
