@@ -2,7 +2,7 @@
 
 `w` is a window with a partition by series (and segment) and an order by time. Early rows use the bars there are, as a frame of
 `n - 1 preceding and current row` does. Results are plain columns of the frame they are added to; to nest them, add the inner one
-first (Spark takes no window function inside another).
+first (Spark takes no window function inside another). Each says how many bars it looks back, so that a query can read no more.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import number, time
+from .reach import UNBOUNDED, looks_back
 
 
 def positive(n: int, name: str) -> int:
@@ -32,34 +33,41 @@ def values(n: int, x: Column, w: WindowSpec) -> Column:
     return F.collect_list(number(x)).over(last(n, w))
 
 
+@looks_back(lambda n, *_: n)
 def offset(n: int, x: Column, w: WindowSpec) -> Column:
     return F.lag(x, positive(n, "offset")).over(w)
 
 
+@looks_back(lambda n, *_: n - 1)
 def highest(n: int, x: Column, w: WindowSpec) -> Column:
     return F.max(x).over(last(positive(n, "highest"), w))
 
 
+@looks_back(lambda n, *_: n - 1)
 def lowest(n: int, x: Column, w: WindowSpec) -> Column:
     return F.min(x).over(last(positive(n, "lowest"), w))
 
 
+@looks_back(lambda n, *_: n - 1)
 def direction(n: int, x: Column, w: WindowSpec) -> Column:
     """1 or -1 as the current value is above or below the last different one among n; 0 if there is none."""
     other = F.filter(values(positive(n, "direction"), x, w), lambda v: v != number(x))
     return F.when(F.size(other) == 0, 0).when(F.try_element_at(other, F.size(other)) < number(x), 1).otherwise(-1)
 
 
+@looks_back(lambda n, *_: n - 1)
 def age_of_high(n: int, x: Column, w: WindowSpec) -> Column:
     """Bars since the first of the highest values among n."""
     v = values(positive(n, "age_of_high"), x, w)
     return (F.size(v) - F.array_position(v, F.array_max(v))).cast("int")
 
 
+@looks_back(lambda n, *_: n - 1)
 def sma(n: int, x: Column, w: WindowSpec) -> Column:
     return F.avg(number(x)).over(last(positive(n, "sma"), w))
 
 
+@looks_back(lambda n, *_: 10 * n - 1 if n > 1 else 0)
 def ema(n: int, x: Column, w: WindowSpec) -> Column:
     """Over the last 10 n values; starts from the mean of the first n of them."""
     if positive(n, "ema") == 1:
@@ -83,22 +91,26 @@ def with_profit_factor(df: DataFrame, name: str, n: int, x: Column, w: WindowSpe
     return step.withColumn(name, F.try_divide(gain, loss)).drop("_change")
 
 
+@looks_back(lambda n, *_: n - 1)
 def regression_slope(n: int, x: Column, i: Column, w: WindowSpec) -> Column:
     """100 times the slope over the mean; i: the bar's number in the series."""
     frame = last(positive(n, "regression_slope"), w)
     return F.try_divide(F.regr_slope(number(x), i.cast("double")).over(frame) * 100, F.avg(number(x)).over(frame))
 
 
+@looks_back(lambda n, *_: n - 1)
 def r_squared(n: int, x: Column, i: Column, w: WindowSpec) -> Column:
     return F.regr_r2(number(x), i.cast("double")).over(last(positive(n, "r_squared"), w)) * 100
 
 
+@looks_back(lambda n, *_: n - 1)
 def stdev(n: int, x: Column, w: WindowSpec) -> Column:
     """Of the population; 0 becomes 1."""
     s = F.stddev_pop(number(x)).over(last(positive(n, "stdev"), w))
     return F.coalesce(F.nullif(s, F.lit(0.0)), F.lit(1.0))
 
 
+@looks_back(lambda n, *_: n + 249)
 def rsi(n: int, x: Column, w: WindowSpec) -> Column:
     """Wilder's, over the last n + 250 values; smoothing starts from the mean of the first n changes; without a loss 100."""
     v = values(positive(n, "rsi") + 250, x, w)
@@ -153,6 +165,7 @@ def same_time_of_day(keys: list[str], ending: Column, order: str) -> WindowSpec:
     return W.partitionBy(*keys, time(ending)).orderBy(order)
 
 
+@looks_back(lambda *_: UNBOUNDED)
 def in_session(value: Column, ending: Column, opens: str, closes: str, w: WindowSpec) -> Column:
     """A value computed on the bars of normal hours alone (open < time <= close), carried on to the bars outside them."""
     inside = (time(ending) > opens) & (time(ending) <= closes)
@@ -179,16 +192,19 @@ def days_ago(ending: Column, days: int) -> Column:
     return ending - F.make_dt_interval(days=extra)
 
 
+@looks_back(lambda *_: 0)
 def bollinger(n: int, deviations: float, x: Column, w: WindowSpec) -> tuple[Column, Column, Column]:
     """Lower band, middle and upper band."""
     m, s = sma(n, x, w), stdev(n, x, w)
     return m - s * deviations, m, m + s * deviations
 
 
+@looks_back(lambda *_: 0)
 def stochastic(n: int, high: Column, low: Column, close: Column, w: WindowSpec) -> Column:
     lo, hi = lowest(n, low, w), highest(n, high, w)
     return F.try_divide(number(close) - lo, hi - lo) * 100
 
 
+@looks_back(lambda *_: 0)
 def macd(fast: int, slow: int, x: Column, w: WindowSpec) -> Column:
     return ema(fast, x, w) - ema(slow, x, w)

@@ -15,6 +15,7 @@ from ..functions import lookback as lb
 from ..functions.rolling import Retained
 from ..operators import asof, bars, collect, corporate, models, orders, search
 from ..sources import catalog
+from ..sources.store import BlockStore, scratch
 from ..streaming import bars as streaming
 from .collect import Collect
 from .quote import Quote, islands
@@ -919,3 +920,46 @@ def black_scholes(spark: SparkSession, d: str) -> DataFrame:
     price = fn.black_scholes(100, F.col("k"), F.col("t"), F.col("v"), 2, "C")
     staged = o.select("event_id", (100 + B() * 5).alias("k"), (30 + F.col("event_id") % 300).alias("t"), (20 + F.abs(A()) % 30).alias("v"))
     return shown(staged.select("event_id", price.alias("price")))
+
+
+# block stores
+
+FIVE = """f AS (SELECT event_type AS symbol, 'EVT' AS market, date_trunc('minute', ts) - to_minutes(CAST(minute(ts) % 5 - 5 AS BIGINT)) AS ending, count(*) AS volume,
+  arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "quote_store_look_back",
+    f"""WITH {FIVE}, l AS (SELECT *, lag(close) OVER ({OVER}) AS was FROM f),
+    m AS (SELECT *, avg(coalesce(was, 0)) OVER ({OVER} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS mean FROM l),
+    t AS (SELECT *, max(mean) OVER ({OVER} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS top FROM m)
+    SELECT symbol, market, {STAMP()}, {rounded("close", "mean", "top")} FROM t WHERE close > was AND ending BETWEEN '2024-01-16 12:00:00' AND '2024-01-24 06:00:00'""",
+)
+def quote_store_look_back(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of a store in blocks of a week: of the weeks before begin only what 1 + 11 + 5 bars of each series need is read."""
+    store = BlockStore(spark, scratch(spark, "store"), "m5")
+    store.upsert(event_bars(spark, d, "m5"), "volume")
+    q = Quote(
+        variables={"was": lambda w: lb.offset(1, F.col("close"), w), "mean": lambda w: lb.sma(12, F.col("was"), w)},
+        columns={"close": lambda _: F.col("close"), "mean": lambda _: F.col("mean"), "top": lambda w: lb.highest(6, F.col("mean"), w)},
+        criteria=[lambda _: fn.greater_than(F.col("close"), F.col("was"))],
+        begin="2024-01-16 12:00:00",
+        end="2024-01-24 06:00:00",
+    )
+    return shown(q(store))
+
+
+@query("store_append_overlap", f"WITH {H} SELECT {SHOW} FROM h")
+def store_append_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars fetched twice: up to a time within an hour, whose last bars are incomplete, then from the bars before those on."""
+    ticks = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    made = lambda t: bars.from_ticks(t, "m60", F.col("event_type"), F.col("value"), F.col("ts"), F.col("event_id"))
+    store = BlockStore(spark, scratch(spark, "store"), "m60")
+    now = F.lit("2024-01-20 10:25:00").cast("timestamp")
+    first = made(ticks.where(F.col("ts") < now))
+    store.append(first)
+    nth = F.row_number().over(W.partitionBy("symbol", "market").orderBy(F.desc("ending")))
+    known = first.withColumn("_n", nth).where("_n = 2").select("symbol", "market", F.col("ending").alias("_since"))
+    every = made(ticks)
+    store.append(every.join(known, ["symbol", "market"], "left").where(F.col("_since").isNull() | (F.col("ending") >= F.col("_since"))).drop("_since"), reload=lambda series: every.join(series, ["symbol", "market"], "left_semi"))
+    return shown(store.read())

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import reach
 from ..functions.common import edate
 from ..operators.asof import with_intervals
 from ..operators.bars import KEYS, trim
+from ..sources.store import BlockStore
 
 Stage = Callable[[DataFrame, WindowSpec], DataFrame]
 Expression = Callable[[WindowSpec], Column]
@@ -48,7 +50,22 @@ class Quote:
             bars = bars.where(at >= edate(F.lit(self.begin).cast("timestamp"), f"-{self.warm_up}"))
         return bars
 
-    def __call__(self, bars: DataFrame | dict[str, DataFrame]) -> DataFrame:
+    def looks_back(self) -> int | None:
+        """How many bars before its own a row depends on; None if that can't be told."""
+        w = W.partitionBy(*self.keys).orderBy(self.ending)
+        before = reach.summed({name: reach.measured(e, w) for name, e in self.variables.items()})
+        shown = [reach.through(*reach.measured(e, w), before) for e in (*self.columns.values(), *self.criteria)]
+        return reach.longest(shown)
+
+    def _stored(self, store: BlockStore) -> DataFrame:
+        """The bars of a store that can matter."""
+        bars = self.looks_back()
+        end = None if self.pad_end else self.end
+        return store.read(self.begin, end, bars_before=None if bars is None or self.warm_up is not None else bars + self.pad_begin)
+
+    def __call__(self, bars: DataFrame | BlockStore | dict[str, DataFrame]) -> DataFrame:
+        if isinstance(bars, BlockStore):
+            bars = self._stored(bars)
         if isinstance(bars, dict):
             parts = {name: self._read(b) for name, b in bars.items()}
             finest = next(iter(parts))

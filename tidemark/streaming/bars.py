@@ -35,13 +35,17 @@ def upsert(spark: SparkSession, path: str, keys: list[str], version: str, partit
     """For foreachBatch: keeps, for each key, the row of the highest version, rewriting only the partitions that a batch touches.
 
     What the touched partitions become is first written whole to a folder of the batch's own beside them (readers pass over it), and only
-    then put in their place, from there. If that is broken off, the batch comes again, finds the folder whole and puts it in place."""
+    then put in their place, from there. If that is broken off, the batch comes again, finds the folder whole and puts it in place. The
+    folder is named by stream and epoch, since another stream into the same table counts its epochs from 0 too, and is gone once it is
+    in place: a batch that comes again after that is merged again, which changes nothing. Streams must take turns; a `BlockStore` also
+    keeps commits apart that come at once."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     staging = hadoop.Path(path, "_staged")
     fs = staging.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
     def write(batch: DataFrame, epoch: int) -> None:
-        staged = f"{path.rstrip('/')}/_staged/{epoch}"
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        staged = f"{path.rstrip('/')}/_staged/{stream}-{epoch}"
         if not fs.exists(hadoop.Path(staged, "_SUCCESS")):
             new = batch.withColumn("part", partition)
             touched = [r.part for r in new.select("part").distinct().collect()]  # partitions of one micro-batch
@@ -57,9 +61,7 @@ def upsert(spark: SparkSession, path: str, keys: list[str], version: str, partit
             both = new.unionByName(old.select(*[F.col(c).cast(new.schema[c].dataType).alias(c) for c in new.columns]))
             both.groupBy("part", *keys).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*keys, "_r.*", "part").write.mode("overwrite").parquet(staged)
         spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-        for old_epoch in fs.listStatus(staging):
-            if old_epoch.getPath().getName() != str(epoch):
-                fs.delete(old_epoch.getPath(), True)
+        fs.delete(hadoop.Path(staged), True)
 
     return write
 
