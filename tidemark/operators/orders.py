@@ -7,10 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .asof import asof_join
-
-
-#: Bars whose extremes are looked at together, when a waiting order looks for its first fill.
-STRETCH = 128
+from .touch import first_touch, numbered
 
 
 def _traded(o: Column, h: Column, lo: Column, c: Column) -> Column:
@@ -28,11 +25,22 @@ def _traded(o: Column, h: Column, lo: Column, c: Column) -> Column:
     )
 
 
-def _may_trade(low: Column, high: Column) -> Column:
-    """Whether an order can trade in bars that reach from low to high (for LOO and LOC: whose opens or closes do)."""
-    limit, buy = F.col("limit"), F.col("action") == "BUY"
-    asked = F.when(F.col("order_type") == "LMT", limit).otherwise(F.col("stop"))
-    return F.when(F.col("order_type").isin("LOO", "LOC"), F.when(buy, low <= limit).otherwise(high >= limit)).otherwise((low <= asked) & (asked <= high))
+def _waiting() -> tuple[Column, Column]:
+    """What a waiting order looks at, and the price it waits for: bars that hold it (LMT, STP, MIT), or opens (LOO) or closes (LOC) that
+    are no worse."""
+    kind = F.col("order_type")
+    side = F.when(F.col("action") == "BUY", "buy").otherwise("sell")
+    looks = F.when(kind == "LOO", F.concat(F.lit("open "), side)).when(kind == "LOC", F.concat(F.lit("close "), side)).otherwise("range")
+    return looks.alias("_looks"), F.when(kind.isin("STP", "MIT"), F.col("stop")).otherwise(F.col("limit")).cast("double").alias("x")
+
+
+def _reaches() -> Column:
+    """What a bar reaches, for each way of looking: an order to buy takes an open as high as its price, one to sell as low."""
+    none = F.lit(None).cast("double")
+    ways = {"range": ("_low", "_high"), "open buy": ("_open", None), "open sell": (None, "_open"), "close buy": ("_close", None), "close sell": (None, "_close")}
+    cell = lambda c: none if c is None else F.col(c).cast("double")
+    rows = [F.when(F.concat(*[F.col(c).cast("string") for c in ends if c]).isNotNull(), F.struct(F.lit(way).alias("_looks"), cell(ends[0]).alias("lo"), cell(ends[1]).alias("hi"))) for way, ends in ways.items()]
+    return F.filter(F.array(*rows), lambda r: r.isNotNull())
 
 
 def fills(orders: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,29 +52,20 @@ def fills(orders: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
     LOC in the first bar whose open or close is no worse than the limit, at that. Of what didn't trade, GTC orders of LMT, STP and MIT
     work on and all others are cancelled.
 
-    The first bar is found as of the order's time. A GTC order that it leaves open looks at the extremes of stretches of bars, then at
-    the bars of the first stretch in which it may trade; only where prices jumped over it there does it meet all later bars."""
+    The first bar is found as of the order's time. A GTC order that it leaves open finds its bar by `first_touch`, over gaps too."""
     prices = ("open", "high", "low", "close")
-    b = bars.select(*keys, F.col("ending").alias("_ending"), *[F.col(c).alias(f"_{c}") for c in prices])
+    b = numbered(bars.select(*keys, F.col("ending").alias("_ending"), *[F.col(c).alias(f"_{c}") for c in prices]), keys, "_ending")
     asked = asof_join(orders, b.withColumn("posted_at", F.col("_ending")), keys, "posted_at", "_first", forward=True, strict=True)
     first = {c: F.col(f"_first._{c}") for c in prices}
     at_once = F.when(F.col("tif") == "IOC", _traded(*[first["open"]] * 4)).otherwise(_traded(*first.values()))
-    asked = asked.withColumn("_at", F.col("_first._ending")).withColumn("_price", at_once)
+    asked = asked.withColumn("_at", F.col("_first._ending")).withColumn("_after", F.col("_first._pos")).withColumn("_price", at_once)
     waits = F.col("order_type").isin("LMT", "STP", "MIT", "LOO", "LOC")
     left = asked.where(F.col("_at").isNotNull() & F.col("_price").isNull() & (F.col("tif") == "GTC") & waits).drop("_first", "_price")
-    nth = F.floor((F.row_number().over(W.partitionBy(*keys).orderBy("_ending")) - 1) / STRETCH).alias("_nth")
-    numbered = b.select("*", nth)
-    ends = {"LOO": ("_open", "_open"), "LOC": ("_close", "_close")}
-    reach = [f(c).alias(f"_{n}{k}") for k, (lo, hi) in ({"": ("_low", "_high")} | ends).items() for n, f, c in (("lo", F.min, lo), ("hi", F.max, hi))]
-    stretches = numbered.groupBy(*keys, "_nth").agg(F.max("_ending").alias("_until"), *reach)
-    by_kind = lambda n: F.when(F.col("order_type") == "LOO", F.col(f"_{n}LOO")).when(F.col("order_type") == "LOC", F.col(f"_{n}LOC")).otherwise(F.col(f"_{n}"))
-    near = left.join(stretches, keys).where((F.col("_until") > F.col("_at")) & _may_trade(by_kind("lo"), by_kind("hi"))).groupBy("order_ref").agg(F.min("_nth").alias("_nth"))
-    met = left.join(near, "order_ref")
-    price = _traded(*[F.col(f"_{c}") for c in prices])
-    found = lambda x: x.where(F.col("_ending") > F.col("_at")).withColumn("_p", price).where("_p is not null").groupBy("order_ref").agg(F.min_by(F.struct("_ending", "_p"), "_ending").alias("_f"))
-    hit = found(met.join(numbered, [*keys, "_nth"]))
-    jumped = met.join(hit, "order_ref", "left_anti").drop("_nth")
-    hit = hit.unionByName(found(jumped.join(b, keys)))
+    waiting = left.select("order_ref", *keys, "_after", *_waiting())
+    ways = waiting.select(*keys, "_looks").distinct()  # a few for each series that is asked for
+    reaches = b.select(*keys, "_pos", F.explode(_reaches()).alias("_r")).select(*keys, "_r._looks", "_pos", "_r.lo", "_r.hi").join(ways, [*keys, "_looks"], "left_semi")
+    touched = left.drop("_after").join(first_touch(waiting, reaches, [*keys, "_looks"], "order_ref"), "order_ref")
+    hit = touched.join(b, [*keys, "_pos"]).select("order_ref", F.struct("_ending", _traded(*[F.col(f"_{c}") for c in prices]).alias("_p")).alias("_f"))
     out = asked.join(hit, "order_ref", "left")
     now = F.col("_price").isNotNull()
     at, traded = F.when(now, F.col("_at")).otherwise(F.col("_f._ending")), F.coalesce("_price", "_f._p")

@@ -572,11 +572,6 @@ def collect_pad_leading(spark: SparkSession, d: str) -> DataFrame:
     return shown(Retained(r).sum_total("x", C()).where(F.col("temporal") >= begin).select("index", "temporal", "x"), digits=4)
 
 
-def _recursive(state: dict, row: tuple) -> dict:
-    state["position"] = state.get("position", 0.0) * 0.5 + row.close
-    return {"position": state["position"]}
-
-
 @query(
     "collect_recursive_position",
     f"""WITH RECURSIVE {R}, n AS (SELECT *, row_number() OVER (PARTITION BY index ORDER BY tm) AS k FROM r),
@@ -584,16 +579,8 @@ def _recursive(state: dict, row: tuple) -> dict:
     SELECT index, {STAMP('temporal')}, round(position, 9) + 0.0 AS position FROM p""",
 )
 def collect_recursive_position(spark: SparkSession, d: str) -> DataFrame:
-    r = retained(spark, d).df
-    return shown(collect.fold(r, ["index"], ["temporal"], dict, _recursive, "position double").select("index", "temporal", "position"), digits=9)
-
-
-def _budget(state: dict, row: tuple) -> dict | None:
-    spent = state.get("spent", 0.0) if state.get("at") == row.temporal else 0.0
-    if spent + row.close > 120:
-        return None
-    state["at"], state["spent"] = row.temporal, spent + row.close
-    return {"spent": spent + row.close}
+    decayed = collect.Feedback("security", {"position": ("double", 0.0)}, lambda s, r: {"position": s["position"] * 0.5 + r["close"]}, {"position": "double"})
+    return shown(collect.walked(retained(spark, d).df.drop("_time", "_span"), decayed).select("index", "temporal", "position"), digits=9)
 
 
 @query(
@@ -603,8 +590,36 @@ def _budget(state: dict, row: tuple) -> dict | None:
     SELECT index, {STAMP('temporal')}, CAST(seq AS INT) AS seq, round(spent, 4) + 0.0 AS spent FROM b WHERE ok""",
 )
 def collect_budget_criteria(spark: SparkSession, d: str) -> DataFrame:
-    r = retained(spark, d).df
-    return shown(collect.fold(r, ["temporal"], ["seq"], dict, _budget, "spent double").select("index", "temporal", "seq", "spent"), digits=4)
+    """Securities are taken by volume while what they cost together fits the budget; one that doesn't fit is passed over."""
+    budget = collect.Feedback("time", {"spent": ("double", 0.0)}, lambda s, r: {"spent": s["spent"] + r["close"]}, {"spent": "double"}, lambda s, r: r["spent"] <= 120)
+    b = event_bars(spark, d)
+    c = Collect(b, "2023-01-01", "2025-01-01", columns={"close": lambda _: C(), "volume": lambda _: F.col("volume")}, precedence=[F.desc("volume")], criteria=[C() > 20], feedback=[budget])
+    return shown(c().select(F.split_part("index", F.lit("."), F.lit(1)).alias("index"), "temporal", "seq", "spent"), digits=4)
+
+
+@query(
+    "collect_weights_reset_daily",
+    f"""WITH RECURSIVE {H}, t AS (SELECT symbol AS index, ending, close, least(date_trunc('day', ending), TIMESTAMP '2024-01-28') AS span FROM h WHERE ending BETWEEN '2024-01-02' AND '2024-01-29' AND close > 10),
+    r AS (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY close DESC, index) AS seq FROM t),
+    w AS (SELECT *, CASE WHEN close < 45 THEN close ELSE 0 END AS weight, CASE WHEN close < 45 THEN close ELSE 0 END AS total FROM r WHERE seq = 1
+      UNION ALL SELECT r.*, CASE WHEN r.close < 45 AND w.total < 60 THEN least(r.close, 60 - w.total) ELSE 0 END, w.total + CASE WHEN r.close < 45 AND w.total < 60 THEN least(r.close, 60 - w.total) ELSE 0 END
+      FROM w JOIN r ON r.ending = w.ending AND r.seq = w.seq + 1),
+    x AS (SELECT *, sum(weight) OVER (PARTITION BY index, span ORDER BY ending) AS position, lag(weight) OVER (PARTITION BY index, span ORDER BY ending) AS was FROM w),
+    p AS (SELECT * FROM x WHERE position > 0)
+    SELECT index, {STAMP('ending')}, CAST(seq AS INT) AS seq, round(weight, 4) + 0.0 AS weight, round(position, 4) + 0.0 AS position,
+      round(sum(weight) OVER (PARTITION BY span ORDER BY ending, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) + 0.0 AS invested FROM p""",
+)
+def collect_weights_reset_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Weights up to 60 at each time, positions of each security so far, without what isn't held; all from nothing each day."""
+    weigh = lambda s, r: F.when((r["close"] < 45) & (s["total"] < 60), F.least(r["close"], 60 - s["total"])).otherwise(0.0)
+    weights = collect.Feedback("time", {"total": ("double", 0.0)}, lambda s, r: {"weight": weigh(s, r), "total": s["total"] + weigh(s, r)}, {"weight": "double"})
+    held = collect.Feedback("security", {"position": ("double", 0.0)}, lambda s, r: {"position": s["position"] + r["weight"]}, {"position": "double"}, lambda s, r: r["position"] > 0)
+    c = Collect(
+        event_bars(spark, d), "2024-01-02", "2024-01-29", columns={"close": lambda _: C()}, criteria=[C() > 10], precedence=[F.desc("close")], feedback=[weights, held],
+        rolling={"invested": lambda r, name: r.sum_total(name, F.col("weight"))}, reset_every="P1D",
+    )
+    out = c().select(F.split_part("index", F.lit("."), F.lit(1)).alias("index"), F.col("temporal").alias("ending"), "seq", "weight", "position", "invested")
+    return shown(out, digits=4)
 
 
 @query("quote_columns_criteria", f"WITH {H}, q AS (SELECT *, lag(close) OVER ({OVER}) AS was, avg(close) {rows(5)} AS sma FROM h) SELECT symbol, market, {STAMP()}, strftime(ending, '%Y-%m-%d') AS day, round(close, 6) + 0.0 AS close, CASE WHEN coalesce(was, 0) <> 0 THEN round((close - was) * 100 / was, 2) + 0.0 END AS change, round(sma, 6) + 0.0 AS sma FROM q WHERE close > coalesce(was, 0) AND ending >= TIMESTAMP '2024-01-05'")
