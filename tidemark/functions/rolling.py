@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .medians import running
+
 #: Times in one span of a frame of n times, at least.
 SPAN = 4096
 
@@ -168,12 +170,9 @@ class Retained:
         return df.withColumn(name, F.coalesce(F.nullif(F.sqrt(F.col("_q") / F.nullif("_n", F.lit(0))), F.lit(0.0)), F.lit(1.0))).drop("_x", "_s", "_n", "_d", "_q")
 
     def median_total(self, name: str, x: Column) -> DataFrame:
-        """The mean of the two middle values when their number is even. A median doesn't add up over times: this one orders each
-        segment's rows in one task, so long time lines should be segmented."""
-        v = F.sort_array(F.collect_list(x).over(W.partitionBy(*self.segment).orderBy("_time", self.seq).rowsBetween(W.unboundedPreceding, 0)))
-        n = F.size(v)
-        low, high = F.try_element_at(v, F.floor((n + 1) / 2).cast("int")), F.try_element_at(v, (F.floor(n / 2) + 1).cast("int"))
-        return self.df.withColumn(name, (low + high) / 2)
+        """The mean of the two middle values when their number is even; see `medians`."""
+        held = self.df.withColumn("_value", x)
+        return running(held, ["_time", self.seq], "_value", name, self.segment).drop("_value")
 
 
 def _ok(where: Column | None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .asof import asof_join
 from .touch import first_touch, numbered
 
@@ -55,12 +56,13 @@ def fills(orders: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
     The first bar is found as of the order's time. A GTC order that it leaves open finds its bar by `first_touch`, over gaps too."""
     prices = ("open", "high", "low", "close")
     b = numbered(bars.select(*keys, F.col("ending").alias("_ending"), *[F.col(c).alias(f"_{c}") for c in prices]), keys, "_ending")
+    b = stored(b, "bars")  # like the orders, each step below needs them
     asked = asof_join(orders, b.withColumn("posted_at", F.col("_ending")), keys, "posted_at", "_first", forward=True, strict=True)
     first = {c: F.col(f"_first._{c}") for c in prices}
     at_once = F.when(F.col("tif") == "IOC", _traded(*[first["open"]] * 4)).otherwise(_traded(*first.values()))
-    asked = asked.withColumn("_at", F.col("_first._ending")).withColumn("_after", F.col("_first._pos")).withColumn("_price", at_once)
+    asked = stored(asked.withColumn("_at", F.col("_first._ending")).withColumn("_after", F.col("_first._pos")).withColumn("_price", at_once).drop("_first"), "orders")
     waits = F.col("order_type").isin("LMT", "STP", "MIT", "LOO", "LOC")
-    left = asked.where(F.col("_at").isNotNull() & F.col("_price").isNull() & (F.col("tif") == "GTC") & waits).drop("_first", "_price")
+    left = asked.where(F.col("_at").isNotNull() & F.col("_price").isNull() & (F.col("tif") == "GTC") & waits).drop("_price")
     waiting = left.select("order_ref", *keys, "_after", *_waiting())
     ways = waiting.select(*keys, "_looks").distinct()  # a few for each series that is asked for
     reaches = b.select(*keys, "_pos", F.explode(_reaches()).alias("_r")).select(*keys, "_r._looks", "_pos", "_r.lo", "_r.hi").join(ways, [*keys, "_looks"], "left_semi")

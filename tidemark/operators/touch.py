@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 #: Parts of a series' price range that are numbered apart, and bars of a node that are looked through together.
 SPANS, CHUNK_BITS = 4096, 12
 
@@ -57,7 +59,7 @@ def _numbers(prices: DataFrame, reaches: DataFrame, keys: list[str]) -> tuple[Da
     earlier = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # SPANS rows at most
     here = F.sum(asked).over(W.partitionBy(*keys, "_part").orderBy("v", "_turn").rowsBetween(W.unboundedPreceding, 0))
     placed = every.withColumn("_here", here).join(sizes.select(*keys, "_part", earlier.alias("_earlier")), [*keys, "_part"])
-    placed = placed.withColumn("_upto", F.col("_here") + F.col("_earlier"))
+    placed = stored(placed.select(*keys, "v", "_turn", "_pos", (F.col("_here") + F.col("_earlier")).alias("_upto")), "placed")
     number = placed.where("_turn = 1").select(*keys, F.col("v").alias("x"), (F.col("_upto") - 1).alias("number"))
     ends = placed.where("_turn <> 1").groupBy(*keys, "_pos").agg(F.max(F.when(F.col("_turn") == 0, F.col("_upto"))).alias("_a"), F.max(F.when(F.col("_turn") == 2, F.col("_upto") - 1)).alias("_b"))
     ends = ends.join(extent.select(*keys, "count"), keys).select(*keys, "_pos", F.coalesce("_a", F.lit(0)).alias("_a"), F.coalesce("_b", F.col("count") - 1).alias("_b"))

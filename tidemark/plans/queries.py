@@ -15,7 +15,8 @@ from ..functions import lookback as lb
 from ..functions.rolling import Retained
 from ..operators import asof, bars, collect, corporate, models, orders, search
 from ..sources import catalog
-from ..sources.store import BlockStore, scratch
+from ..sources.scratch import scratch
+from ..sources.store import BlockStore
 from ..streaming import bars as streaming
 from .collect import Collect
 from .quote import Quote, islands

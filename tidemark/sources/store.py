@@ -8,7 +8,6 @@ a block, never one a bar.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,17 +22,6 @@ from .files import BAR_SCHEMA, block_of
 NEW, EXTENDED, REPLACED, INCOMPATIBLE = "new", "extended", "replaced", "incompatible"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a store in what spark.checkpoint.dir names, which driver and executors share; where it is unset, a temporary one if
-    they are one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 class BlockStore:
     """Series of bars of one interval under a path that driver and executors share. schema: the bars' columns and types, `ending` and the
     keys (texts) among them."""
