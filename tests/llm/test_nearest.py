@@ -70,3 +70,37 @@ def test_many_copies(spark):
             assert list(g.vec_id) == [i for i, _ in want[q]], q
         hits += len(set(g.vec_id) & {i for i, _ in want[q]})
     assert hits / (20 * len(want)) > 0.98
+
+
+def test_recall_at_the_shipped_settings_on_uneven_norms():
+    """Clustered vectors of 64 dimensions, norms spread by a factor e^0.6, in one shard."""
+    for n in (4000, 12_000):
+        rng = np.random.default_rng(3)
+        x = rng.normal(size=(200, 64))[rng.integers(0, 200, n)] + 0.6 * rng.normal(size=(n, 64))
+        x *= np.exp(0.6 * rng.normal(size=n))[:, None]
+        norms = (x * x).sum(1)
+        near = np.c_[x, np.sqrt(np.maximum(0.0, norms.max() - norms))].astype(np.float32)
+        graph, start = nearest.build(near)
+        q = x[:200]
+        found, _ = nearest.beam_search(near, graph, start, np.c_[q, np.zeros(200)].astype(np.float32), nearest.BEAM)
+        score = q @ x.T
+        score[np.arange(200), np.arange(200)] = -np.inf
+        want = np.argsort(-score, 1)[:, :20]
+        recall = [len(set(f[f != i][np.argsort(-score[i, f[f != i]])][:20]) & set(w)) / 20 for i, (f, w) in enumerate(zip(found, want, strict=True))]
+        assert np.mean(recall) > 0.97 and min(recall) >= 0.8
+
+
+def test_each_row_is_a_candidate_and_each_shard_has_a_partition(spark):
+    rows = rows_of(64)
+    rows += [(7, rows[7][1], 0, 1, 2), (20, rows[20][1], 0, 1, 2)]
+    got = nearest.nearest(table(spark, rows), 20, 20).toPandas()
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    ids = np.array([r[0] for r in rows])
+    for q in (0, 20, 40, 60):
+        score = x @ x[q]
+        order = [j for j in np.lexsort((ids, -score)) if j != q][:20]
+        g = got[got.query_id == q].sort_values("rank")
+        assert list(g.vec_id) == ids[order].tolist()
+    held = nearest.usable(table(spark, rows_of(900))).cache()
+    parts = nearest.index(held, 60).select("shard").rdd.glom().map(len).collect()
+    assert max(parts) == 1 and sum(parts) > 12

@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph in every shard.
 
 Equal vectors are one node, which keeps the smallest of their ids. Vectors are dealt into shards by their hash. One more component makes
-all norms of the index equal, so the largest inner product is the smallest distance. In each shard the graph is built in two passes: a
-greedy search from the middle proposes neighbours of each vector, and pruning keeps a neighbour only if no kept one is nearer to it by
-the factor alpha; edges back are added and pruned alike. Queries travel in blocks to every shard; a task loads a shard once, the blocks
+all norms of the index equal, so the largest inner product is the smallest distance. In each shard the graph is built in two passes: greedy
+searches from the middle propose neighbours of each vector, and pruning keeps a neighbour only if no kept one is nearer to it by the
+factor alpha; edges back are added and pruned alike. A query has none of the extra component, so where norms differ it lies far from all
+nodes: each vector is searched for as a node and as a query, and pruning sees what both find. Queries travel in blocks to every shard; a task loads a shard once, the blocks
 stream past it, a beam search from the middle answers them, and the best are merged.
 
 Each query meets each shard, so the work is that of queries times shards: the more rows a shard holds, the less.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, discard, ragged, record, small_batches, stored, to_arrow
 
-#: Vectors of a shard, about; edges of a node; beams when building and when searching.
+#: Vectors of a shard and their bytes, about; edges of a node; beams when building and when searching.
+SHARD_BYTES = 64 << 20
 SHARD_ROWS, DEGREE, BUILD_BEAM, BEAM, ALPHAS = 50_000, 32, 64, 256, (1.0, 1.2)
 #: Ids kept of equal vectors: as many as neighbours are asked for, and the query's own.
 COPIES = 21
@@ -91,7 +93,8 @@ def robust_prune(x: np.ndarray, node: np.ndarray, candidates: np.ndarray, alpha:
 
 
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, batch: int = 128, seed: int = 5) -> tuple[np.ndarray, int]:
-    """The graph (a row of neighbours for each node, -1: none) and the node where searches start."""
+    """The graph (a row of neighbours for each node, -1: none) and the node where searches start. The last component of x is the extra
+    one, which queries have not."""
     n = len(x)
     graph = np.full((n, degree), -1)
     start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
@@ -104,8 +107,12 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, batch: in
         order = rng.permutation(n)
         for i in range(0, n, batch):
             p = order[i : i + batch]
-            found, _ = beam_search(x, graph, start, x[p], beam)
-            graph[p] = robust_prune(x, p, np.concatenate([found, graph[p]], 1), alpha, degree)
+            found = [beam_search(x, graph, start, x[p], beam)[0]]
+            if x[p, -1].any():
+                asked = x[p].copy()
+                asked[:, -1] = 0
+                found.append(beam_search(x, graph, start, asked, beam)[0])
+            graph[p] = robust_prune(x, p, np.concatenate([*found, graph[p]], 1), alpha, degree)
             to, by = graph[p].ravel(), np.repeat(p, degree)
             by, to = by[to >= 0], to[to >= 0]
             srt = np.argsort(to, kind="stable")
@@ -133,17 +140,17 @@ INDEX = "shard int, n int, dim int, start int, ids binary, counts binary, vector
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (array of double) of the vectors that take part: not null, all components finite, not all zero, and of the
-    length that most have. Rows of one id with different vectors are rows of their own, those with equal ones are one."""
+    length that most have."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     v = v.where("vec_id is not null and vector is not null").where(~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0))
     lengths = v.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return v.where(F.size("vector") == (lengths[0].n if lengths else -1)).dropDuplicates(["vec_id", "vector"])
+    return v.where(F.size("vector") == (lengths[0].n if lengths else -1))
 
 
 def repeated(hashed: DataFrame) -> DataFrame:
-    """hashed (vec_id, a, b: two hashes of the vector): of each vector under several ids its COPIES smallest ids and their smallest,
-    first. A vector's ids are cut to the smallest in 64 parts, in 8 and then in all, so that no task reads all of a common vector."""
+    """hashed (vec_id, a, b: two hashes of the vector): of each vector of several rows its COPIES smallest ids (an id as often as it has
+    rows) and their smallest, first. A vector's ids are cut to the smallest in 64 parts, in 8 and then in all, so that no task reads all of a common vector."""
     for parts in (64, 8, 1):
         part = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(parts))
         nth = F.row_number().over(W.partitionBy("a", "b", *([part] if parts > 1 else [])).orderBy("vec_id"))
@@ -155,8 +162,8 @@ def repeated(hashed: DataFrame) -> DataFrame:
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row a shard: its distinct vectors, the ids of each (at most COPIES, the smallest; counts: how many) and the graph."""
     hashes = F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(7), "vector").alias("b")
-    stats = vectors.agg(F.approx_count_distinct(hashes[0]).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).first()
-    shards = max(1, -(-stats.n // shard_rows))
+    stats = vectors.agg(F.approx_count_distinct(hashes[0]).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("most"), F.max(F.size("vector")).alias("dim")).first()
+    shards = max(1, -(-stats.n // max(1, min(shard_rows, SHARD_BYTES // (8 * (stats.dim or 1))))))
     top = float(stats.most or 0.0)
 
     def graph(shard: int, rows: pd.DataFrame) -> pd.DataFrame:
@@ -186,7 +193,7 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     distinct = vectors.groupBy("vector").agg(F.min("vec_id").alias("first")).select("first", hashes[0], F.lit(None).cast("array<long>").alias("ids"), "vector").select(shard, "*")
     copies = repeated(vectors.select("vec_id", *hashes)).select(shard, "first", "a", "ids", F.lit(None).cast("array<double>").alias("vector"))
     # a partition a shard: a shard is few bytes and much work, so partitions are not to be merged by their bytes, nor shards to meet in one
-    dealt = distinct.unionByName(copies).repartitionByRange(shards, "shard").sortWithinPartitions("shard")
+    dealt = distinct.unionByName(copies).repartitionById(shards, "shard").sortWithinPartitions("shard")
     return dealt.mapInPandas(built, INDEX)
 
 
@@ -225,8 +232,9 @@ class Shard:
         near = best(self.ids[self.first[at]], score, row, k + 1)  # one may be the query alone
         many = self.counts[at[near]]
         out_id, at, score, row = self.ids[ragged(self.first[at[near]], many)], np.repeat(at[near], many), np.repeat(score[near], many), np.repeat(row[near], many)
-        own = np.flatnonzero(out_id == qid[row])  # the query's id: its own row if the vector is its own too
+        own = np.flatnonzero(out_id == qid[row])  # the query's id: its own row if the vector is its own too, and others like it
         own = own[(self.x[at[own]] == q[row[own]]).all(1)]
+        own = own[np.unique(row[own], return_index=True)[1]]
         other = np.setdiff1d(np.arange(len(out_id)), own)
         top = other[best(out_id[other], score[other], row[other], k)]
         return row[top], out_id[top], score[top]
@@ -260,7 +268,7 @@ def search(queries: DataFrame, indexed: DataFrame, k: int = 20, beam: int = BEAM
                     which = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in q[i : i + 128]], np.uint64).view(np.int64)
                     yield record({"query_id": qid[i : i + 128][row], "which": which[row], "vec_id": ids, "score": score}, arrow)
 
-    dealt = held.unionByName(sent).repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", F.col("asked").isNotNull())
+    dealt = held.unionByName(sent).repartitionById(max(1, shards), "shard").sortWithinPartitions("shard", F.col("asked").isNotNull())
     with batches_of(queries.sparkSession, 2):  # a row holds a shard
         hits = stored(dealt.mapInArrow(answers, schema), "hits")
     discard(blocks)
@@ -273,7 +281,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     vec_id, score, nearest first, ties to the smaller vec_id; fewer than k rows where there are fewer candidates.
 
     Vectors null, zero, with null or non-finite components, or of another length than most take no part; nor do null ids. Equal
-    vectors under different ids are candidates of their own. An empty table gives no rows."""
+    vectors under different ids are candidates of their own, and so is each of several rows of one id and vector; as queries such rows
+    are asked once, with the others of them among the candidates. An empty table gives no rows."""
     small_batches(vectors.sparkSession)
     held = stored(usable(vectors), "vectors")
-    return search(held.where(F.col("vec_id") % every == 0), stored(index(held), "index"), k)
+    asked = held.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"])
+    return search(asked, stored(index(held), "index"), k)
