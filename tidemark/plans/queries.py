@@ -979,3 +979,28 @@ def store_append_overlap(spark: SparkSession, d: str) -> DataFrame:
     every = made(ticks)
     store.append(every.join(known, ["symbol", "market"], "left").where(F.col("_since").isNull() | (F.col("ending") >= F.col("_since"))).drop("_since"), reload=lambda series: every.join(series, ["symbol", "market"], "left_semi"))
     return shown(store.read())
+
+
+# sessions
+
+NIGHT = """d AS (SELECT CAST(x AS TIMESTAMP) AS day FROM (SELECT unnest(generate_series(DATE '2023-11-27', DATE '2024-03-10', INTERVAL 1 DAY)) AS x) WHERE isodow(x) < 6),
+  k AS (SELECT day - INTERVAL 7 HOUR AS opens, unnest(range(0, 46)) AS i FROM d),
+  p AS (SELECT *, row_number() OVER (ORDER BY starts) AS n, lag(ends) OVER (ORDER BY starts) AS was, lead(starts) OVER (ORDER BY starts) AS will FROM (SELECT opens + to_minutes(CAST(30 * i AS BIGINT)) AS starts, opens + to_minutes(CAST(30 * i + 30 AS BIGINT)) AS ends FROM k))"""
+
+
+@query(
+    "calendar_sessions",
+    f"""WITH {NIGHT}, f AS (SELECT event_id, ts, n AS f, starts AS floor FROM events JOIN p ON was <= ts AND ts < ends), e AS (SELECT event_id, n AS e, ends AS ceil FROM events JOIN p ON starts < ts AND ts <= will),
+    z AS (SELECT (SELECT n FROM p WHERE was <= TIMESTAMP '2024-01-13 12:00:00' AND ends > TIMESTAMP '2024-01-13 12:00:00') AS zf, (SELECT n FROM p WHERE starts < TIMESTAMP '2024-01-13 12:00:00' AND will >= TIMESTAMP '2024-01-13 12:00:00') AS ze)
+    SELECT event_id, {STAMP('floor')}, {STAMP('ceil')}, strftime(i.ends, '%Y-%m-%d %H:%M:%S') AS later, strftime(b.ends, '%Y-%m-%d %H:%M:%S') AS earlier,
+      CAST(CASE WHEN ts = TIMESTAMP '2024-01-13 12:00:00' THEN 0 WHEN ts > TIMESTAMP '2024-01-13 12:00:00' THEN greatest(e - zf + 1, 0) ELSE -greatest(ze - f + 1, 0) END AS BIGINT) AS distance
+    FROM f JOIN e USING (event_id) JOIN p i ON i.n = f + 99 JOIN p b ON b.n = e - 60, z""",
+)
+def calendar_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Half hours of a market that trades from 17:00 to 16:00 of the next weekday; the distance is to a Saturday noon."""
+    night = cal.Sessions("17:00:00", "16:00:00")
+    ts = F.col("ts").cast("timestamp")
+    noon = F.lit("2024-01-13 12:00:00").cast("timestamp")
+    e = read(spark, d, "events")
+    out = e.select("event_id", night.floor(ts, "m30").alias("floor"), night.ceil(ts, "m30").alias("ceil"), night.inc(ts, "m30", 100).alias("later"), night.dec(ts, "m30", 60).alias("earlier"), night.diff(ts, noon, "m30").alias("distance"))
+    return shown(out)
