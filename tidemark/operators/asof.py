@@ -55,3 +55,18 @@ def first_match(left: DataFrame, rules: DataFrame, condition: Column, left_key:
     own = [c for c in left.columns if c not in left_key]
     best = joined.groupBy(*left_key).agg(*[F.any_value(c).alias(c) for c in own], F.min_by(F.struct(*rest), rule_order).alias("_rule"))
     return best.select(*left.columns, "_rule.*")
+
+
+def exchange_rate(rows: DataFrame, rates: DataFrame, base: str, quote: str, on: str, name: str, days: int = 7) -> DataFrame:
+    """Adds what one unit of the base currency is in the quote currency at each row's time: by the last rate of the pair, no older than so
+    many days; else by that of the inverse pair; else 1, as for a currency in itself.
+
+    rates: base, quote, ending, close, one row a pair and ending. base, quote and on name columns of rows."""
+    keys = ["_base", "_quote"]
+    left = rows.withColumn("_base", F.col(base)).withColumn("_quote", F.col(quote))
+    pair = lambda a, b: rates.select(F.col(a).alias("_base"), F.col(b).alias("_quote"), F.col("ending").alias(on), F.col("ending").alias("_ending"), "close")
+    both = asof_join(asof_join(left, pair("base", "quote"), keys, on, "_direct"), pair("quote", "base"), keys, on, "_inverse")
+    recent = lambda c: F.when(F.col(f"{c}._ending") >= F.col(on) - F.make_dt_interval(days=F.lit(days)), F.col(f"{c}.close"))
+    rate = F.coalesce(recent("_direct"), F.try_divide(F.lit(1.0), recent("_inverse")), F.lit(1.0))
+    same = F.col("_base") == F.col("_quote")
+    return both.withColumn(name, F.when(same, 1.0).otherwise(rate)).select(*rows.columns, name)

@@ -18,6 +18,7 @@ from ..sources import catalog
 from ..sources.scratch import scratch
 from ..sources.store import BlockStore
 from ..streaming import bars as streaming
+from ..streaming import indicators as live
 from .collect import Collect
 from .quote import Quote, islands
 from .tables import SHOW, STAMP, D, H, event_bars, order_bars, read, rolled, rounded, shown
@@ -1004,3 +1005,41 @@ def calendar_sessions(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     out = e.select("event_id", night.floor(ts, "m30").alias("floor"), night.ceil(ts, "m30").alias("ceil"), night.inc(ts, "m30", 100).alias("later"), night.dec(ts, "m30", 60).alias("earlier"), night.diff(ts, noon, "m30").alias("distance"))
     return shown(out)
+
+
+# currencies
+
+
+@query(
+    "fx_rate_fallback",
+    f"""WITH {H}, o AS (SELECT o_orderkey, o_totalprice, CASE o_orderkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' WHEN 2 THEN 'JPY' ELSE 'USD' END AS currency, TIMESTAMP '2024-01-05' + to_hours(CAST(o_orderkey % 900 AS BIGINT)) AS moment FROM orders),
+    r AS (SELECT *, (SELECT arg_max(close, ending) FROM h WHERE symbol = 'view' AND ending <= moment AND ending >= moment - INTERVAL 7 DAY) AS eur, (SELECT arg_max(close, ending) FROM h WHERE symbol = 'click' AND ending <= moment AND ending >= moment - INTERVAL 7 DAY) AS gbp FROM o)
+    SELECT o_orderkey, currency, round(o_totalprice * CASE currency WHEN 'EUR' THEN coalesce(eur, 1) WHEN 'GBP' THEN coalesce(1 / gbp, 1) ELSE 1 END, 4) + 0.0 AS value FROM r""",
+)
+def fx_rate_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Prices in dollars: by EURUSD, by USDGBP the other way round, at 1 for want of a rate (yen, and times a week after the last one)."""
+    b = event_bars(spark, d)
+    pair = lambda symbol, base, quote: b.where(F.col("symbol") == symbol).select(F.lit(base).alias("base"), F.lit(quote).alias("quote"), "ending", "close")
+    k = F.col("o_orderkey")
+    currency = F.when(k % 4 == 0, "EUR").when(k % 4 == 1, "GBP").when(k % 4 == 2, "JPY").otherwise("USD")
+    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice", currency.alias("currency"), F.lit("USD").alias("home"), (F.lit("2024-01-05").cast("timestamp") + F.make_dt_interval(hours=(k % 900).cast("int"))).alias("at"))
+    rated = asof.exchange_rate(o, pair("view", "EUR", "USD").unionByName(pair("click", "USD", "GBP")), "currency", "home", "at", "rate")
+    return shown(rated.select("o_orderkey", "currency", (F.col("o_totalprice") * F.col("rate")).alias("value")), digits=4)
+
+
+@query("stream_running_ema", f"WITH {H}, {LISTS} SELECT symbol, {STAMP()}, round(CAST({ema_sql(5, 'v50')} AS DOUBLE), 5) + 0.0 AS ema FROM w")
+def stream_running_ema(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of hourly bars, its average kept as state; a bar of a far day lets the others pass the watermark."""
+    into, out, checkpoint = (scratch(spark, name) for name in ("bars", "ema", "checkpoint"))
+    b = event_bars(spark, d).select("symbol", "ending", F.col("close").alias("value"))
+    last = b.agg((F.max("ending") + F.make_dt_interval(days=F.lit(30))).alias("ending")).select(F.lit("").alias("symbol"), "ending", F.lit(0.0).alias("value"))
+    b.unionByName(last).write.parquet(into)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = live.running(spark.readStream.schema(b.schema).parquet(into), ["symbol"], {"ema": live.ema(5)}, "2 hours")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, was)
+    return shown(spark.read.parquet(out).where("symbol <> ''").select("symbol", "ending", "ema"), digits=5)
