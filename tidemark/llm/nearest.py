@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, discard, ragged, record, small_batches, stored, to_arrow
 
+#: Share of a vector's square that the extra component may be without a search of its own.
+ALIKE = 1e-4
 #: Vectors of a shard and their bytes, about; edges of a node; beams when building and when searching.
 SHARD_BYTES = 64 << 20
 SHARD_ROWS, DEGREE, BUILD_BEAM, BEAM, ALPHAS = 50_000, 32, 64, 256, (1.0, 1.2)
@@ -108,7 +110,8 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, batch: in
         for i in range(0, n, batch):
             p = order[i : i + batch]
             found = [beam_search(x, graph, start, x[p], beam)[0]]
-            if x[p, -1].any():
+            far = x[p, -1] ** 2 > ALIKE * (x[p] ** 2).sum(1)
+            if far.any():  # where norms are alike, a vector is near itself as a query
                 asked = x[p].copy()
                 asked[:, -1] = 0
                 found.append(beam_search(x, graph, start, asked, beam)[0])
