@@ -41,6 +41,57 @@ def adjustment_factors(actions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return grouped.select(*keys, F.explode(F.aggregate("a", start, step, lambda acc: acc["out"])).alias("r")).select(*keys, "r.*")
 
 
+#: A split of at most so many shares on the day of a dividend stands for a large dividend; splits by so much or more (or its
+#: inverse) are in the dividends that a source reports for earlier days.
+PSEUDO_SPLIT, IN_DIVIDENDS = 2, 3
+
+
+def reported_factors(actions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Adjustment factors of actions as a source reports them: keys, exdate, dividend, split (a ratio as text, see split_ratio; null with a
+    dividend) and cum_close, dividends and splits in rows of their own. One row an exdate comes out, as of adjustment_factors.
+
+    From the latest action back: a day's split meets its dividend. A split above 1 and up to PSEUDO_SPLIT then is no split but the
+    source's adjustment for a large dividend: it leaves no split behind, and the day's factors are those of the later days with the
+    dividend alone; earlier dividends, and closes, are reported after it, and are scaled back. Earlier dividends are also scaled by each
+    split that sources put into them."""
+    ratio = split_ratio(F.coalesce("split", F.lit("1:1")))
+    is_split = F.col("split").isNotNull().cast("int")
+    item = F.struct("exdate", (1 - is_split).alias("turn"), F.coalesce("dividend", F.lit(0.0)).cast("double").alias("dividend"), ratio.alias("split"), F.coalesce("cum_close", F.lit(0.0)).cast("double").alias("cum_close"))
+    grouped = actions.select(*keys, item.alias("a")).groupBy(*keys).agg(F.sort_array(F.collect_list("a"), asc=False).alias("a"))  # one series' actions
+    row = "struct<exdate:date,dividend:double,split:double,cum_close:double,adj:double,adj_dividend_only:double,adj_split_only:double>"
+    state = "struct<adj:double,d:double,s:double,y:double,out:array<" + row + ">>"
+    start = F.struct(F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(1.0), F.array().cast(f"array<{row}>")).cast(state)
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc["out"], F.lit(-1))
+        again = F.coalesce(last["exdate"] == x["exdate"].cast("date"), F.lit(False))
+        kept = F.when(again, F.slice(acc["out"], 1, F.size(acc["out"]) - 1)).otherwise(acc["out"])
+        dividend = x["dividend"] * acc["y"] + F.when(again, last["dividend"]).otherwise(0.0)
+        split = x["split"] * F.when(again, last["split"]).otherwise(1.0)
+        met = F.struct(kept.alias("out"), dividend.alias("dividend"), split.alias("split"), (again & (dividend != 0) & (split > 1) & (split <= PSEUDO_SPLIT)).alias("pseudo"))
+
+        def decided(m: Column) -> Column:
+            later = F.try_element_at(m["out"], F.lit(-1))
+            was = lambda name, field: F.when(m["pseudo"], F.coalesce(later[field], F.lit(1.0))).otherwise(acc[name])
+            split = F.when(m["pseudo"], 1.0).otherwise(m["split"])
+            scale = F.when(m["pseudo"] | (m["split"] >= IN_DIVIDENDS) | (m["split"] < 1 / IN_DIVIDENDS), m["split"]).otherwise(1.0)
+            s = was("s", "adj_split_only") / m["split"]  # closes are reported after it either way
+            begun = F.struct((was("adj", "adj") / split).alias("adj"), was("d", "adj_dividend_only").alias("d"), s.alias("s"), (acc["y"] * scale).alias("y"), split.alias("split"), (x["cum_close"] / s).alias("close"))
+
+            def closed(b: Column) -> Column:
+                share = F.when((m["dividend"] != 0) & (x["cum_close"] != 0), (b["close"] - m["dividend"]) / b["close"]).otherwise(1.0)
+                made = F.struct(x["exdate"].cast("date"), m["dividend"], b["split"], b["close"], b["adj"] * share, b["d"] * share, b["s"]).cast(row)
+                return F.struct(b["adj"] * share, b["d"] * share, b["s"], b["y"], F.concat(m["out"], F.array(made))).cast(state)
+
+            return let(begun, closed)
+
+        return let(met, decided)
+
+    found = F.aggregate("a", start, step, lambda acc: acc["out"])
+    return grouped.select(*keys, F.explode(found).alias("r")).select(*keys, "r.*")
+
+
 def adjust(bars: DataFrame, factors: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """adj_close of each bar by the earliest action whose exdate is after the bar's day; none leaves the close."""
     on = bars.withColumn("_day", F.to_date("ending"))
