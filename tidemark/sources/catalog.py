@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ class Catalog:
 
 
 def first_success(sources: list[Callable[[], DataFrame]]) -> DataFrame:
-    """Intraday bars of the first source that can be read and has any; the error of the first if none can."""
+    """Intraday bars of the first source that can be read and has any; the error of the first if none can. What Spark or the file system
+    reports passes on to the next source, other errors (of the source's own code) don't."""
     error, empty = None, None
     for source in sources:
         try:
@@ -48,7 +51,7 @@ def first_success(sources: list[Callable[[], DataFrame]]) -> DataFrame:
             if df.limit(1).count():
                 return df
             empty = df if empty is None else empty
-        except Exception as e:  # whatever keeps a source from being read, the next is tried
+        except (PySparkException, Py4JError, OSError) as e:
             error = error or e
     if empty is None:
         raise error or KeyError("no source")
