@@ -107,5 +107,5 @@ def test_stages_take_awkward_rows(spark):
 
 def test_registered():
     q = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in q if n.startswith("op") and n[2].isdigit()} == set(range(1, 11)) and "pipeline" in q
+    assert {int(n[2:].split("_")[0]) for n in q if n.startswith("op") and n[2].isdigit()} == set(range(1, 14)) and "pipeline" in q
     assert set(__spark_entry__.oracle_sql()) <= set(q)
