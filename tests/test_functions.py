@@ -123,15 +123,64 @@ def test_parabolic_stop_by_hand(spark):
         ind.with_stop_and_buy(df, "x", 0, 0.2, 10, W1())
 
 
+def profile_by_hand(window, pct=None, skip=0):
+    """Level by level: the volume between each price and the one below it."""
+    prices = sorted({p for bar in window for p in bar[:4] if p > 0})
+    prices = [p for p in prices if p <= prices[len(prices) // 2] * 100]
+    close = window[-1][3]
+    if not prices:
+        return None
+    if pct is not None and not 0 < pct < 100:
+        return prices[0] if pct <= 0 else prices[-1]
+    if pct is None and not prices[0] < close < prices[-1]:
+        return 0.0 if close <= prices[0] else 100.0
+    at = [0.0] * len(prices)
+    for o, h, lo, c, v in window[: len(window) - skip]:
+        bottom, top = sorted((o or c, c))
+        lo, h = lo or bottom, h or top
+        levels = [k for k, p in enumerate(prices) if p >= lo]
+        for k in levels:
+            if k > 0 and prices[k - 1] >= h:
+                break
+            if k == levels[0]:
+                at[k] += 0.0 if prices[k] < h else 1.0
+            else:
+                at[k] += (prices[k] - prices[k - 1]) * (2 if bottom < prices[k] <= top else 1) * (v or 1) / (h - lo + top - bottom)
+    if pct is None:
+        return sum(x for x, p in zip(at, prices, strict=True) if p <= close) * 100 / sum(at) if sum(at) else None
+    below, target = 0.0, sum(at) * pct / 100
+    for k, x in enumerate(at):
+        if below + x >= target:
+            return prices[k] if k == 0 or below + x <= target else prices[k - 1] + (prices[k] - prices[k - 1]) * (target - below) / x
+        below += x
+    return prices[-1]
+
+
 def test_volume_profile(spark):
-    import numpy as np
-
-    b, v = np.array([[1.0, 3.0, 1.0, 2.0], [2.0, 4.0, 2.0, 3.0]]), np.array([100.0, 200.0])
-    prices = ind.price_levels(b)
-    assert prices.tolist() == [1, 2, 3, 4]
-    assert ind.volume_at(b, v, prices).sum() == pytest.approx(300)
-    assert ind.popv(b, v, 0) == 1 and ind.popv(b, v, 100) == 4 and 1 < ind.popv(b, v, 50) < 4
-    assert ind.povo(b, v, 0) == pytest.approx(100 * ind.volume_at(b, v, prices)[:3].sum() / 300)
+    import random
+
+    rng = random.Random(11)
+    closes = [round(rng.uniform(5, 20), 2) for _ in range(60)]
+    opens, highs, lows, volume = [], [], [], []
+    for k, c in enumerate(closes):
+        o = 0.0 if k % 13 == 5 else round(rng.uniform(5, 20), 2)
+        opens.append(o)
+        highs.append(c if k % 7 == 3 else 0.0 if k % 11 == 4 else 1e5 if k == 30 else round(max(o, c) + rng.random(), 2))
+        lows.append(c if k % 7 == 3 else 0.0 if k % 17 == 6 else round(min(o or c, c) - rng.random(), 2))
+        volume.append(0 if k % 9 == 2 else rng.randrange(1, 1000))
+    df = series(spark, closes, open=opens, high=highs, low=lows, volume=volume, adj_close=closes)
+    window = [*zip(opens, highs, lows, closes, volume, strict=True)]
+    for kw in ({"pct": 50}, {"pct": 5}, {"pct": 97.5}, {"pct": 0}, {"pct": 100}, {}, {"skip": 3}):
+        got = [r.x for r in ind.with_volume_profile(df, "x", 10, W1(), **kw).orderBy("ending").collect()]
+        want = [profile_by_hand(window[max(0, k - 9 - kw.get("skip", 0)) : k + 1], **kw) for k in range(60)]
+        for k, (g, h) in enumerate(zip(got, want, strict=True)):
+            assert (g is None and h is None) or g == pytest.approx(h, rel=1e-9), (kw, k)
+
+
+def test_volume_profile_without_prices(spark):
+    df = series(spark, [0.0, 0.0], open=[0.0, 0.0], high=[0.0, 0.0], low=[0.0, 0.0], volume=[1, 1], adj_close=[0.0, 0.0])
+    for kw in ({"pct": 50}, {"pct": 0}, {}):
+        assert [r.x for r in ind.with_volume_profile(df, "x", 2, W1(), **kw).collect()] == [None, None]
 
 
 def test_obv_uses_adjusted_prices(spark):

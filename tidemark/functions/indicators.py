@@ -1,15 +1,13 @@
 """Indicators over the last bars of a series, from open, high, low, close, volume and adj_close.
 
 Prices are first rescaled to the last bar's adjustment. Recurrences are folds of the window's bars inside the JVM (`aggregate` over
-`collect_list`); only the volume profile (`with_volume_profile`) goes through Arrow batches.
+`collect_list`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -105,66 +103,84 @@ def with_rotation(df: DataFrame, name: str, n: int, w: WindowSpec) -> DataFrame:
     return b.withColumn(name, F.aggregate(F.concat(rise("high"), rise("low")), F.lit(0), lambda s, v: s + v).cast("double")).drop("_b")
 
 
-def price_levels(b: np.ndarray) -> np.ndarray:
-    """The distinct positive prices of bars (rows of open, high, low, close), without those over 100 times the middle one."""
-    p = np.unique(b)
-    p = p[p > 0]
-    return p[p <= p[len(p) // 2] * 100] if len(p) else p
-
-
-def volume_at(b: np.ndarray, volume: np.ndarray, prices: np.ndarray) -> np.ndarray:
-    """The volume between each price and the one below it, were each bar's spread over its range, twice between open and close."""
-    out = np.zeros(len(prices))
-    for (o, h, lo, c), v in zip(b, volume, strict=True):
-        body_low, body_high = sorted((o or c, c))
-        lo, h = lo or body_low, h or body_high
-        i, j = np.searchsorted(prices, lo), np.searchsorted(prices, h)
-        level = prices[i : j + 1]
-        unit = (v or 1) / (1 if i == j else h - lo + body_high - body_low)
-        weight = np.diff(level, prepend=level[:1]) * np.where((level > body_low) & (level <= body_high), 2, 1) * unit
-        if len(level):
-            weight[0] = 0.0 if level[0] < h else 1.0
-        out[i : j + 1] += weight
-    return out
-
-
-def popv(b: np.ndarray, volume: np.ndarray, pct: float) -> float | None:
-    prices = price_levels(b)
-    if not len(prices):
-        return None
-    if pct <= 0 or pct >= 100:
-        return float(prices[0] if pct <= 0 else prices[-1])
-    total = np.cumsum(volume_at(b, volume, prices))
-    target = pct * total[-1] / 100
-    i = min(int(np.searchsorted(total, target)), len(total) - 1)
-    if i == 0 or total[i] <= target:
-        return float(prices[i])
-    return float(prices[i - 1] + (prices[i] - prices[i - 1]) * (target - total[i - 1]) / (total[i] - total[i - 1]))
-
-
-def povo(b: np.ndarray, volume: np.ndarray, skip: int) -> float | None:
-    prices, close = price_levels(b), b[-1][3]
-    if not len(prices):
-        return None
-    if close <= prices[0] or close >= prices[-1]:
-        return 0.0 if close <= prices[0] else 100.0
-    at = volume_at(b[: len(b) - skip], volume[: len(b) - skip], prices)
-    return float(at[: np.searchsorted(prices, close) + 1].sum() * 100 / at.sum()) if at.sum() else None
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def price_levels(b: Column) -> Column:
+    """The distinct positive prices of bars, ascending, without those over 100 times the middle one."""
+    every = F.flatten(F.transform(b, lambda x: F.array(*[x[c] for c in PRICES])))
+    prices = F.array_sort(F.array_distinct(F.filter(every, lambda p: p > 0)))
+    return _let(prices, lambda s: F.filter(s, lambda p: p <= F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int")) * 100))
+
+
+def traded_ranges(b: Column, least: Column) -> Column:
+    """Of each bar what its volume is spread over: its range, once more the part of it between open and close, and the volume for each
+    unit of price. Nothing below the least level counts. A bar without a range has a volume of 1 at its price."""
+
+    def ranged(x: Column) -> Column:
+        o, c = F.coalesce(F.nullif(x["open"], F.lit(0.0)), x["close"]), x["close"]
+        below, above = F.least(o, c), F.greatest(o, c)
+        lo, hi = F.coalesce(F.nullif(x["low"], F.lit(0.0)), below), F.coalesce(F.nullif(x["high"], F.lit(0.0)), above)
+        volume = F.coalesce(F.nullif(x["volume"], F.lit(0.0)), F.lit(1.0))
+        begins = F.greatest(lo, least)
+        return F.struct(
+            begins.alias("lo"), hi.alias("hi"), F.greatest(below, begins).alias("body_lo"), F.least(above, hi).alias("body_hi"),
+            ((hi >= lo) & (hi <= begins)).alias("point"), F.when(hi > lo, F.try_divide(volume, hi - lo + above - below)).otherwise(0.0).alias("unit"),
+        )
+
+    return F.transform(b, ranged)
+
+
+def volume_up_to(ranges: Column, price: Column) -> Column:
+    """The volume that traded at a price or below it: a sum over the bars, whatever the number of levels between."""
+
+    def part(x: Column) -> Column:
+        wide = F.greatest(F.least(price, x["hi"]) - x["lo"], F.lit(0.0)) + F.greatest(F.least(price, x["body_hi"]) - x["body_lo"], F.lit(0.0))
+        return F.when(x["point"], F.when(price >= x["hi"], 1.0).otherwise(0.0)).otherwise(wide * x["unit"])
+
+    return F.aggregate(ranges, F.lit(0.0), lambda s, x: s + part(x))
+
+
+def _reached(levels: Column, holds: Callable[[Column], Column]) -> Column:
+    """The number of the first level that holds (the last one, if none before it does): halving, as what holds goes on holding."""
+    state = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(levels).cast("double"))).cast("int") + 1)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        return F.when(s["lo"] >= s["hi"], s).otherwise(_let(middle, lambda m: F.when(holds(F.element_at(levels, m)), state(s["lo"], m)).otherwise(state(m + 1, s["hi"]))))
+
+    return F.aggregate(rounds, state(F.lit(1), F.size(levels)), halve, lambda s: s["hi"])
 
 
 def with_volume_profile(df: DataFrame, name: str, n: int, w: WindowSpec, pct: float | None = None, skip: int = 0) -> DataFrame:
     """With pct the price below which pct per cent of the last n bars' volume traded, else the per cent traded below the current
-    close among n bars that end `skip` bars ago. The window's bars are collected in the JVM, the profile is taken batch by batch."""
-    b = df.withColumn("_b", bars(positive(n, name), w, skip))
-
-    def each(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in it:
-            out = []
-            for rows in column:
-                x = np.array([[r[c] for c in PRICES] for r in rows], float)
-                v = np.array([r["volume"] or 0.0 for r in rows], float)
-                out.append(popv(x, v, pct) if pct is not None else povo(x, v, skip))
-            yield pd.Series(out, dtype="float64")
-
-    profile: Callable = F.pandas_udf(each, "double")
-    return b.withColumn(name, profile("_b")).drop("_b")
+    close among n bars that end `skip` bars ago. A bar's volume is spread over its range, twice as dense between open and close.
+    All in the JVM: a level is found by halving, each step a sum over the window's bars, so n log n a row."""
+    b = df.withColumn("_b", bars(positive(n, name), w, skip)).withColumn("_p", price_levels(F.col("_b")))
+    first, last = F.try_element_at("_p", F.lit(1)), F.try_element_at("_p", F.lit(-1))
+    size = F.size("_b")  # a series with fewer bars than are skipped leaves out bars from its end as far as it goes
+    among = F.slice("_b", 1, F.when(size >= skip, size - skip).otherwise(F.greatest(size * 2 - skip, F.lit(0)))) if pct is None else F.col("_b")
+    b = b.withColumn("_v", traded_ranges(among, first)).withColumn("_total", volume_up_to(F.col("_v"), last))
+    up_to = lambda price: volume_up_to(F.col("_v"), price)
+    none = F.size("_p") == 0
+    if pct is None:
+        close = F.element_at("_b", -1)["close"]
+        below = F.try_divide(up_to(F.element_at("_p", _reached(F.col("_p"), lambda p: p >= close))) * 100, F.col("_total"))
+        x = F.when(none, None).when(close <= first, 0.0).when(close >= last, 100.0).otherwise(below)
+    elif pct <= 0 or pct >= 100:
+        x = first if pct <= 0 else last
+    else:
+        target = F.col("_total") * (pct / 100)
+        at = F.when(none, None).otherwise(_reached(F.col("_p"), lambda p: up_to(p) >= target))
+        here, before = F.element_at("_p", F.col("_at")), F.element_at("_p", F.col("_at") - 1)
+        b = b.withColumn("_at", at)
+
+        def between(s: Column) -> Column:
+            more = F.try_divide(target - s["before"], s["here"] - s["before"])
+            return F.when(s["here"] <= target, here).otherwise(before + (here - before) * more)
+
+        x = F.when(none, None).when(F.col("_at") == 1, first).otherwise(_let(F.struct(up_to(before).alias("before"), up_to(here).alias("here")), between))
+    return b.withColumn(name, x).drop("_b", "_p", "_v", "_total", "_at")

@@ -374,11 +374,23 @@ def stops_sql(up0: bool, reverses: bool) -> str:
     SELECT symbol, market, {STAMP()}, round(stop, 5) + 0.0 AS x FROM s WHERE k = last + 1"""
 
 
+def profile_sql(answer: str) -> str:
+    """Level by level: what each bar traded between a price and the one below it, then sums from the lowest level up."""
+    return f"""WITH {H}, w AS (SELECT symbol, market, ending, close, list({{'o': open, 'h': high, 'l': low, 'c': close, 'v': volume}}) {rows(10)} AS b FROM h),
+    p AS (SELECT *, list_sort(list_distinct(flatten(list_transform(b, lambda x: [x.o, x.h, x.l, x.c])))) AS prices FROM w),
+    l AS (SELECT p.*, k, prices[k] AS price, CASE WHEN k > 1 THEN prices[k - 1] END AS prior FROM (SELECT *, unnest(range(1, len(prices) + 1)) AS k FROM (SELECT symbol, market, ending, close, b, list_filter(prices, lambda q: q > 0 AND q <= prices[len(prices) // 2 + 1] * 100) AS prices FROM p)) AS p),
+    v AS (SELECT symbol, market, ending, close, k, price, prior, list_sum(list_transform(b, lambda x: CASE WHEN price = x.l THEN CASE WHEN x.h = x.l THEN 1.0 ELSE 0.0 END WHEN price > x.l AND price <= x.h THEN (price - prior) * CASE WHEN price > least(x.o, x.c) AND price <= greatest(x.o, x.c) THEN 2 ELSE 1 END * x.v / (x.h - x.l + abs(x.o - x.c)) ELSE 0.0 END)) AS vol FROM l),
+    s AS (SELECT *, sum(vol) OVER (PARTITION BY symbol, market, ending ORDER BY k) AS below, sum(vol) OVER (PARTITION BY symbol, market, ending) AS total FROM v)
+    SELECT symbol, market, {STAMP()}, round(CAST({answer} AS DOUBLE), 5) + 0.0 AS x FROM s GROUP BY symbol, market, ending"""
+
+
 for _name, (_with, _sql) in INDICATORS.items():
     QUERIES[_name] = lambda spark, d, f=_with: shown(f(event_bars(spark, d)).select("symbol", "market", "ending", "x"), digits=5)
     if _sql:
         SQL[_name] = _sql
 SQL["ind_psar"], SQL["ind_sab"], SQL["ind_sas"] = stops_sql(False, True), stops_sql(False, False), stops_sql(True, False)
+SQL["ind_popv"] = profile_sql("arg_min(CASE WHEN k = 1 OR below <= total / 2 THEN price ELSE prior + (price - prior) * (total / 2 - (below - vol)) / vol END, k) FILTER (WHERE below >= total / 2)")
+SQL["ind_povo"] = profile_sql("CASE WHEN any_value(close) <= min(price) THEN 0 WHEN any_value(close) >= max(price) THEN 100 ELSE 100 * sum(vol) FILTER (WHERE price <= close) / sum(vol) END")
 
 # joins in time
 
