@@ -70,6 +70,9 @@ def test_normal_and_options(spark):
     assert row[2] == pytest.approx(1.959963984540054, abs=1e-7) and row[3] is None
     assert row[4] == pytest.approx(10.4506, abs=1e-4) and row[4] - row[5] == pytest.approx(100 - 100 * math.exp(-0.05), abs=1e-9)
     assert one(spark, fn.implied_volatility(10.450583572185565, 100, 100, 365, 5, "C")) == pytest.approx(20, abs=1e-6)
+    assert one(spark, fn.implied_volatility(fn.black_scholes(90, 110, 200, 35, 3, "P"), 90, 110, 200, 3, "P")) == pytest.approx(35, abs=1e-6)
+    assert one(spark, fn.implied_volatility(5, 100, 0, 30, 1, "C")) == pytest.approx(1e-3) and one(spark, fn.implied_volatility(5, 0, 100, 30, 1, "C")) == pytest.approx(1e3)
+    assert one(spark, fn.implied_volatility(5, 100, 90, 0, 1, "C")) == pytest.approx(1e-3) and one(spark, fn.implied_volatility(50, None, None, None, None, "C")) == pytest.approx(1e3)
 
 
 def series(spark, values, **more):

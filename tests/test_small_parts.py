@@ -83,3 +83,27 @@ def test_the_time_of_a_query(spark):
     got = one.select(fn.now(F.lit(at)), fn.now(F.lit(at), "America/New_York"), fn.begin(F.lit("2024-01-05")), fn.end(F.lit("2024-02-01"), F.lit(at)), fn.end(F.lit("2025-02-01"), F.lit(at)), fn.end(None, F.lit(at))).first()
     assert [str(x) for x in got] == ["2024-03-11 13:30:00", "2024-03-11 09:30:00", "2024-01-05 00:00:00", "2024-02-01 00:00:00", at, at]
     assert abs((one.select(fn.now()).first()[0] - dt.datetime.now(dt.UTC).replace(tzinfo=None)).total_seconds()) < 86_400
+
+
+def test_cash_settles_later(spark):
+    from tidemark.operators import orders
+
+    at = lambda d, h=16: dt.datetime(2024, 1, d, h)
+    rows = [
+        (at(4), "STK", 8577.0, 1.0, 0.0, -1.0), (at(5), "STK", -500.0, 1.0, 7.0, 20.0), (at(5), "FUT", 9000.0, 2.0, 0.0, 30.0), (at(8), "STK", 0.0, 0.0, 0.0, 5.0),
+    ]  # Thursday, Friday, Monday
+    p = spark.createDataFrame([(*r, "USD") for r in rows], "ending timestamp, kind string, spent double, commission double, dividend double, mtm double, currency string")
+    d = spark.createDataFrame([(at(2), "USD", 10000.0)], "ending timestamp, currency string, amount double")
+    got = lambda days: {r.ending.day: (r.net, r.settled, r.accrued) for r in orders.cash(p, d, days, futures=F.col("kind") == "FUT").collect()}
+    assert got(0) == {2: (10000, 10000, 0), 4: (9999, 10000 - 8577 - 1, 0), 5: (10049, 1422 + 506 + 30, 0), 8: (10054, 1958, 0)}
+    assert got(2) == {2: (10000, 10000, 0), 4: (9999, 10000, -8578), 5: (10049, 10030, -8072), 8: (10054, 1452, 506), 9: (10054, 1958, 0)}
+    assert orders.cash(p.limit(0), d.limit(0)).count() == 0
+
+
+def test_cash_figures(spark):
+    from tidemark.operators import orders
+
+    b = spark.createDataFrame([(1, "USD", 1.0, 100.0, 5.0, None), (1, "CAD", 0.8, 50.0, None, None), (2, "USD", 1.0, 100.0, 5.0, None), (2, "CAD", 0.8, 50.0, None, 10.0)], "ending int, currency string, rate double, settled double, accrued double, margin double")
+    rows = lambda c: {r.ending: (r.settled_cash, r.accrued_cash, r.total_cash) for r in orders.cash_figures(b, c).collect()}
+    assert rows(None) == {1: (100, 5, 105), 2: (100, 5, 145)}
+    assert rows("CAD") == {1: (50, 0, 50), 2: (50, 0, pytest.approx(145 / 0.8))}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.common import workday
 from ..sources.scratch import stored
 from .asof import asof_join
 from .touch import first_touch, numbered
@@ -118,6 +119,44 @@ def balances(positions_: DataFrame, deposits: DataFrame) -> DataFrame:
     return daily.withColumn("net", F.sum("x").over(w)).withColumn("peak", F.max("net").over(w)).drop("x")
 
 
+def cash(positions_: DataFrame, deposits: DataFrame, settle_days: int | Column = 0, multiplier: float = 1.0, futures: Column | None = None) -> DataFrame:
+    """By time and currency: net worth, cash that has settled, and cash that has accrued but not settled yet.
+
+    What a position's bar brings in is its sales less its purchases, its dividend and its costs; of futures (where `futures` holds) it is
+    the bar's profit. Unless it is 0 it accrues at once and settles some working days later at the same time of day, which has a row even
+    if nothing else happens then. Deposits, and what futures bring, settle at once. positions: ending, currency and what `positions` returns;
+    settle_days may be a column of them, null counts as 0. deposits: ending, currency, amount."""
+    future = F.coalesce(F.lit(False) if futures is None else futures, F.lit(False))
+    brought = F.when(future, F.col("mtm")).otherwise(F.col("dividend") - F.col("spent") * multiplier - F.col("commission"))
+    days = F.when(future, 0).otherwise(F.coalesce(settle_days if isinstance(settle_days, Column) else F.lit(settle_days), F.lit(0)))
+    p = positions_.select("ending", "currency", "mtm", brought.alias("_in"), days.cast("int").alias("_days"))
+    p = p.groupBy("ending", "currency", "_days").agg(F.sum("mtm").alias("mtm"), F.sum("_in").alias("_in"))  # before rows are doubled
+    entry = lambda at, net, settled, accrued: F.struct(at.alias("ending"), net.alias("net"), settled.alias("settled"), accrued.alias("accrued"))
+    zero, now, brings = F.lit(0.0), F.col("ending"), F.col("_in")
+    later = F.array(entry(now, F.col("mtm"), zero, brings), entry(workday(now, F.col("_days")), zero, brings, -brings))
+    flows = p.select("currency", F.explode(F.when((F.col("_days") > 0) & (brings != 0), later).otherwise(F.array(entry(now, F.col("mtm"), brings, zero)))).alias("_f")).select("_f.ending", "currency", "_f.net", "_f.settled", "_f.accrued")
+    paid = deposits.select("ending", "currency", F.col("amount").cast("double").alias("net"), F.col("amount").cast("double").alias("settled"), zero.alias("accrued"))
+    daily = flows.unionByName(paid).groupBy("ending", "currency").agg(*[F.sum(c).alias(c) for c in ("net", "settled", "accrued")])
+    w = W.partitionBy("currency").orderBy("ending").rowsBetween(W.unboundedPreceding, 0)  # one row a time
+    return daily.select("ending", "currency", *[F.sum(c).over(w).alias(c) for c in ("net", "settled", "accrued")])
+
+
+def cash_figures(balances_: DataFrame, currency: str | None = None) -> DataFrame:
+    """At each time the settled and the accrued cash in one currency (without one: those whose rate is 1), and the total cash: both of
+    them in a cash account, which has no margin in any currency, else those of all currencies at their rates, in units of the first
+    local currency. balances: ending, currency, rate, settled, accrued and margin; the last two may be missing, nulls count as 0."""
+    have = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in balances_.columns else F.lit(0.0)
+    local = F.coalesce((F.col("currency") == currency) if currency else (F.col("rate") == 1), F.lit(False))
+    margin = F.col("margin").isNotNull() if "margin" in balances_.columns else F.lit(False)
+    both = have("settled") + have("accrued")
+    sums = balances_.groupBy("ending").agg(
+        F.sum(F.when(local, have("settled")).otherwise(0.0)).alias("settled_cash"), F.sum(F.when(local, have("accrued")).otherwise(0.0)).alias("accrued_cash"),
+        F.bool_or(margin).alias("_margin"), F.sum(both * F.coalesce("rate", F.lit(0.0))).alias("_worth"), F.min_by(F.when(local, F.col("rate")), F.when(local, F.col("currency"))).alias("_rate"),
+    )
+    total = F.when(F.col("_margin"), F.try_divide("_worth", F.coalesce("_rate", F.lit(1.0)))).otherwise(F.col("settled_cash") + F.col("accrued_cash"))
+    return sums.select("ending", "settled_cash", "accrued_cash", total.alias("total_cash"))
+
+
 def netted(positions_: DataFrame, keys: list[str]) -> DataFrame:
     return positions_.groupBy(*keys).agg(F.sum("position").alias("position"))
 

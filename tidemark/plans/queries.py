@@ -843,6 +843,34 @@ def reconcile_full_outer(spark: SparkSession, d: str) -> DataFrame:
     return shown(orders.reconcile(want, have, ["k"], threshold=3))
 
 
+MOVED = "floor((least(isodow(ending) - 1, 4) + days) / 5.0) * 7 + (least(isodow(ending) - 1, 4) + days) % 5 - (isodow(ending) - 1)"  # working days later; none is negative
+
+
+@query(
+    "balances_cash",
+    f"""WITH {H}, t AS (SELECT event_type AS symbol, date_trunc('hour', ts) + INTERVAL 1 HOUR AS ending, sum(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE -1.0 END) AS q, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * value) AS spent, count(*) * 0.01 AS fee FROM events GROUP BY 1, 2),
+    p AS (SELECT symbol, ending, close, spent, fee, sum(q) OVER ({OVER} ROWS UNBOUNDED PRECEDING) * close AS worth FROM h JOIN t USING (symbol, ending), (SELECT 'EVT' AS m) WHERE market = m),
+    m AS (SELECT *, symbol = (SELECT max(symbol) FROM h) AS future, worth - coalesce(lag(worth) OVER (PARTITION BY symbol ORDER BY ending), 0) - spent - fee AS mtm FROM p),
+    f AS (SELECT ending, symbol, mtm, CASE WHEN future THEN mtm ELSE -spent - fee END AS brings, CASE WHEN future THEN 0 WHEN symbol = (SELECT min(symbol) FROM h) THEN 1 ELSE 2 END AS days FROM m),
+    e AS (SELECT ending, mtm AS net, CASE WHEN days = 0 THEN brings ELSE 0 END AS settled, CASE WHEN days = 0 THEN 0 ELSE brings END AS accrued FROM f
+      UNION ALL SELECT ending + INTERVAL 1 DAY * CAST({MOVED} AS INT), 0, brings, -brings FROM f WHERE days > 0
+      UNION ALL SELECT min(ending), 100000, 100000, 0 FROM h),
+    g AS (SELECT ending, sum(net) AS net, sum(settled) AS settled, sum(accrued) AS accrued FROM e GROUP BY 1),
+    c AS (SELECT ending, sum(net) OVER w AS net, sum(settled) OVER w AS settled, sum(accrued) OVER w AS accrued FROM g WINDOW w AS (ORDER BY ending ROWS UNBOUNDED PRECEDING))
+    SELECT {STAMP()}, {rounded('net', 'settled AS settled_cash', 'accrued AS accrued_cash', 'settled + accrued AS total_cash', digits=3)} FROM c""",
+)
+def balances_cash(spark: SparkSession, d: str) -> DataFrame:
+    """Cash of trades in events: one kind settles daily like futures, one a working day later, all others two."""
+    e, h = read(spark, d, "events"), event_bars(spark, d)
+    trades = e.select(F.col("event_type").alias("symbol"), F.lit("EVT").alias("market"), bars.period_end(F.col("ts").cast("timestamp"), "m60").alias("ending"), F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(-1.0).alias("quant"), F.col("value").alias("price"))
+    ends = h.agg(F.min("symbol").alias("_least"), F.max("symbol").alias("_most"), F.min("ending").alias("_begin"))  # one row
+    p = orders.positions(trades, h, KEYS, 0.01).withColumn("currency", F.lit("USD")).crossJoin(F.broadcast(ends))
+    first = ends.select(F.col("_begin").alias("ending"), F.lit("USD").alias("currency"), F.lit(100_000.0).alias("amount"))
+    c = orders.cash(p, first, F.when(F.col("symbol") == F.col("_least"), 1).otherwise(2), futures=F.col("symbol") == F.col("_most"))
+    figures = orders.cash_figures(c.withColumn("rate", F.lit(1.0)), "USD")
+    return shown(c.select("ending", "net").join(figures, "ending"), digits=3)
+
+
 # streams
 
 
