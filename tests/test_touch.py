@@ -71,3 +71,14 @@ def test_rows_go_up_with_the_logarithm(spark):
     numbers, ends = touch._numbers(asked, bars, ["symbol"])
     dealt = ends.select(F.size(touch._nodes(F.col("_a"), F.col("_b"))).alias("n")).agg(F.sum("n")).first()[0]
     assert numbers.count() == n and dealt <= 2 * 12 * n
+
+
+def test_like_orders_are_asked_for_once_and_no_frame_shrinks(spark):
+    """A frame that ends at the last row is summed up anew for each row, so that a chunk takes its rows squared."""
+    bars = [("s", i, 10.0 - i % 7, None) for i in range(100)]
+    asked = [(k, "s", 5.0 + k % 3, k % 5) for k in range(30_000)]
+    found = touch.first_touch(spark.createDataFrame(asked, "ref long, symbol string, x double, _after long"), spark.createDataFrame(bars, "symbol string, _pos long, lo double, hi double"), ["symbol"], "ref")
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan
+    got = {r.ref: r._pos for r in found.collect()}
+    assert got == {k: next(i for _, i, lo, _ in bars if i > after and lo <= x) for k, _, x, after in asked}

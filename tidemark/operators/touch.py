@@ -69,22 +69,26 @@ def _numbers(prices: DataFrame, reaches: DataFrame, keys: list[str]) -> tuple[Da
 def first_touch(orders: DataFrame, reaches: DataFrame, keys: list[str], ref: str) -> DataFrame:
     """For each order (keys, x, _after and a unique ref) the first bar after position _after that reaches x: ref and `_pos`; none where no
     bar does. reaches: keys, _pos, lo, hi, one row a bar (lo or hi null: without a bound; not both)."""
-    asked, ends = _numbers(orders.where(F.col("x").isNotNull() & ~F.isnan("x")), reaches, keys)
+    waiting = orders.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    same = [*keys, "x", "_after"]  # orders alike in these wait for the same bar, and are asked for once
+    asked, ends = _numbers(waiting.select(*same).distinct(), reaches, keys)
     levels = F.sequence(F.lit(0), F.log2(F.col("count").cast("double")).cast("int") + 1)
     up = F.transform(levels, lambda k: F.struct(k.cast("int").alias("level"), _shift(F.col("number"), k).alias("node")))
     node = [*keys, "level", "node"]
-    a = asked.select(*keys, ref, "_after", F.explode(up).alias("_n")).select(*keys, "_n.level", "_n.node", ref, F.col("_after").alias("_at"))
+    a = asked.select(*same, F.explode(up).alias("_n")).select(*keys, "_n.level", "_n.node", "x", F.col("_after").alias("_at"))
     b = ends.select(*keys, "_pos", F.explode(_nodes(F.col("_a"), F.col("_b"))).alias("_n")).select(*keys, "_n.level", "_n.node", "_pos")
-    b = b.withColumn(ref, F.lit(None).cast(orders.schema[ref].dataType))
+    b = b.withColumn("x", F.lit(None).cast("double"))
     both = a.withColumn("_pos", F.lit(None).cast("long")).unionByName(b.withColumn("_at", F.col("_pos"))).withColumn("_chunk", _shift(F.col("_at"), F.lit(CHUNK_BITS)))
-    # within a chunk of bars: an order stands after the bar that it comes with
-    on = W.partitionBy(*node, "_chunk").orderBy("_at", F.col("_pos").isNull()).rowsBetween(0, W.unboundedFollowing)
+    # within a chunk of bars, from its end (a frame that shrinks would be summed up anew for each row): an order stands before the bar
+    # that it comes with, so it sees later ones only
+    on = W.partitionBy(*node, "_chunk").orderBy(F.col("_at").desc(), F.col("_pos").isNull().desc()).rowsBetween(W.unboundedPreceding, 0)
     near = both.withColumn("_next", F.min("_pos").over(on)).where(F.col("_pos").isNull())
     # else the first bar of the node's next chunk that has one; a row a chunk
     chunks = b.withColumn("_chunk", _shift(F.col("_pos"), F.lit(CHUNK_BITS))).groupBy(*node, "_chunk").agg(F.min("_pos").alias("_first"))
     late = near.where(F.col("_next").isNull())
     asking = late.select(*node, "_chunk").distinct().withColumn("_first", F.lit(None).cast("long"))
-    ahead = W.partitionBy(*node).orderBy("_chunk").rangeBetween(1, W.unboundedFollowing)
+    ahead = W.partitionBy(*node).orderBy(F.col("_chunk").desc()).rangeBetween(W.unboundedPreceding, -1)
     later = chunks.unionByName(asking).withColumn("_next", F.min("_first").over(ahead)).where(F.col("_first").isNull() & F.col("_next").isNotNull()).drop("_first")
-    hits = near.where(F.col("_next").isNotNull()).select(ref, "_next").unionByName(late.drop("_next").join(later, [*node, "_chunk"]).select(ref, "_next"))
-    return hits.groupBy(ref).agg(F.min("_next").alias("_pos"))
+    found = [*keys, "x", F.col("_at").alias("_after"), "_next"]
+    hits = near.where(F.col("_next").isNotNull()).select(*found).unionByName(late.drop("_next").join(later, [*node, "_chunk"]).select(*found))
+    return waiting.select(ref, *same).join(hits.groupBy(*same).agg(F.min("_next").alias("_pos")), same).select(ref, "_pos")
