@@ -107,3 +107,16 @@ def test_cash_figures(spark):
     rows = lambda c: {r.ending: (r.settled_cash, r.accrued_cash, r.total_cash) for r in orders.cash_figures(b, c).collect()}
     assert rows(None) == {1: (100, 5, 105), 2: (100, 5, 145)}
     assert rows("CAD") == {1: (50, 0, 50), 2: (50, 0, pytest.approx(145 / 0.8))}
+
+
+def test_asof_join_by_spans(spark):
+    """The same rows as in one go, over empty spans and equal times, and no key whole in one task."""
+    from tidemark.operators import asof
+
+    left = spark.sql("SELECT 'k' AS k, id AS n, timestamp_seconds(1704067200 + id * 613) AS at FROM range(500)")
+    right = spark.sql("SELECT 'k' AS k, timestamp_seconds(1704067200 + 6130 + id * 9195) AS at, id AS v FROM range(25)")
+    for strict in (False, True):
+        whole = {r.n: r.r and r.r.v for r in asof.asof_join(left, right, ["k"], "at", "r", strict=strict).collect()}
+        spans = asof.asof_join(left, right, ["k"], "at", "r", strict=strict, span="hour")
+        assert {r.n: r.r and r.r.v for r in spans.collect()} == whole and len(set(whole.values())) == 26
+    assert "hashpartitioning(k#" in (plan := spans._jdf.queryExecution().executedPlan().toString()) and "_span" in plan

@@ -12,15 +12,25 @@ def _side(df: DataFrame, keys: list[str], on: str, is_left: bool, left_cols: lis
     return df.select(*keys, F.col(on).alias("_on"), F.lit(1 if is_left else 0).alias("_is_left"), kind(left_cols, left, is_left).alias("_left"), kind(right_cols, right, not is_left).alias("_right"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, name: str, forward: bool = False, strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, name: str, forward: bool = False, strict: bool = False, span: str | None = None) -> DataFrame:
     """Each left row with the right row of greatest `on` not after its own (forward: of least `on` not before it), as a struct column
-    `name`, null if there is none. strict: an equal `on` doesn't count. Right rows should be unique by (keys, on)."""
+    `name`, null if there is none. strict: an equal `on` doesn't count. Right rows should be unique by (keys, on).
+    span (a unit of date_trunc; not forward): rows of a key are dealt by spans of time, each with the last right row of the spans before,
+    so that no task holds a whole key. Else a key is one task's."""
+    if span and forward:
+        raise ValueError("spans look back only")
     left_cols, right_cols = left.columns, [c for c in right.columns if c not in keys]
     both = _side(left, keys, on, True, left_cols, right_cols, left, right).unionByName(_side(right, keys, on, False, left_cols, right_cols, left, right))
     # equal times: the right row stands first if it is to be seen, whichever way the window looks
     seen_first = F.col("_is_left") if not strict else -F.col("_is_left")
     order = [F.col("_on").desc(), seen_first] if forward else [F.col("_on"), seen_first]
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    if span:
+        both = both.withColumn("_span", F.date_trunc(span, "_on"))
+        last = both.groupBy(*keys, "_span").agg(F.max_by("_right", F.when(F.col("_is_left") == 0, F.col("_on"))).alias("_right"))  # a row a span
+        before = F.last("_right", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+        brought = last.withColumn("_right", before).withColumn("_is_left", F.lit(0)).where(F.col("_right").isNotNull())
+        both = both.unionByName(brought, allowMissingColumns=True)  # without a time, so it stands first
+    w = W.partitionBy(*keys, *(["_span"] if span else [])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn(name, F.last("_right", ignorenulls=True).over(w)).where("_is_left = 1")
     return found.select("_left.*", name)
 
@@ -65,7 +75,7 @@ def exchange_rate(rows: DataFrame, rates: DataFrame, base: str, quote: str, on:
     keys = ["_base", "_quote"]
     left = rows.withColumn("_base", F.col(base)).withColumn("_quote", F.col(quote))
     pair = lambda a, b: rates.select(F.col(a).alias("_base"), F.col(b).alias("_quote"), F.col("ending").alias(on), F.col("ending").alias("_ending"), "close")
-    both = asof_join(asof_join(left, pair("base", "quote"), keys, on, "_direct"), pair("quote", "base"), keys, on, "_inverse")
+    both = asof_join(asof_join(left, pair("base", "quote"), keys, on, "_direct", span="hour"), pair("quote", "base"), keys, on, "_inverse", span="hour")
     recent = lambda c: F.when(F.col(f"{c}._ending") >= F.col(on) - F.make_dt_interval(days=F.lit(days)), F.col(f"{c}.close"))
     rate = F.coalesce(recent("_direct"), F.try_divide(F.lit(1.0), recent("_inverse")), F.lit(1.0))
     same = F.col("_base") == F.col("_quote")
