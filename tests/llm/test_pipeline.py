@@ -6,7 +6,7 @@ import numpy as np
 
 import __spark_entry__
 import corpus_pipeline
-from tidemark.llm import decontamination, simhash, substring_dedup, toxicity
+from tidemark.llm import countmin, decontamination, simhash, substring_dedup, suffix_dedup, toxicity
 from tidemark.llm.common import read, stored
 
 SF = "/root/testdata/sf0.001"
@@ -105,6 +105,35 @@ def test_stages_take_awkward_rows(spark):
         assert stage(spark, full.limit(0), SF).count() == 0, name
 
 
+def python_steps(node, above=0):
+    """Most Python steps that one task of a plan has."""
+    name, children = node.nodeName(), node.children()
+    here = 0 if "Exchange" in name else above + name.startswith(("MapIn", "ArrowEval", "BatchEval", "FlatMap"))
+    return max([here, *[python_steps(children.apply(i), here) for i in range(children.size())]])
+
+
+def test_no_task_has_two_python_steps(spark, monkeypatch):
+    """Two would be two Python workers at once for each core. Spark keeps them and takes turns among them, and each holds its own sketch."""
+    seen = {}
+
+    def checked(df, name):
+        seen[name] = max(seen.get(name, 0), python_steps(df._jdf.queryExecution().executedPlan()))
+        return stored(df, name)
+
+    for module in (corpus_pipeline, countmin, decontamination, simhash, substring_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "stored", checked)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else plans don't show their steps until they have run
+    try:
+        checked(corpus_pipeline.run(spark, SF), "pipeline")
+        docs = read(spark, SF, "documents").limit(40)
+        checked(substring_dedup.dedup(docs, broadcast_bytes=0), "substring_dedup, sketch dealt")
+        checked(suffix_dedup.dedup(docs, broadcast_bytes=0), "suffix_dedup, sketch dealt")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {"toxicity", "simhash_near_dedup", "substring_dedup", "decontamination", "pipeline", "sketch", "runs"} <= set(seen)
+    assert set(seen.values()) <= {0, 1}, seen
+
+
 def test_registered():
     q = __spark_entry__.queries()
     assert {int(n[2:].split("_")[0]) for n in q if n.startswith("op") and n[2].isdigit()} == set(range(1, 14)) and "pipeline" in q

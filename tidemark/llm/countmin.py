@@ -136,27 +136,29 @@ class Sketch:
 
         return lookup
 
-    def dealt(self, rows: DataFrame, each: Callable[[pa.RecordBatch, Callable], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-        """For a large sketch: rows (with their group as a long `anchor`) are dealt by block and meet it there; each(batch, lookup) says
-        what becomes of them. Rows of a block that holds a common group are dealt over several parts, each with the block's bits."""
-        shape, names, at = self.shape, rows.columns, rows.columns.index("anchor")
+    def dealt(self, docs: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str, each: Callable[[pa.RecordBatch, Callable], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """For a large sketch: what rows() makes of docs' batches (kinds: its columns, the group as a long `anchor` among them) is dealt by
+        block and meets the sketch there; each(batch, lookup) says what becomes of it. Rows of a block that holds a common group are dealt
+        over several parts, each with the block's bits."""
+        shape, fields = self.shape, [field.split() for field in kinds.split(",")]
+        names = [name for name, _ in fields]
+        at = names.index("anchor")
         mean = max(1.0, self.table.agg(F.sum("n")).first()[0] or 0) / shape.blocks
         hot = self.table.where(F.col("n") > HOT * mean).select("block", "n").collect()  # a HOT-th of the blocks, at most
         parts = np.ones(shape.blocks, np.int32)
         for r in hot:
             parts[r.block] = min(SALTS, math.ceil(r.n / mean))
-        held = rows.sparkSession.sparkContext.broadcast(parts.tobytes())
+        held = docs.sparkSession.sparkContext.broadcast(parts.tobytes())
 
         def addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             salts = np.frombuffer(held.value, np.int32)
-            for b in batches:
+            for b in rows(batches):  # in one Python step: a task with two would have two workers
                 block = shape.block(b.column(at).to_numpy().view(np.uint64)).astype(np.int32)
                 salt = (np.arange(len(block)) % salts[block]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block), pa.array(salt)], names=[*names, "_block", "_salt"])
 
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-        salted = rows.mapInArrow(addressed, f"{kinds}, _block int, _salt int").withColumn("_bits", F.lit(None).cast("binary"))
-        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+        salted = docs.mapInArrow(addressed, f"{kinds}, _block int, _salt int").withColumn("_bits", F.lit(None).cast("binary"))
+        none = [F.lit(None).cast(kind).alias(name) for name, kind in fields]
         most = F.when(F.col("n") > HOT * mean, F.least(F.lit(SALTS), F.ceil(F.col("n") / mean))).otherwise(1).cast("int")
         blocks = self.table.select(*none, F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), most - 1)).alias("_salt"), F.col("bits").alias("_bits"))
         k = len(names)

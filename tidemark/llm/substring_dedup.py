@@ -172,7 +172,7 @@ def repeated_runs(docs: DataFrame, found: Sketch) -> DataFrame:
         out.add(doc[of], key[of], anchor.view(np.uint64)[of], first[of] + start, off[of].astype(np.int64) - start, np.diff(np.r_[edge, len(row)]), value[kept])
         yield from out.rows()
 
-    return found.dealt(docs.mapInArrow(every, LONE), filtered, RUNS)
+    return found.dealt(docs, every, LONE, filtered, RUNS)
 
 
 LEAST = "anchor long, sig long, least long, mins binary"

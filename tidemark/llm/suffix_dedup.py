@@ -147,7 +147,7 @@ def repeated_segments(docs: DataFrame, found: Sketch) -> DataFrame:
         anchor = batch.column(2).to_numpy().view(np.uint64)
         yield batch.filter(pa.array(known(anchor, anchor)))
 
-    kept = found.dealt(docs.mapInArrow(stands, STANDS), filtered, STANDS)
+    kept = found.dealt(docs, stands, STANDS, filtered, STANDS)
     of = kept.groupBy("doc_id", "key").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))  # those of one text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
