@@ -1,8 +1,13 @@
 """The pipeline against brute force and against its operators, over awkward rows, and the registration."""
 
 import hashlib
+import os
+import re
+import time
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -138,3 +143,36 @@ def test_registered():
     q = __spark_entry__.queries()
     assert {int(n[2:].split("_")[0]) for n in q if n.startswith("op") and n[2].isdigit()} == set(range(1, 14)) and "pipeline" in q
     assert set(__spark_entry__.oracle_sql()) <= set(q)
+
+
+def test_shuffle_files_go_once_a_step_is_stored(spark):
+    files = lambda: {n for n in re.findall(r"shuffle_\d+_\d+_\d+\.data", str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))}
+    before = files()
+    out = stored(spark.range(10_000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false" and sorted(r["count"] for r in out.collect())[0] == 1428
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_substring_dedup_holds_little_at_once(spark, monkeypatch, dealt):
+    """When texts are dealt, only the runs to cut are still stored; a sketch that is not broadcast meets its windows in turns."""
+    steps, found = [], {}
+
+    def kept(df, name):
+        out = stored(df, name)
+        steps.append((name, out.stored_at.removeprefix("file://")))
+        if name == "runs":
+            rows = {(r.anchor, r.sig) for r in out.where("kind = 1").select("anchor", "sig").collect()}
+            assert not rows & found.get(name, set())
+            found[name] = found.get(name, set()) | rows
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stored", kept)
+    monkeypatch.setattr(countmin, "stored", kept)
+    substring_dedup.dedup(read(spark, SF, "documents").limit(300), **({"broadcast_bytes": 0} if dealt else {}))
+    assert [name for name, _ in steps].count("runs") == (substring_dedup.TURNS if dealt else 1) and found["runs"]
+    assert [name for name, path in steps if os.path.exists(path)] == ["cut"]

@@ -38,10 +38,12 @@ def own_dir(application: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: cuts lineage and survives lost executors."""
+    """df, written once to the shared folder and read again: cuts lineage and survives lost executors. What was shuffled for it goes from
+    the disks once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, CLEANUP_CONF, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["stored_at"] = path
     return out
@@ -58,6 +60,8 @@ def discard(*frames: DataFrame) -> None:
 
 
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whether Spark deletes the shuffle files of a query when it ends; else they stay until the driver's garbage collector finds them unused.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -66,14 +70,22 @@ def small_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Batches of so many rows for what is run inside."""
-    was = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, str(rows))
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is run inside."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(BATCH_CONF, was)
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
+def batches_of(spark: SparkSession, rows: int):  # noqa: ANN201
+    """Batches of so many rows for what is run inside."""
+    return setting(spark, BATCH_CONF, str(rows))
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -56,6 +56,10 @@ class Shape:
     def block(self, group: np.ndarray) -> np.ndarray:
         return ((mix(group ^ np.uint64(0x165667B19E3779F9)) >> np.uint64(32)) * np.uint64(self.blocks)) >> np.uint64(32)
 
+    def in_turn(self, group: np.ndarray, turn: int, turns: int) -> np.ndarray:
+        """Which windows meet the sketch in a turn, by their blocks."""
+        return self.block(group) % np.uint64(turns) == np.uint64(turn)
+
     def cell(self, x: np.ndarray, row: int) -> np.ndarray:
         """x: the windows' values, in the last row their groups."""
         return ((mix(x * _MULTIPLIERS[row]) >> np.uint64(32)) * np.uint64(self.rows[row])) >> np.uint64(32)
@@ -136,10 +140,10 @@ class Sketch:
 
         return lookup
 
-    def dealt(self, docs: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str, each: Callable[[pa.RecordBatch, Callable], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def dealt(self, docs: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str, each: Callable[[pa.RecordBatch, Callable], Iterator[pa.RecordBatch]], schema: str, turn: int = 0, turns: int = 1) -> DataFrame:
         """For a large sketch: what rows() makes of docs' batches (kinds: its columns, the group as a long `anchor` among them) is dealt by
         block and meets the sketch there; each(batch, lookup) says what becomes of it. Rows of a block that holds a common group are dealt
-        over several parts, each with the block's bits."""
+        over several parts, each with the block's bits. In one of several turns only rows of its own blocks (in_turn) are to come."""
         shape, fields = self.shape, [field.split() for field in kinds.split(",")]
         names = [name for name, _ in fields]
         at = names.index("anchor")
@@ -160,7 +164,7 @@ class Sketch:
         salted = docs.mapInArrow(addressed, f"{kinds}, _block int, _salt int").withColumn("_bits", F.lit(None).cast("binary"))
         none = [F.lit(None).cast(kind).alias(name) for name, kind in fields]
         most = F.when(F.col("n") > HOT * mean, F.least(F.lit(SALTS), F.ceil(F.col("n") / mean))).otherwise(1).cast("int")
-        blocks = self.table.select(*none, F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), most - 1)).alias("_salt"), F.col("bits").alias("_bits"))
+        blocks = self.table.where(F.col("block") % turns == turn).select(*none, F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), most - 1)).alias("_salt"), F.col("bits").alias("_bits"))
         k = len(names)
 
         def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ its runs are grouped one by one, by aggregations that combine map-side.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 from itertools import compress
 
 import numpy as np
@@ -32,6 +33,8 @@ NO_ID = (1 << 63) - 1
 #: Runs of one anchor beyond which its windows are grouped one by one, and cells in which such anchors are marked. Other anchors of
 #: a marked cell go the same way, which is as exact.
 ANCHOR_RUNS, HOT_CELLS = 1000, 1 << 18
+#: Turns in which windows are dealt to a sketch that is too large to broadcast: what is on its way at once is a share of them.
+TURNS = 3
 #: Words whose windows are hashed at once, about.
 CHUNK = 1 << 17
 
@@ -141,8 +144,8 @@ def gathered(batch: pa.RecordBatch, hashes: WordHashes, lookup=None) -> Gathered
     return out
 
 
-def repeated_runs(docs: DataFrame, found: Sketch) -> DataFrame:
-    """docs (doc_id, text, key) -> the runs of windows estimated repeated, RUNS."""
+def repeated_runs(docs: DataFrame, found: Sketch) -> Iterator[DataFrame]:
+    """docs (doc_id, text, key) -> the runs of windows estimated repeated, RUNS, in one frame or a frame a turn."""
     if found.small:
         lookup = found.broadcast()
 
@@ -151,12 +154,15 @@ def repeated_runs(docs: DataFrame, found: Sketch) -> DataFrame:
             for batch in batches:
                 yield from gathered(batch, hashes, known).rows()
 
-        return docs.mapInArrow(each, RUNS)
+        yield docs.mapInArrow(each, RUNS)
+        return
 
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shape = found.shape  # tasks can't hold the sketch's table
+
+    def every(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            yield from gathered(batch, hashes).lone()
+            yield from gathered(batch, hashes, lambda anchor, _: shape.in_turn(anchor, turn, TURNS)).lone()
 
     def filtered(batch: pa.RecordBatch, known) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
         doc, key, anchor, first, off = (batch.column(c).to_numpy() for c in range(5))
@@ -172,7 +178,8 @@ def repeated_runs(docs: DataFrame, found: Sketch) -> DataFrame:
         out.add(doc[of], key[of], anchor.view(np.uint64)[of], first[of] + start, off[of].astype(np.int64) - start, np.diff(np.r_[edge, len(row)]), value[kept])
         yield from out.rows()
 
-    return found.dealt(docs, every, LONE, filtered, RUNS)
+    for turn in range(TURNS):
+        yield found.dealt(docs, partial(every, turn=turn), LONE, filtered, RUNS, turn, TURNS)
 
 
 LEAST = "anchor long, sig long, least long, mins binary"
@@ -243,15 +250,15 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record({"anchor": batch.column(0), "sig": batch.column(1), "least": low, "mins": arrays}, arrow)
 
 
-def least_holders_by_window(runs: DataFrame) -> DataFrame:
-    """What least_holders finds, without a group of all runs of an anchor: runs (rows of kind 1) -> LEAST."""
+def least_holders_by_window(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What least_holders finds, without a group of all runs of an anchor: runs (rows of kind 1) -> LEAST, and what is stored for it."""
     single = runs.mapInArrow(single_windows, SINGLE).groupBy("anchor", "sig", "at", "win").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     single = stored(single, "single")
     held = single.groupBy("anchor", "win").agg(F.min("lo").alias("least"), F.max("hi").alias("top"))
     of = single.select("anchor", "sig", "at", "win").join(held, ["anchor", "win"]).groupBy("anchor", "sig")
     mins = F.sort_array(F.collect_list(F.struct("at", "least")))  # a run has at most WINDOW - GRAM + 1 windows
     found = of.agg(F.min("least").alias("low"), F.max("least").alias("high"), F.max("top").alias("top"), mins.alias("mins")).where("low < top")
-    return found.select("anchor", "sig", "low", "high", F.col("mins.least").alias("mins")).mapInArrow(packed, LEAST)
+    return found.select("anchor", "sig", "low", "high", F.col("mins.least").alias("mins")).mapInArrow(packed, LEAST), single
 
 
 def repeats(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Sketch:
@@ -266,21 +273,25 @@ def removals(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, broadcast_bytes: i
     spark = docs.sparkSession
     small_batches(spark)
     found = repeats(docs, broadcast_bytes)
-    held = stored(repeated_runs(docs, found), "runs")
+    parts = [stored(part, "runs") for part in repeated_runs(docs, found)]
     discard(found.table)
+    held = reduce(DataFrame.unionByName, parts)
     distinct = held.where("kind = 1").select("anchor", "sig", "off", "lo", "hi", "n", "windows")
     cell = F.pmod(F.xxhash64("anchor"), F.lit(HOT_CELLS)).alias("cell")
     hot_cells = stored(distinct.groupBy("anchor").count().where(F.col("count") > anchor_runs).select(cell).distinct(), "hot-cells")
     hot = F.broadcast(hot_cells)  # HOT_CELLS rows at most
     dealt = distinct.select("*", cell)
     few = dealt.join(hot, "cell", "left_anti").drop("cell").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(least_holders, LEAST)
-    many = least_holders_by_window(dealt.join(hot, "cell", "left_semi").drop("cell"))
+    many, single = least_holders_by_window(dealt.join(hot, "cell", "left_semi").drop("cell"))
     with batches_of(spark, 20_000):
         least = stored(few.unionByName(many), "least")
+    discard(hot_cells, single)
     stand = held.where("kind = 0").select("doc_id", "key", "anchor", "sig", "start", "n")
     # both sides come from storage, so where many copies share a run Spark can split its side of the join; a set, as repeated rows say the same
     hit = stand.join(least, ["anchor", "sig"]).where("least < doc_id")
-    return hit.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n", "least", "mins")).alias("runs"))  # the runs of one document
+    cut = stored(hit.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n", "least", "mins")).alias("runs")), "cut")  # the runs of one document
+    discard(*parts, least)  # before the texts are dealt
+    return cut
 
 
 def dedup(docs: DataFrame, *more: str, anchor_runs: int = ANCHOR_RUNS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -293,7 +304,8 @@ def dedup(docs: DataFrame, *more: str, anchor_runs: int = ANCHOR_RUNS, broadcast
     rows = docs.select(own_id, F.col("text").cast("string").alias("text"), F.col("doc_id").isNull().alias("without"), *[F.col(c).alias(f"_{c}") for c in more])
     rows = rows.withColumn("key", F.xxhash64("text"))
     cut = removals(rows.select("doc_id", "text", "key"), anchor_runs, broadcast_bytes)
-    joined = rows.join(cut, ["doc_id", "key"], "left").select("doc_id", "text", "without", "runs", *[f"_{c}" for c in more])
+    # by sorting, whatever the size of the stored runs seems to be: they may be far larger unpacked
+    joined = rows.join(cut.hint("merge"), ["doc_id", "key"], "left").select("doc_id", "text", "without", "runs", *[f"_{c}" for c in more])
     own = "doc_id long, n_words long, n_removed long, kept string"
     schema = T.StructType([*T.StructType.fromDDL(own).fields, *[T.StructField(c, docs.schema[c].dataType) for c in more]])
     arrow = to_arrow(own)
